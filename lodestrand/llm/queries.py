@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrand.llm import exact_dedup, secret_scan, simhash, warc
+from lodestrand.llm import exact_dedup, packing, secret_scan, simhash, warc
 from lodestrand.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -29,7 +33,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash_dedup, op2_secret_scan, op6_warc, op7_exact_dedup)}
+    return {f.__name__: f for f in (op1_simhash_dedup, op2_secret_scan, op4_best_fit_packing, op6_warc, op7_exact_dedup)}
 
 
 OP6_SQL = r"""

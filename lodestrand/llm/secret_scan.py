@@ -15,7 +15,7 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -161,16 +161,17 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [find_spans(t) for t in b["text"]]
+            found = [find_spans(t.as_py()) for t in b.column("text")]
             base = [[s for s in spans if s[2] in BASE_KINDS] for spans in found]
-            out = {"doc_id": b["doc_id"]}
-            out |= {f"n_{k}": [sum(s[2] == k for s in spans) for spans in base] for k in BASE_KINDS}
-            out |= {"base_sha256": [hashlib.sha256(joined(s).encode()).hexdigest() for s in base], "spans": [joined(s) for s in found]}
-            yield pd.DataFrame(out)
+            out = {"doc_id": b.column("doc_id")}
+            out |= {f"n_{k}": pa.array([sum(s[2] == k for s in spans) for spans in base], pa.int64()) for k in BASE_KINDS}
+            out |= {"base_sha256": pa.array([hashlib.sha256(joined(s).encode()).hexdigest() for s in base], pa.string())}
+            out |= {"spans": pa.array([joined(s) for s in found], pa.string())}
+            yield pa.RecordBatch.from_pydict(out)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, {SCAN_COLUMNS}")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, {SCAN_COLUMNS}")
 
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
@@ -179,16 +180,17 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = Non
     ``length_col`` is set to the new length where a text changed.  All other columns pass through untouched.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans = [find_spans(t) for t in b[text_col]]
-            hit = [i for i, s in enumerate(spans) if s]
-            if hit:
-                b = b.copy()
-                texts = [redacted(b[text_col].iloc[i], spans[i]) for i in hit]
-                b.iloc[hit, b.columns.get_loc(text_col)] = texts
+            texts = b.column(text_col).to_pylist()
+            spans = [find_spans(t) for t in texts]
+            if any(spans):
+                texts = [redacted(t, s) for t, s in zip(texts, spans)]
+                b = b.set_column(b.schema.get_field_index(text_col), text_col, pa.array(texts, b.schema.field(text_col).type))
                 if length_col:
-                    b.iloc[hit, b.columns.get_loc(length_col)] = [len(t) for t in texts]
+                    i = b.schema.get_field_index(length_col)
+                    sizes = [len(t) if s else n for t, s, n in zip(texts, spans, b.column(i).to_pylist())]
+                    b = b.set_column(i, length_col, pa.array(sizes, b.schema.field(i).type))
             yield b
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

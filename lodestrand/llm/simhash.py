@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,13 +54,13 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, row_col: str | Non
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t, words, seed) for t in b["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "row_id": b["row_id"], "fp": fp})
+            fp = np.array([fingerprint(t.as_py(), words, seed) for t in b.column("text")], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_id"), pa.array(fp)], ["doc_id", "row_id", "fp"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), row.alias("row_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {kind}, row_id bigint, fp bigint")
+    return rows.mapInArrow(run, f"doc_id {kind}, row_id bigint, fp bigint")
 
 
 def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
