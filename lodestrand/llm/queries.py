@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestrand.llm import exact_dedup, packing, secret_scan, simhash, warc
+from lodestrand.llm import ann, exact_dedup, packing, secret_scan, simhash, warc
 from lodestrand.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -33,7 +38,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash_dedup, op2_secret_scan, op4_best_fit_packing, op6_warc, op7_exact_dedup)}
+    return {f.__name__: f for f in (op1_simhash_dedup, op2_secret_scan, op3_ann, op4_best_fit_packing, op6_warc, op7_exact_dedup)}
 
 
 OP6_SQL = r"""
