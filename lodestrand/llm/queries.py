@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm import ann, exact_dedup, packing, secret_scan, simhash, warc
+from lodestrand.llm import ann, exact_dedup, packing, quality, secret_scan, simhash, warc
 from lodestrand.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,8 +37,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("row_id")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash_dedup, op2_secret_scan, op3_ann, op4_best_fit_packing, op6_warc, op7_exact_dedup)}
+    return {f.__name__: f for f in (op1_simhash_dedup, op2_secret_scan, op3_ann, op4_best_fit_packing, op6_warc, op7_exact_dedup, op8_quality_classifier)}
 
 
 OP6_SQL = r"""
