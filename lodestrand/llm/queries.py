@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm import ann, exact_dedup, packing, quality, secret_scan, simhash, warc
+from lodestrand.llm import ann, exact_dedup, license_scan, packing, quality, secret_scan, simhash, warc
 from lodestrand.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,8 +41,12 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash_dedup, op2_secret_scan, op3_ann, op4_best_fit_packing, op6_warc, op7_exact_dedup, op8_quality_classifier)}
+    return {f.__name__: f for f in (op1_simhash_dedup, op2_secret_scan, op3_ann, op4_best_fit_packing, op6_warc, op7_exact_dedup, op8_quality_classifier, op9_license_scan)}
 
 
 OP6_SQL = r"""
@@ -72,4 +76,4 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": OP6_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op6_warc": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op9_license_scan": license_scan.oracle()}
