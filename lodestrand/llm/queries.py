@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm import ann, exact_dedup, license_scan, packing, quality, secret_scan, simhash, warc
+from lodestrand.llm import ann, exact_dedup, license_scan, lm_score, packing, quality, secret_scan, simhash, warc
 from lodestrand.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,8 +45,13 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash_dedup, op2_secret_scan, op3_ann, op4_best_fit_packing, op6_warc, op7_exact_dedup, op8_quality_classifier, op9_license_scan)}
+    every = (op1_simhash_dedup, op2_secret_scan, op3_ann, op4_best_fit_packing, op6_warc, op7_exact_dedup, op8_quality_classifier, op9_license_scan, op10_lm_score)
+    return {f.__name__: f for f in every}
 
 
 OP6_SQL = r"""
