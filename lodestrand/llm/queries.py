@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm import ann, exact_dedup, license_scan, lm_score, packing, quality, secret_scan, simhash, warc
+from lodestrand.llm import ann, exact_dedup, license_scan, lm_score, packing, quality, secret_scan, sentencepiece_ops, simhash, warc
 from lodestrand.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_ops.encode_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -50,7 +54,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (op1_simhash_dedup, op2_secret_scan, op3_ann, op4_best_fit_packing, op6_warc, op7_exact_dedup, op8_quality_classifier, op9_license_scan, op10_lm_score)
+    every = (op1_simhash_dedup, op2_secret_scan, op3_ann, op4_best_fit_packing, op5_sentencepiece, op6_warc, op7_exact_dedup, op8_quality_classifier, op9_license_scan, op10_lm_score)
     return {f.__name__: f for f in every}
 
 
