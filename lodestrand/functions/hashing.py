@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,21 +47,26 @@ def unsigned_text(id: Column) -> Column:
     return F.when(id >= 0, id.cast("string")).otherwise((id.cast("decimal(38,0)") + _whole(2**64)).cast("decimal(20,0)").cast("string"))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: written out, each use would repeat the whole expression."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _times(x: Column, factor: int) -> Column:
     """x * factor modulo 2**64, by 16-bit parts of x so that no product overflows."""
     total = F.lit(0).cast("decimal(38,0)")
     for k in range(4):
         part = F.shiftrightunsigned(x, 16 * k).bitwiseAND(F.lit(0xFFFF))
         total = (total + part.cast("decimal(6,0)") * _whole((factor << (16 * k)) % 2**64).cast("decimal(20,0)")).cast("decimal(38,0)")
-    rest = total % _whole(2**64)
-    return F.when(rest >= _whole(2**63), rest - _whole(2**64)).otherwise(rest).cast("bigint")
+    return _bound(total % _whole(2**64), lambda rest: F.when(rest >= _whole(2**63), rest - _whole(2**64)).otherwise(rest).cast("bigint"))
+
+
+def _folded(x: Column) -> Column:
+    return _bound(x, lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, 33)))
 
 
 def unit_float(id: Column) -> Column:
     """The 64-bit finaliser, its low 24 bits over the largest such number."""
-    x = id.bitwiseXOR(F.shiftrightunsigned(id, 33))
-    x = _times(x, 0xFF51AFD7ED558CCD)
-    x = x.bitwiseXOR(F.shiftrightunsigned(x, 33))
-    x = _times(x, 0xC4CEB9FE1A85EC53)
-    x = x.bitwiseXOR(F.shiftrightunsigned(x, 33))
-    return x.bitwiseAND(F.lit(0xFFFFFF)) / F.lit(float(0xFFFFFF))
+    x = _bound(_folded(id), lambda v: _times(v, 0xFF51AFD7ED558CCD))
+    x = _bound(_folded(x), lambda v: _times(v, 0xC4CEB9FE1A85EC53))
+    return _folded(x).bitwiseAND(F.lit(0xFFFFFF)) / F.lit(float(0xFFFFFF))

@@ -15,8 +15,7 @@ from lodestrand.functions import symbols as S
 from lodestrand.functions.hashing import unsigned
 from lodestrand.functions.paths import basename, dirname, is_vendor
 from lodestrand.operators.index import adjacency
-
-STAGE = "id bigint, stage int, place array<bigint>, score double, reason string"
+from lodestrand.operators.scratch import Scratch
 
 
 def ranked_seeds(seeds: DataFrame) -> DataFrame:
@@ -36,25 +35,29 @@ def levels(starts: DataFrame, symbols: DataFrame, edges: DataFrame, depth: int =
     ``starts`` has rank and id.  References are followed outwards only, and never from a start outside vendor folders
     into them.  All arrivals are returned; only symbols new to their start are searched on.
     """
-    ways = relations(edges, symbols).where(~((F.col("kind") == K.REFERENCES) & ~F.col("outgoing")))
-    ways = ways.select(F.col("id").alias("at"), "other_id", "kind", "outgoing", "seq", is_vendor(F.col("other_file")).alias("into_vendor"))
+    scratch = Scratch(symbols.sparkSession, "walk")  # each level is written: later ones start from it
+    ways = adjacency(edges).where(~((F.col("kind") == K.REFERENCES) & ~F.col("outgoing"))).withColumnRenamed("id", "at")
+    other = symbols.where(F.col("kind") != K.UNKNOWN).select(F.col("id").alias("other_id"), is_vendor(F.col("file")).alias("into_vendor"))
     home = symbols.select("id", is_vendor(F.col("file")).alias("from_vendor"))
     frontier = starts.select("rank", "id").join(home, "id").select("rank", F.col("id").alias("at"), "from_vendor", F.lit(0).cast("bigint").alias("parent"))
+    frontier = scratch.write(frontier, "start")
     visited, found = frontier.select("rank", F.col("at").alias("id")), None
     for level in range(1, depth + 1):
-        reached = frontier.join(ways, "at").where(~((F.col("kind") == K.REFERENCES) & ~F.col("from_vendor") & F.col("into_vendor")))
+        # the frontier is at most ``budget`` rows a start, so the edges are scanned and not shuffled
+        reached = ways.join(F.broadcast(frontier), "at").join(other, "other_id").where(~((F.col("kind") == K.REFERENCES) & ~F.col("from_vendor") & F.col("into_vendor")))
         # newest edges first, as they are added in front of older ones
         place = F.array(F.lit(level).cast("bigint"), F.col("parent"), -F.col("seq"), unsigned(F.col("other_id")))
-        reached = reached.select("rank", F.lit(level).alias("level"), F.col("other_id").alias("id"), "outgoing", place.alias("place"), "from_vendor")
+        reached = reached.groupBy("rank", F.col("other_id").alias("id"), "outgoing").agg(F.min(place).alias("place"), F.first("from_vendor").alias("from_vendor"))
+        reached = scratch.write(reached.withColumn("level", F.lit(level)), f"reached-{level}")
         found = reached if found is None else found.unionByName(reached)
         if level == depth:
             break
         fresh = reached.groupBy("rank", "id").agg(F.min("place").alias("place"), F.first("from_vendor").alias("from_vendor")).join(visited, ["rank", "id"], "left_anti")
         order = F.row_number().over(Window.partitionBy("rank").orderBy("place"))
-        fresh = fresh.withColumn("parent", order.cast("bigint")).where(F.col("parent") <= budget)
+        fresh = scratch.write(fresh.withColumn("parent", order.cast("bigint")).where(F.col("parent") <= budget), f"fresh-{level}")
         frontier = fresh.select("rank", F.col("id").alias("at"), "from_vendor", "parent")
         visited = visited.unionByName(fresh.select("rank", "id"))
-    return found.drop("from_vendor")
+    return found.select("rank", "level", "id", "outgoing", "place")
 
 
 def siblings(starts: DataFrame, symbols: DataFrame, skip: DataFrame | None = None, most: int = K.SIBLINGS) -> DataFrame:
@@ -103,7 +106,8 @@ def _kept(stages: DataFrame, budget: int) -> DataFrame:
 
 def collected(symbols: DataFrame, edges: DataFrame, seeds: DataFrame, budget: int = K.MOST_SET, depth: int = K.DEPTH) -> DataFrame:
     """id, score, reason of the set for ``seeds`` (id, score).  Seeds that fill the budget leave no room for others."""
-    starts = ranked_seeds(seeds).persist()  # at most MOST_SEEDS rows, used by every stage
+    scratch = Scratch(symbols.sparkSession, "collected")
+    starts = scratch.write(ranked_seeds(seeds), "starts")  # at most MOST_SEEDS rows, used by every stage
     none = F.lit(0).cast("bigint")
     stages = starts.select("id", F.lit(1).alias("stage"), F.array("rank").alias("place"), "score", F.lit("query match").alias("reason"))
     if starts.count() < budget:
@@ -112,18 +116,19 @@ def collected(symbols: DataFrame, edges: DataFrame, seeds: DataFrame, budget: in
         reason = F.when(F.col("outgoing"), "callee").otherwise("caller")
         walk = walk.select("id", F.lit(2).alias("stage"), F.concat(F.array("rank"), "place").alias("place"), score.alias("score"), reason.alias("reason"))
         # of all arrivals of a symbol only the first, and the best score of each reason, matter
-        stages = stages.unionByName(walk.groupBy("id", "stage", "score", "reason").agg(F.min("place").alias("place")).select("id", "stage", "place", "score", "reason"))
+        walk = walk.groupBy("id", "stage", "score", "reason").agg(F.min("place").alias("place")).select("id", "stage", "place", "score", "reason")
+        stages = scratch.write(stages.unionByName(walk), "walked")
         top = starts.where(F.col("rank") <= K.SEED_SPREAD)
         near = siblings(top, symbols, stages.select("id").distinct())
         score = F.when(F.col("is_public"), K.SIBLING_PUBLIC).otherwise(K.SIBLING_OTHER)
         near = near.select("id", F.lit(3).alias("stage"), F.array(F.col("rank"), F.col("place").cast("bigint")).alias("place"), score.alias("score"), F.when(F.col("is_public"), "co-file entrypoint").otherwise("co-file").alias("reason"))
         chain = include_chain(top, symbols, edges).select("id", F.lit(4).alias("stage"), F.array("rank", unsigned(F.col("id"))).alias("place"), F.lit(K.INCLUDE_CHAIN).alias("score"), F.lit("include-chain").alias("reason"))
-        stages = stages.unionByName(near).unionByName(chain)
+        stages = scratch.write(stages.unionByName(near).unionByName(chain), "around")
         so_far = _kept(stages, budget).join(symbols.select("id", "file"), "id")
         files = so_far.groupBy("file").agg(F.min("first").alias("first")).orderBy("first", "file").limit(K.ENTRYPOINT_FILES)
         files = files.withColumn("place", F.row_number().over(Window.orderBy("first", "file")).cast("bigint")).select("file", "place")
         entries = file_entrypoints(files, symbols).select("id", F.lit(5).alias("stage"), F.array("place", "seq", none).alias("place"), F.lit(K.ENTRYPOINT_SCORE).alias("score"), F.lit("file entrypoint").alias("reason"))
-        stages = stages.unionByName(entries)
+        stages = scratch.write(stages.unionByName(entries), "stages")
     kept = F.broadcast(_kept(stages, budget).select("id"))
     # the best score; of equal ones the reason that came first
     best = F.max_by(F.struct("score", "reason"), F.struct(F.col("score"), -F.col("stage"), F.transform("place", lambda p: -1 - p)))

@@ -292,7 +292,8 @@ SELECT id, round(CAST(score AS DOUBLE), 6) AS score, reason FROM best WHERE r =
 
 @query(COLLECTED_SQL)
 def retrieve_task_set(g: Graph) -> DataFrame:
-    return _rounded(retrieve.collected(g.symbols, g.edges, index.task_seeds(g.symbols, g.edges, NARROW)))
+    symbols, edges = g.symbols.persist(), g.edges.persist()  # a stored graph would be read, this one is derived
+    return _rounded(retrieve.collected(symbols, edges, index.task_seeds(symbols, edges, NARROW)))
 
 
 def _ids(g: Graph) -> DataFrame:
