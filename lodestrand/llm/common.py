@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import re
 import sys
-import tempfile
-import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrand.operators.scratch import Scratch, shared_dir  # noqa: F401
+
 #: The ASCII white space that the operators' contracts name.
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -18,43 +17,6 @@ ASCII_SPACE = r"[\x20\x09-\x0D]+"
 cloudpickle.register_pickle_by_value(sys.modules["lodestrand"])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one on a local master only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    global _local_dir
-    if _local_dir is None:
-        _local_dir = tempfile.mkdtemp(prefix="lodestrand-")
-    return "file://" + _local_dir
-
-
-_local_dir: str | None = None
-
-
-class Scratch:
-    """Tables written once to the shared folder: later plans read them again instead of recomputing their lineage,
-    and a lost executor takes nothing with it."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/lodestrand/{name}-{uuid.uuid4().hex}"
-
-    def path(self, table: str) -> str:
-        return f"{self.root}/{table}"
-
-    def write(self, df: DataFrame, table: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(table))
-        return self.spark.read.schema(df.schema).parquet(self.path(table))
-
-    def drop(self, table: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(table))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def normal_space(text: Column) -> Column:
     """Each run of ASCII white space becomes one space; null counts as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), ASCII_SPACE, " ")
