@@ -6,7 +6,8 @@ order, are a sequence; ordered rules, the longest first, are matched against it
 matched is used up.  Sentences that are not known drop out, so text between licence sentences does no harm.
 
 Licence texts may be wrapped in lines, or stand on a line of their own next to text without full stops; so a text is
-cut in two ways, at full stops only and at line ends too, and a licence counts as often as the better way finds it.
+cut in two ways, at stops only (colons and semicolons count before a line end) and at every line end too.  The way in
+which rules use more sentences counts; of equals, the first.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ RULES = [
 #: Every known sentence holds one of these, so a text without them has no finding.
 ANCHORS = ("licen", "copyright", "permission is", "redistribut", "public domain", "warrant")
 
-STOP = r"([a-z0-9\)\x22][.!?;:])\s+"
+STOP, LINE_STOP = r"([a-z0-9\)\x22][.!?])\s+", r"([a-z0-9\)\x22][;:])[ \t]*[\r\n]\s*"
 MARK = "\u0001"
 PATTERN = "|".join(sequence for sequence, _, _ in RULES)
 
@@ -88,17 +89,18 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     likely = F.lit(False)
     for a in ANCHORS:
         likely = likely | F.col("low").contains(a)
-    stops = F.regexp_replace("low", STOP, "$1" + MARK)
+    stops = F.regexp_replace(F.regexp_replace("low", STOP, "$1" + MARK), LINE_STOP, "$1" + MARK)
     lines = F.regexp_replace(stops, r"[\r\n]+", MARK)
     cut = rows.where(likely).select("doc_id", "row_id", F.explode(F.array(F.struct(F.lit(0).alias("way"), stops.alias("marked")), F.struct(F.lit(1).alias("way"), lines.alias("marked")))).alias("c"))
     sentences = cut.select("doc_id", "row_id", "c.way", F.posexplode(F.split("c.marked", MARK)).alias("pos", "raw"))
     codes = sentences.select("doc_id", "row_id", "way", "pos", normal(F.col("raw")).alias("sentence")).join(known, "sentence")
     # a document's licence sentences only
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "code")))
-    sequences = codes.groupBy("row_id", "doc_id", "way").agg(F.concat_ws("", F.transform(ordered, lambda x: x["code"])).alias("codes"))
-    hits = sequences.select("row_id", "doc_id", "way", F.explode(F.regexp_extract_all("codes", F.lit(f"({PATTERN})"), F.lit(1))).alias("sequence"))
-    counts = hits.join(rules, "sequence").groupBy("row_id", "doc_id", "way", "licence", "kind").agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy("row_id", "doc_id", "licence", "kind").agg(F.max("n").alias("n_matches")).drop("row_id")
+    ordered = lambda way: F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.when(F.col("way") == way, F.struct("pos", "code")))), lambda x: x["code"]))
+    sequences = codes.groupBy("row_id", "doc_id").agg(ordered(0).alias("codes_0"), ordered(1).alias("codes_1"))
+    found = lambda way: F.regexp_extract_all(f"codes_{way}", F.lit(f"({PATTERN})"), F.lit(1))
+    better = F.when(F.length(F.array_join(found(1), "")) > F.length(F.array_join(found(0), "")), found(1)).otherwise(found(0))
+    hits = sequences.select("row_id", "doc_id", F.explode(better).alias("sequence")).join(rules, "sequence")
+    return hits.groupBy("row_id", "doc_id", "licence", "kind").agg(F.count(F.lit(1)).alias("n_matches")).drop("row_id")
 
 
 def oracle() -> str:
@@ -110,12 +112,12 @@ def oracle() -> str:
     return rf"""
 WITH known AS (SELECT DISTINCT {norm('raw')} AS sentence, code FROM (VALUES {known}) v(raw, code)),
 rules AS (SELECT * FROM (VALUES {rules}) v(sequence, licence, kind)),
-marked AS (SELECT doc_id, regexp_replace(lower(text), '([a-z0-9\)\x22][.!?;:])\s+', '\1' || chr(1), 'g') AS m FROM documents),
+marked AS (SELECT doc_id, regexp_replace(regexp_replace(lower(text), '([a-z0-9\)\x22][.!?])\s+', '\1' || chr(1), 'g'), '([a-z0-9\)\x22][;:])[ \t]*[\r\n]\s*', '\1' || chr(1), 'g') AS m FROM documents),
 ways AS (SELECT doc_id, 0 AS way, m FROM marked UNION ALL SELECT doc_id, 1, regexp_replace(m, '[\r\n]+', chr(1), 'g') FROM marked),
 cut AS (SELECT doc_id, way, unnest(string_split(m, chr(1))) AS raw, generate_subscripts(string_split(m, chr(1)), 1) AS pos FROM ways),
 codes AS (SELECT doc_id, way, pos, code FROM cut JOIN known ON {norm('raw')} = sentence),
-seqs AS (SELECT doc_id, way, string_agg(code, '' ORDER BY pos) AS codes FROM codes GROUP BY doc_id, way),
-hits AS (SELECT doc_id, way, unnest(regexp_extract_all(codes, '{PATTERN}')) AS sequence FROM seqs),
-counts AS (SELECT doc_id, way, licence, kind, count(*) AS n FROM hits JOIN rules USING (sequence) GROUP BY doc_id, way, licence, kind)
-SELECT doc_id, licence, kind, CAST(max(n) AS BIGINT) AS n_matches FROM counts GROUP BY doc_id, licence, kind
+seqs AS (SELECT doc_id, way, regexp_extract_all(string_agg(code, '' ORDER BY pos), '{PATTERN}') AS found FROM codes GROUP BY doc_id, way),
+chosen AS (SELECT doc_id, found, row_number() OVER (PARTITION BY doc_id ORDER BY length(array_to_string(found, '')) DESC, way) AS r FROM seqs),
+hits AS (SELECT doc_id, unnest(found) AS sequence FROM chosen WHERE r = 1)
+SELECT doc_id, licence, kind, count(*) AS n_matches FROM hits JOIN rules USING (sequence) GROUP BY doc_id, licence, kind
 """

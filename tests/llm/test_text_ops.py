@@ -1,0 +1,202 @@
+import base64
+import hashlib
+import json
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestrand.llm import license_scan, lm_score, quality, secret_scan
+
+# secrets ---------------------------------------------------------------------------------------------------------------
+
+
+def der(tag, body):
+    n = len(body)
+    size = bytes([n]) if n < 128 else bytes([0x81, n]) if n < 256 else b"\x82" + n.to_bytes(2, "big")
+    return bytes([tag]) + size + body
+
+
+RSA = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([i + 1]) * 24) for i in range(8)))
+EC = der(0x30, der(2, b"\1") + der(4, b"k" * 32))
+PKCS8 = der(0x30, der(2, b"\0") + der(0x30, der(6, bytes.fromhex("2b6570"))) + der(4, b"s" * 34))
+OPENSSH = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"x" * 60
+b64 = lambda data: base64.b64encode(data).decode()
+SIGNED = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (json.dumps({"alg": "HS256"}).encode(), b'{"sub":1}', b"signature!"))
+
+
+def brute_base(text):
+    text, spans = text or "", []
+    assign = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    for kind, pattern, ok in (("assign", assign, lambda m: len(m[2]) >= 12), ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 18), ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 16)):
+        spans += [(m.start(), m.end(), kind) for m in re.finditer(pattern, text) if ok(m)]
+    return sorted(spans, key=lambda s: (s[0], secret_scan.BASE_KINDS.index(s[2])))
+
+
+TEXTS = [
+    "token: secret: aaaaaaaaaaaaaaaa", "PassWord='abcdefghijkl' api_key=short", "toKen = abcdefghijklmn", "AKIA" + "A" * 14 + " AKIA" + "B" * 13, "xAKIAxAKIA" + "Z9" * 10,
+    "é🎉 " + "ab" * 8 + " " + "ab" * 7 + "a", "0123456789abcdefABCDEF0123456789abcdef", "secret=AKIA" + "Q" * 20, "token=" + "f" * 40, "", "x" * 100,
+]
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_base_spans(text):
+    found = secret_scan.find_spans(text)
+    assert [s for s in found if s[2] in secret_scan.BASE_KINDS] == brute_base(text)
+
+
+@pytest.mark.parametrize("kind,inside", [("der", b64(RSA)), ("der", b64(EC)), ("der", b64(PKCS8)), ("der", RSA.hex()), ("openssh", b64(OPENSSH)), ("signed", SIGNED)])
+def test_confirmed_spans(kind, inside):
+    text = f"é see {inside} here"
+    assert (6, 6 + len(inside), kind) in secret_scan.find_spans(text)
+
+
+def test_look_alikes_are_not_reported():
+    broken = bytearray(RSA)
+    broken[4] ^= 0x40
+    for text in (b64(bytes(broken)), b64(b"just some plain text that is rather long, no key at all"), b64(OPENSSH[:20]), "eyJhbGciOjEyMzQ1Njc4OTB9.eyJhIjoxfQ.c2ln", "a" * 64 + "." + "b" * 10 + ".c"):
+        assert [s for s in secret_scan.find_spans(text) if s[2] not in secret_scan.BASE_KINDS] == []
+
+
+def test_pem_blocks():
+    body = "\n".join(re.findall(".{1,64}", b64(RSA)))
+    text = f"x\n-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----\ny"
+    assert (2, len(text) - 2, "pem") in secret_scan.find_spans(text)
+    assert not [s for s in secret_scan.find_spans(text.replace(body, "bm90IGEga2V5")) if s[2] == "pem"]
+
+
+def test_secret_scan_rows(odd, none):
+    got = secret_scan.secret_scan(odd).collect()
+    assert len(got) == odd.count() and {r.base_sha256 for r in got if r.n_hex + r.n_assign + r.n_access == 0} == {hashlib.sha256(b"").hexdigest()}
+    assert secret_scan.secret_scan(none).count() == 0
+
+
+def test_secret_scan_documents(documents):
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    for r in secret_scan.secret_scan(documents).collect():
+        base = brute_base(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(secret_scan.joined(base).encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[2] == k for s in base) for k in secret_scan.BASE_KINDS)
+
+
+def test_redaction(spark, odd):
+    rows = spark.createDataFrame([(1, "a token=abcdefghijklmnop b", 26), (2, "clean", 5), (None, None, None)], "doc_id bigint, text string, n_chars bigint")
+    assert [tuple(r) for r in secret_scan.redact(rows, length_col="n_chars").orderBy("doc_id").collect()] == [(None, None, None), (1, "a [SECRET] b", 12), (2, "clean", 5)]
+    assert secret_scan.redact(odd).count() == odd.count()
+
+
+# quality ---------------------------------------------------------------------------------------------------------------
+
+
+def test_quality_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    grades = quality.grades_of(spark.read.parquet(f"{sf}/labels.parquet"))
+    held = grades.where(F.xxhash64("doc_id", F.lit(1)) % 5 == 0)
+    model = quality.train(docs, grades.join(held, "doc_id", "left_anti"))
+    assert list(model.thresholds) == sorted(model.thresholds)
+    got = quality.score(docs.join(F.broadcast(held), "doc_id"), model).select("grade", "kept", "expected_grade", "tail_probability").toPandas()
+    kept = got.groupby("grade").kept.mean()
+    assert kept[2] > 0.99 and kept[0] < 0.15 and kept[1] < 0.15
+    means = got.groupby("grade").expected_grade.mean()
+    assert means[0] < means[1] < means[2]
+
+
+def test_the_fit_follows_the_likelihood():
+    rng = np.random.default_rng(0)
+    rows, grades = [], []
+    for _ in range(600):
+        slots = np.flatnonzero(rng.random(6) < 0.5)
+        z = (slots == 0).sum() * 3.0 - (slots == 1).sum() * 3.0 + rng.logistic()
+        rows.append((slots, np.ones(len(slots))))
+        grades.append(int(z > -1) + int(z > 1))
+    model = quality.fit(rows, np.array(grades), steps=400, l1=1e-4)
+    assert model.weights[0] > 1.5 and model.weights[1] < -1.5 and abs(model.weights[2]) < 0.6 and model.thresholds[0] < model.thresholds[1]
+
+
+def test_quality_odd_rows(spark, odd, none):
+    labels = spark.createDataFrame([(1, 1, 0), (4, 0, 1), (None, 1, 1), (5, None, None), (4, 1, 0)], "doc_id bigint, quality int, toxic int")
+    got = quality.quality_scores(odd, labels)
+    assert got.count() == odd.count() and got.columns == ["doc_id", "expected_grade", "tail_probability", "kept"]
+    assert quality.quality_scores(none, labels).count() == 0
+    assert quality.quality_scores(odd, labels.limit(0)).where("kept").count() == odd.count()
+    assert {r.doc_id: r.grade for r in quality.grades_of(labels).where("doc_id is not null").collect()} == {1: 2, 4: 0}
+
+
+# licences --------------------------------------------------------------------------------------------------------------
+
+
+def test_every_known_sentence_has_an_anchor():
+    for texts in license_scan.SENTENCES.values():
+        for s in texts:
+            assert any(a in s.lower() for a in license_scan.ANCHORS), s
+
+
+def test_rules(spark):
+    s = license_scan.SENTENCES
+    header = "\n".join(s[c][0] for c in "ABCDE").replace("(the \"License\");", "")
+    mit = "The MIT License (MIT).\n\n" + s["G"][0].replace(" to deal", "\nto deal") + "\n\n" + s["H"][0]
+    rows = [
+        (1, "prose here.\nReleased under the MIT License.\nmore"),
+        (2, "Intro. " + header),
+        (3, mit),
+        (4, "a | b\n" + s["I"][0] + "\n" + s["I"][0]),
+        (5, "this mentions a license but none is known."),
+        (6, s["J"][0].replace(" modify", "\nmodify") + " filler sentence. " + s["L"][0]),
+        (7, "RELEASED UNDER THE MIT LICENSE."),
+        (None, "MIT License"),
+        (8, None),
+    ]
+    got = {(r.doc_id, r.licence, r.kind, r.n_matches) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {(1, "MIT", "notice", 1), (2, "Apache-2.0", "header", 1), (3, "MIT", "text", 1), (4, "GPL-3.0-only", "notice", 2), (6, "GPL-3.0-or-later", "header", 1), (7, "MIT", "notice", 1), (None, "MIT", "notice", 1)}
+
+
+def test_license_scan_odd_rows(odd, none):
+    assert license_scan.license_scan(odd).count() == 0 and license_scan.license_scan(none).count() == 0
+
+
+# language model --------------------------------------------------------------------------------------------------------
+
+
+def test_probabilities_of_all_tokens_add_up():
+    net = lm_score.Network.initial(np.arange(lm_score.VALUES, dtype=float))
+    rng = np.random.default_rng(1)
+    net.p["to_class"] += rng.standard_normal(net.p["to_class"].shape).astype(np.float32)
+    net.p["to_member"] += rng.standard_normal(net.p["to_member"].shape).astype(np.float32)
+    around = np.array([5, 6, 0, 7, 8], np.int32)
+    total = 0.0
+    for t in range(0, lm_score.VALUES):
+        around[2] = t
+        total += np.exp(net.log_probabilities(around)[2])
+    assert abs(total - 1) < 1e-3
+
+
+def test_training_learns_order(spark):
+    rng = np.random.default_rng(4)
+    chain = [" ".join(f"w{(s + k) % 7}" for k in range(60)) for s in rng.integers(0, 7, 300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(chain)], "doc_id bigint, text string")
+    model = lm_score.train(docs, passes=4)
+    right, wrong = "w0 w1 w2 w3 w4 w5 w6 " * 5, "w3 w0 w6 w1 w5 w2 w4 " * 5
+    two = spark.createDataFrame([(1, right), (2, wrong)], "doc_id bigint, text string")
+    got = {r.doc_id: r.mean_log_probability for r in lm_score.lm_score(two, model=model).collect()}
+    assert got[1] > got[2] + 0.5
+
+
+def test_gradients_are_those_of_the_loss():
+    net = lm_score.Network.initial(np.ones(lm_score.VALUES))
+    rng = np.random.default_rng(2)
+    for k in ("to_class", "to_member"):
+        net.p[k] += rng.standard_normal(net.p[k].shape).astype(np.float32) * 0.3
+    tokens = rng.integers(0, lm_score.VALUES, 40).astype(np.int32)
+    before = net.log_probabilities(tokens).sum()
+    memory = {k: np.full_like(v, 1.0) for k, v in net.p.items()}
+    net.learn(net.windows(tokens, np.arange(40)), tokens, memory, rate=0.01)
+    assert net.log_probabilities(tokens).sum() > before
+
+
+def test_lm_score_odd_rows(odd, none):
+    got = lm_score.lm_score(odd).collect()
+    assert len(got) == odd.count()
+    assert all(r.log_probability == 0 and r.mean_log_probability is None for r in got if r.n_tokens == 0) and any(r.n_tokens == 90_001 for r in got)
+    assert lm_score.lm_score(none).count() == 0
