@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.functions import constants as K
@@ -66,12 +66,11 @@ def task_seeds(symbols: DataFrame, edges: DataFrame, text: str, most: int = K.MO
     return top(scores(matches(postings(symbols, edges), terms_table(symbols, text))), most)
 
 
-def field_scores(symbols: DataFrame, terms: DataFrame) -> DataFrame:
+def field_scores(symbols: DataFrame, terms: Column) -> DataFrame:
     """id and score of symbols against all terms, field by field; those that no term hits are left out.
 
-    The terms become one array beside each symbol (a cross join with a single row), and no row is multiplied.
+    ``terms`` is an array beside each symbol, so no row is multiplied.
     """
-    one = F.broadcast(terms.groupBy().agg(F.collect_list("term").alias("terms")))
     c, name = F.col, F.lower(F.col("name"))
 
     def per_term(t):
@@ -88,7 +87,7 @@ def field_scores(symbols: DataFrame, terms: DataFrame) -> DataFrame:
             total = total + p
         return total
 
-    rows = symbols.where(F.col("kind") != K.UNKNOWN).crossJoin(one).withColumn("per_term", F.transform("terms", per_term))
+    rows = symbols.where(F.col("kind") != K.UNKNOWN).withColumn("per_term", F.transform(terms, per_term))
     covered = F.size(F.filter("per_term", lambda x: x > 0))
     total = F.aggregate("per_term", F.lit(0.0), lambda a, b: a + b) + covered * 8 + S.kind_importance(c("kind"))
     total = total + F.when(c("is_definition"), 6.0).otherwise(0.0) + F.when(S.is_public_entrypoint(), 14.0).otherwise(0.0)
@@ -101,7 +100,7 @@ def symbol_anchor_scores(symbols: DataFrame, text: str) -> DataFrame:
     anchor = F.lit(text.split(None, 1)[0] if text.split() and not text[0].isspace() else "")
     whole = F.lower("name") == F.lower(anchor)
     part = T.contains_folded(F.col("name"), anchor, False)
-    by_field = field_scores(symbols, terms_table(symbols, text)).withColumnRenamed("score", "field_score")
+    by_field = field_scores(symbols, T.terms(F.lit(text))).withColumnRenamed("score", "field_score")
     score = F.when(whole, 200.0 + S.kind_importance(F.col("kind"))).when(part, 100.0 + S.kind_importance(F.col("kind"))).otherwise(F.coalesce("field_score", F.lit(0.0)))
     return symbols.join(by_field, "id", "left").select("id", score.alias("score")).where(F.col("score") >= K.LEAST_SCORE)
 

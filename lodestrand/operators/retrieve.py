@@ -7,7 +7,7 @@ A level of the expansion holds at most ``budget`` new symbols for each seed: lat
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions import constants as K
@@ -178,11 +178,10 @@ def edge_groups(ids: DataFrame, edges: DataFrame, symbols: DataFrame, most: int
     return rows.groupBy("id", "edge_group").agg(names.alias("names"))
 
 
-def entrypoint_hints(files: DataFrame, symbols: DataFrame, terms: DataFrame, most: int = 3) -> DataFrame:
+def entrypoint_hints(files: DataFrame, symbols: DataFrame, terms: Column, most: int = 3) -> DataFrame:
     """file, hints: public entrypoints of each file, those that match a term first."""
-    one = F.broadcast(terms.groupBy().agg(F.collect_list("term").alias("terms")))
-    rows = symbols.where(S.is_public_entrypoint()).join(F.broadcast(files.select("file")), "file").crossJoin(one)
-    hit = F.exists("terms", lambda t: F.lower("name").contains(t) | F.lower("signature").contains(t))
+    rows = symbols.where(S.is_public_entrypoint()).join(files.select("file"), "file")
+    hit = F.exists(terms, lambda t: F.lower("name").contains(t) | F.lower("signature").contains(t))
     rows = rows.select("file", "name", "seq", "id", hit.alias("hit"))
     place = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("hit"), "seq", "id"))
     rows = rows.withColumn("place", place).where(F.col("place") <= most)

@@ -112,7 +112,7 @@ class Engine:
                 peers.setdefault(r.file, []).append(r.peer)
             out = render.full(text, terms, found, groups, peers, self.root)
         else:
-            hints = {r.file: r.hints for r in retrieve.entrypoint_hints(files, g.symbols, index.terms_table(g.symbols, text)).collect()}
+            hints = {r.file: r.hints for r in retrieve.entrypoint_hints(files, g.symbols, T.terms(F.lit(text))).collect()}
             out = render.packet(text, intent, terms, found, hints, self._cards(found[: K.PACKET_CARDS], intent), self.root)
         self.counters["query_ms"] += int((time.monotonic() - began) * 1000)
         return out

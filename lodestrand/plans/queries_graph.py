@@ -329,7 +329,7 @@ def edge_groups(g: Graph) -> DataFrame:
 SELECT file, string_agg(name, ',' ORDER BY place) AS hints FROM placed WHERE place <= 3 GROUP BY file
 """)
 def entrypoint_hints(g: Graph) -> DataFrame:
-    return retrieve.entrypoint_hints(g.symbols.select("file").distinct(), g.symbols, index.terms_table(g.symbols, NARROW))
+    return retrieve.entrypoint_hints(g.symbols.select("file").distinct(), g.symbols, T.terms(F.lit(NARROW)))
 
 
 RANKED_SQL = ", found AS (SELECT id, file, module, lang, id AS rank FROM sym WHERE id % 11 = 3)\n"
