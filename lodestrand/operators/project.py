@@ -7,7 +7,7 @@ from math import pi
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.functions import constants as K
@@ -22,6 +22,11 @@ PALETTE = 10
 STEP, REPULSION, SPRING, REST, CENTRE, COHESION, INSIDE, DAMPING, FASTEST = 0.62, 1800.0, 0.0048, 95.0, 0.004, 0.06, 0.22, 0.82, 30.0
 
 
+def colour(hashed: Column) -> Column:
+    """The unsigned hash modulo the palette."""
+    return (((F.shiftrightunsigned(hashed, 1) % PALETTE) * 2 + hashed.bitwiseAND(F.lit(1))) % PALETTE).cast("int")
+
+
 def node_candidates(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """Symbols with degree and weight.  With over 100 connected ones those without edges go, and unknown ones always."""
     rows = symbols.join(degrees(edges), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
@@ -35,10 +40,8 @@ def project_nodes(symbols: DataFrame, edges: DataFrame, most: int = K.GRAPH_NODE
     """The heaviest nodes with radius, module colour and first place."""
     top = node_candidates(symbols, edges).orderBy(F.desc("weight"), F.desc("degree"), unsigned(F.col("id"))).limit(most)
     radius = F.greatest(F.lit(4.0), F.least(F.lit(12.0), 3.5 + F.sqrt(F.col("degree") + 1) * 0.6))
-    hashed = fnv64(dirname(F.col("file")))
-    colour = ((F.shiftrightunsigned(hashed, 1) % PALETTE) * 2 + hashed.bitwiseAND(F.lit(1))) % PALETTE
     angle, far = unit_float(F.col("id")) * (2 * pi), F.lit(80.0) + unit_float(F.col("id").bitwiseXOR(F.lit(0xA531))) * 420.0
-    return top.select("id", "name", "file", "kind", "degree", "weight", radius.alias("radius"), colour.cast("int").alias("module_colour"), (F.cos(angle) * far).alias("x"), (F.sin(angle) * far).alias("y"))
+    return top.withColumn("hashed", fnv64(dirname(F.col("file")))).select("id", "name", "file", "kind", "degree", "weight", radius.alias("radius"), colour(F.col("hashed")).alias("module_colour"), (F.cos(angle) * far).alias("x"), (F.sin(angle) * far).alias("y"))
 
 
 def project_edges(edges: DataFrame, nodes: DataFrame, most: int = K.GRAPH_EDGES) -> DataFrame:

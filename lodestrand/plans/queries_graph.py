@@ -383,7 +383,7 @@ def _relation(name: str, id: int, kind: int, direction: int) -> None:
 
 
 _relation("expand_callers", 10000005, K.CALLS, -1)
-_relation("expand_callees", 41, K.CALLS, 1)
+_relation("expand_callees", 51, K.CALLS, 1)
 _relation("expand_refs", 10000005, K.REFERENCES, 0)
 
 
@@ -505,9 +505,17 @@ def force_step(g: Graph) -> DataFrame:
     return project.force_steps(nodes, project.project_edges(g.edges, nodes))
 
 
-@query()
+COLOURS_SQL = """
+, hashed AS (SELECT path, list_reduce(list_concat([14695981039346656037::HUGEINT], [ord(c)::HUGEINT FOR c IN string_split(regexp_replace(path, '/[^/]*$', ''), '')]),
+    lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS h FROM v_files)
+SELECT path, CAST(CASE WHEN h >= 9223372036854775808::HUGEINT THEN h - 18446744073709551616::HUGEINT ELSE h END AS BIGINT) AS hash, CAST(h % 10 AS INT) AS colour FROM hashed
+"""
+
+
+@query(COLOURS_SQL)
 def module_colours(g: Graph) -> DataFrame:
-    return g.files.select("path", fnv64(dirname(F.col("path"))).alias("hash"))
+    hashed = g.files.select("path", fnv64(dirname(F.col("path"))).alias("hash"))
+    return hashed.withColumn("colour", project.colour(F.col("hash")))
 
 
 @query("""SELECT (SELECT count(*) FROM v_symbols) AS symbols, (SELECT count(*) FROM v_edges) AS edges, (SELECT count(*) FROM v_files) AS files""")
