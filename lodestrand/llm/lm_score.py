@@ -37,24 +37,25 @@ KNOWN_WORDS = 400_000
 EDGE = VALUES  # beyond either end of a document
 
 
+class Hashed(dict):
+    """The value of a word, computed when it is first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        value = self[word] = xxhash.xxh32_intdigest(word, 3) % VALUES
+        return value
+
+
 class Words:
     """Hashed tokens of a text; the cache is bounded."""
 
     def __init__(self):
-        self.known: dict[str, int] = {}
+        self.known = Hashed()
 
     def tokens(self, text: str | None) -> np.ndarray:
         words = (text or "").lower().split()
-        known = self.known
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        try:
-            return np.array([known[w] for w in words], np.int32)
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh32_intdigest(w, 3) % VALUES
-            return np.array([known[w] for w in words], np.int32)
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        return np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
 
 
 class Network:
@@ -83,51 +84,67 @@ class Network:
         return np.stack([padded[at + reach + o] + k * (VALUES + 1) for k, o in enumerate(OFFSETS)], axis=1)
 
     @staticmethod
-    def _softmax(x: np.ndarray) -> np.ndarray:
-        x -= x.max(axis=1, keepdims=True)
+    def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """exp(x - c), in place, and its row sums; c is the largest entry, or each row's own where rows differ too much."""
+        x -= x.max()
+        if x.max(axis=1).min() < -60:
+            x -= x.max(axis=1, keepdims=True)
         np.exp(x, out=x)
-        x /= x.sum(axis=1, keepdims=True)
-        return x
+        return x, x.sum(axis=1)
+
+    def hidden(self, rows: np.ndarray) -> np.ndarray:
+        embed = self.p["embed"]
+        h = embed[rows[:, 0]]
+        for k in range(1, rows.shape[1]):
+            h += embed[rows[:, k]]
+        return np.tanh(h, out=h)
 
-    def forward(self, rows: np.ndarray, target: np.ndarray):
+    def logits(self, h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         p = self.p
-        hidden = np.tanh(p["embed"][rows].sum(axis=1))
-        group, member = target // CLASSES, target % CLASSES
-        a = self._softmax(hidden @ p["to_class"] + p["class_bias"])
-        b = self._softmax(hidden @ p["to_member"] + p["member_bias"][group])
-        return hidden, a, b, group, member
+        a, b = h @ p["to_class"], h @ p["to_member"]
+        a += p["class_bias"]
+        b += p["member_bias"][group]
+        return a, b
 
     def log_probabilities(self, tokens: np.ndarray) -> np.ndarray:
+        """The conditional log-probability of each token of a text."""
+        return self.scored(self.windows(tokens, np.arange(len(tokens))), tokens)
+
+    def scored(self, rows: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         out = np.empty(len(tokens))
         for i in range(0, len(tokens), BATCH):
-            at = np.arange(i, min(i + BATCH, len(tokens)))
-            _, a, b, group, member = self.forward(self.windows(tokens, at), tokens[at])
-            k = np.arange(len(at))
-            out[at] = np.log(np.maximum(a[k, group], 1e-30)) + np.log(np.maximum(b[k, member], 1e-30))
+            target = tokens[i : i + BATCH]
+            group, k = target // CLASSES, np.arange(len(target))
+            a, b = self.logits(self.hidden(rows[i : i + BATCH]), group)
+            (ea, sa), (eb, sb) = self._exponentials(a), self._exponentials(b)
+            ratio = np.maximum(ea[k, group] / sa, 1e-30).astype(np.float64) * np.maximum(eb[k, target % CLASSES] / sb, 1e-30)
+            out[i : i + BATCH] = np.log(ratio)
         return out
 
     def learn(self, rows: np.ndarray, target: np.ndarray, memory: dict[str, np.ndarray], rate: float = RATE) -> None:
         """One Adagrad step on a batch; ``memory`` has the squared gradients so far."""
-        p, n = self.p, len(target)
-        hidden, a, b, group, member = self.forward(rows, target)
-        k = np.arange(n)
-        a[k, group] -= 1
-        b[k, member] -= 1
-        a /= n
-        b /= n
-        dh = (a @ p["to_class"].T + b @ p["to_member"].T) * (1 - hidden * hidden)
-        member_bias = np.zeros_like(p["member_bias"])
-        np.add.at(member_bias, group, b)
-        for name, g in (("to_class", hidden.T @ a), ("to_member", hidden.T @ b), ("class_bias", a.sum(axis=0)), ("member_bias", member_bias)):
-            memory[name] += g * g
-            p[name] -= rate * g / np.sqrt(memory[name] + 1e-8)
-        flat = rows.ravel()
-        unique, inverse = np.unique(flat, return_inverse=True)
-        order = np.argsort(inverse, kind="stable")
-        spread = np.repeat(dh, rows.shape[1], axis=0)[order]
-        g = np.add.reduceat(spread, np.concatenate(([0], np.flatnonzero(np.diff(inverse[order])) + 1)), axis=0)
-        memory["embed"][unique] += g * g
-        p["embed"][unique] -= rate * g / np.sqrt(memory["embed"][unique] + 1e-8)
+        p, n, k = self.p, len(target), np.arange(len(target))
+        group, member = target // CLASSES, target % CLASSES
+        h = self.hidden(rows)
+        a, b = self.logits(h, group)
+        for x, hit in ((a, group), (b, member)):
+            e, total = self._exponentials(x)
+            e /= total[:, None]
+            e[k, hit] -= 1
+            e /= n
+        dh = (a @ p["to_class"].T + b @ p["to_member"].T) * (1 - h * h)
+        groups, sums = self._sums(group, b)
+        for name, at, g in (("to_class", ..., h.T @ a), ("to_member", ..., h.T @ b), ("class_bias", ..., a.sum(axis=0)), ("member_bias", groups, sums), ("embed", *self._sums(rows.ravel(), np.repeat(dh, rows.shape[1], axis=0)))):
+            memory[name][at] += g * g
+            p[name][at] -= rate * g / np.sqrt(memory[name][at] + 1e-8)
+
+    @staticmethod
+    def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct keys, and the sum of the rows of each."""
+        order = np.argsort(keys, kind="stable")
+        ordered = keys[order]
+        first = np.concatenate(([0], np.flatnonzero(np.diff(ordered)) + 1))
+        return ordered[first], np.add.reduceat(values[order], first, axis=0)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
@@ -147,8 +164,9 @@ def token_counts(texts: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, words = np.zeros(VALUES, np.int64), Words()
         for b in batches:
-            for t in b.column("text"):
-                total += np.bincount(words.tokens(t.as_py()), minlength=VALUES)
+            found = [words.tokens(t.as_py()) for t in b.column("text")]
+            if found:
+                total += np.bincount(np.concatenate(found), minlength=VALUES)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["token", "n"])
 
@@ -224,6 +242,28 @@ def train(docs: DataFrame, text_col: str = "text", passes: int = PASSES) -> Netw
     return model
 
 
+def model_sums(model: Network, texts: list[np.ndarray]) -> list[float]:
+    """The sum of log-probabilities of each text; short texts go through the network together."""
+    sums, held, size = [], [], 0
+
+    def flush() -> None:
+        if held:
+            rows = np.concatenate([model.windows(t, np.arange(len(t))) for t in held])
+            scores = np.append(model.scored(rows, np.concatenate(held)), 0.0)
+            ends = np.cumsum([0, *map(len, held)])
+            sums.extend(float(scores[a:b].sum()) for a, b in zip(ends, ends[1:]))
+            held.clear()
+
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= 16 * BATCH:
+            flush()
+            size = 0
+    flush()
+    return sums
+
+
 def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Network | None = None) -> DataFrame:
     """One row per input row: doc_id, n_tokens, log_probability (the sum), mean_log_probability.
 
@@ -237,7 +277,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
         words = Words()
         for b in batches:
             tokens = [words.tokens(t.as_py()) for t in b.column("text")]
-            sums = [float(sent.value.log_probabilities(t).sum()) for t in tokens]
+            sums = model_sums(sent.value, tokens)
             means = [s / len(t) if len(t) else None for s, t in zip(sums, tokens)]
             out = [pa.array([len(t) for t in tokens], pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *out], ["doc_id", "n_tokens", "log_probability", "mean_log_probability"])
