@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -21,6 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _local_dir is None:
         _local_dir = tempfile.mkdtemp(prefix="lodestrand-")
+        atexit.register(shutil.rmtree, _local_dir, ignore_errors=True)
     return "file://" + _local_dir
 
 

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from lodestrand.functions import constants as K
 from lodestrand.functions import hashing, paths, symbols
 from lodestrand.functions import text as T
 
@@ -26,8 +27,8 @@ def test_terms(spark):
 
 
 def test_symbol_tokens(spark):
-    got = one(spark, T.symbol_tokens(F.lit("ctx_live_beta"), F.lit("/p/live.c"), F.lit(""), F.lit("int ctx_live_beta(void) ")))[0]
-    assert got == ["ctx", "live", "beta", "ctx_live_beta", "int"]
+    got = one(spark, T.symbol_tokens(F.lit("app_live_beta"), F.lit("/p/live.c"), F.lit(""), F.lit("int app_live_beta(void) ")))[0]
+    assert got == ["app", "live", "beta", "app_live_beta", "int"]
     assert one(spark, T.symbol_tokens(F.lit("fooBar"), F.lit("x"), F.lit("Sc"), F.lit("")))[0] == ["foo", "bar", "foobar", "sc"]
 
 
@@ -72,6 +73,8 @@ def test_intents_and_small_functions(spark):
 
 
 def test_token_scores(spark):
-    row = spark.createDataFrame([("ctx_live_beta", "/p/live.c", "", "int ctx_live_beta(void) ", 0, 5, 7, True)], "name string, file string, scope string, signature string, kind int, line int, end_line int, is_definition boolean")
-    got = row.select(*[symbols.token_score(F.lit(t), F.lit(0.15)) for t in ("ctx_live_beta", "ctx", "live")]).first()
+    prefix = K.PUBLIC_PREFIXES[0]
+    name = f"{prefix}live_beta"
+    row = spark.createDataFrame([(name, "/p/live.c", "", f"int {name}(void) ", 0, 5, 7, True)], "name string, file string, scope string, signature string, kind int, line int, end_line int, is_definition boolean")
+    got = row.select(*[symbols.token_score(F.lit(t), F.lit(0.15)) for t in (name, prefix.strip("_"), "live")]).first()
     assert [round(x, 2) for x in got] == [76.15, 58.15, 44.15]

@@ -10,8 +10,8 @@ from lodestrand.plans.virtual import Graph, virtual_graph
 from lodestrand.sources.extract import extract_files, extract_text
 from lodestrand.streaming import maintain
 
-LIVE_2 = "int ctx_live_alpha(void) {\n    return 1;\n}\n\nint ctx_live_beta(void) {\n    return ctx_live_alpha() + 1;\n}\n"
-LIVE_3 = "int ctx_live_alpha(void) {\n    return 42;\n}\n"
+LIVE_2 = "int app_live_alpha(void) {\n    return 1;\n}\n\nint app_live_beta(void) {\n    return app_live_alpha() + 1;\n}\n"
+LIVE_3 = "int app_live_alpha(void) {\n    return 42;\n}\n"
 
 
 def symbol(id, name, file, line=1, kind=0, end=3, signature="int f(void) ", scope="", lang=0, definition=True):
@@ -122,7 +122,7 @@ def test_handles():
 @pytest.mark.parametrize(
     "path,text,names,edges",
     [
-        ("/a/live.c", LIVE_2, {("ctx_live_alpha", 0, 1, 3), ("ctx_live_beta", 0, 5, 7)}, {("ctx_live_beta", "ctx_live_alpha", 0)}),
+        ("/a/live.c", LIVE_2, {("app_live_alpha", 0, 1, 3), ("app_live_beta", 0, 5, 7)}, {("app_live_beta", "app_live_alpha", 0)}),
         ("/a/m.py", "import os\nclass Alpha(Basis):\n    def run(self):\n        return helper(os.name)\n\ndef helper(x):\n    return x\n", {("Alpha", 2, 2, 4), ("run", 1, 3, 4), ("helper", 0, 6, 7), ("os", 8, 1, 1)}, {("Alpha", "Basis", 4), ("run", "helper", 0)}),
         ("/a/m.go", "package m\ntype Point struct {\n  x int\n}\nfunc (p Point) Move() {\n  shift(p)\n}\nfunc shift(p Point) {\n}\n", {("Point", 3, 2, 4), ("Move", 1, 5, 7), ("shift", 0, 8, 9)}, {("Move", "shift", 0)}),
         ("/a/m.rs", "struct Point { x: i32 }\nfn area(p: Point) -> i32 {\n  width_of(p)\n}\n", {("Point", 3, 1, 1), ("area", 0, 2, 4)}, {("area", "width_of", 0)}),
@@ -147,7 +147,7 @@ def test_broken_sources_do_not_stop_extraction():
 def tree(tmp_path):
     (tmp_path / "src" / "build").mkdir(parents=True)
     (tmp_path / "src" / "live.c").write_text(LIVE_2)
-    (tmp_path / "src" / "_under.py").write_text("def under_score(x):\n    return ctx_live_beta(x)\n")
+    (tmp_path / "src" / "_under.py").write_text("def under_score(x):\n    return app_live_beta(x)\n")
     (tmp_path / "src" / "build" / "skipped.c").write_text("int skipped(void) {\n}\n")
     (tmp_path / "src" / "binary.c").write_bytes(b"\0\1")
     return tmp_path
@@ -157,19 +157,19 @@ def test_index_query_and_expand(spark, tree):
     root = str(tree / "src")
     engine = Engine.index(spark, root, str(tree / "store"))
     names = {r.name: r.id for r in engine.graph.symbols.collect()}
-    assert {"ctx_live_alpha", "ctx_live_beta", "under_score"} == set(names)
-    assert {(r.from_id, r.to_id) for r in engine.graph.edges.collect()} == {(names["ctx_live_beta"], names["ctx_live_alpha"]), (names["under_score"], names["ctx_live_beta"])}
+    assert {"app_live_alpha", "app_live_beta", "under_score"} == set(names)
+    assert {(r.from_id, r.to_id) for r in engine.graph.edges.collect()} == {(names["app_live_beta"], names["app_live_alpha"]), (names["under_score"], names["app_live_beta"])}
 
-    out = engine.retrieve("task", "fix ctx_live_beta")
-    assert "INTENT: edit" in out and "TERMS: fix ctx_live_beta" in out and "edit-target" in out and "relation: out ctx_live_alpha live.c:1" in out
-    assert "FILE " in engine.retrieve("task", "fix ctx_live_beta", "full")
+    out = engine.retrieve("task", "fix app_live_beta")
+    assert "INTENT: edit" in out and "TERMS: fix app_live_beta" in out and "edit-target" in out and "relation: out app_live_alpha live.c:1" in out
+    assert "FILE " in engine.retrieve("task", "fix app_live_beta", "full")
     assert engine.retrieve("task", "zzzz qqqq").startswith("ERROR: no symbols")
-    assert "ctx_live_beta" in engine.retrieve("file", "live.c") and "under_score" in engine.retrieve("symbol", "under_score")
+    assert "app_live_beta" in engine.retrieve("file", "live.c") and "under_score" in engine.retrieve("symbol", "under_score")
 
-    uid = names["ctx_live_beta"] % 2**64
+    uid = names["app_live_beta"] % 2**64
     assert "LINES" not in engine.expand(f"expand:lines:{uid}:1-999") and ":5-7\n" in engine.expand(f"expand:lines:{uid}:1-999")
-    assert "return ctx_live_alpha() + 1;" in engine.expand(f"expand:source:{uid}")
-    assert "under_score" in engine.expand(f"expand:callers:{uid}") and "ctx_live_alpha" in engine.expand(f"expand:callees:{uid}")
+    assert "return app_live_alpha() + 1;" in engine.expand(f"expand:source:{uid}")
+    assert "under_score" in engine.expand(f"expand:callers:{uid}") and "app_live_alpha" in engine.expand(f"expand:callees:{uid}")
     assert "- entrypoints_total: 2" in engine.expand("expand:file:live.c") and "- entrypoints_listed: 2" in engine.expand("expand:entrypoints:live.c")
     assert "role: expanded" in engine.expand(f"expand:symbol:{uid}")
     for bad in ("x", "expand:file", "expand:symbol:zz", "expand:symbol:1", "expand:nothing:" + str(uid), f"expand:lines:{uid}:0-1"):
@@ -183,7 +183,7 @@ def test_index_query_and_expand(spark, tree):
     os.utime(tree / "src" / "live.c", (1, 1))
     os.remove(tree / "src" / "_under.py")
     again = Engine.index(spark, root, str(tree / "store"))
-    assert [r.name for r in again.graph.symbols.collect()] == ["ctx_live_alpha"] and again.graph.edges.count() == 0 and again.generation == 2
+    assert [r.name for r in again.graph.symbols.collect()] == ["app_live_alpha"] and again.graph.edges.count() == 0 and again.generation == 2
 
 
 def test_stream_of_changes(spark, tree):
@@ -199,12 +199,12 @@ def test_stream_of_changes(spark, tree):
         keeper.start(maintain.read_changes(spark, str(folder)), str(tree / "progress"), once=True).awaitTermination()
         return {r.name for r in keeper.store.load().symbols.collect()}
 
-    assert send(1, (1, "created", live), (2, "created", under)) == {"ctx_live_alpha", "ctx_live_beta", "under_score"}
+    assert send(1, (1, "created", live), (2, "created", under)) == {"app_live_alpha", "app_live_beta", "under_score"}
     assert keeper.store.load().edges.count() == 2
     (tree / "src" / "live.c").write_text(LIVE_3)
-    assert send(2, (3, "modified", live), (4, "deleted", under)) == {"ctx_live_alpha"}
+    assert send(2, (3, "modified", live), (4, "deleted", under)) == {"app_live_alpha"}
     shutil.move(live, f"{root}/moved.c")
-    assert send(3, (5, "renamed", f"{root}/moved.c", live)) == {"ctx_live_alpha"}
+    assert send(3, (5, "renamed", f"{root}/moved.c", live)) == {"app_live_alpha"}
     assert {r.file for r in keeper.store.load().symbols.collect()} == {f"{root}/moved.c"}
 
 

@@ -45,7 +45,7 @@ def test_config_text(spark):
     block = lambda t: one(config_text.with_marked_block(F.lit(t), "# <<", "# >>", "a $1 \\b"))
     assert block("x") == "x\n# <<\na $1 \\b\n# >>\n"
     assert block("x\n# <<\nold\n# >>\ny") == "x\n# <<\na $1 \\b\n# >>\ny"
-    toml = "a = 1\n[t.ctx]\nb = 2\n\nc = 3\n[t.ctxx]\nd = 4\n"
-    assert one(config_text.without_toml_table(F.lit(toml), "[t.ctx]")) == "a = 1\n[t.ctxx]\nd = 4\n"
-    assert one(config_text.without_toml_table(F.lit("[t.ctx]\nb = 2"), "[t.ctx]")) == ""
+    toml = "a = 1\n[t.own]\nb = 2\n\nc = 3\n[t.owned]\nd = 4\n"
+    assert one(config_text.without_toml_table(F.lit(toml), "[t.own]")) == "a = 1\n[t.owned]\nd = 4\n"
+    assert one(config_text.without_toml_table(F.lit("[t.own]\nb = 2"), "[t.own]")) == ""
     assert [one(config_text.wants_client(F.lit(c), "beta")) for c in ("", "all", "Alpha, BETA", "alpha")] == [True, True, True, False]
