@@ -7,8 +7,8 @@ edges are grouped by unit and folded.
 
 For a unigram model the fold is Viterbi's, with Spark's ``aggregate``.  The best path of a BPE model is not the path of the
 largest sum, so there the fold merges: each step takes, of the edges that join two neighbouring symbols, the one with
-the best score, the leftmost of equals.  As an ``aggregate`` that took over ten times the CPU (see the README), so it runs
-over the same grouped edges in an Arrow map.  Units of more than ``LONG`` characters, whose lattice would be deep, are
+the best score, the leftmost of equals.  As an ``aggregate`` that was far too slow (see the README), so it runs over the
+same grouped edges in an Arrow map.  Units of more than ``LONG`` characters, whose lattice would be deep, are
 folded by the same rules with a heap.  Characters without a piece fall back to bytes, or to the unknown id.
 """
 
