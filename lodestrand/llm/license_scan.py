@@ -39,6 +39,24 @@ SENTENCES = {
     "T": ["Licensed under the BSD 3-Clause License.", "Licensed under the 3-Clause BSD License."],
 }
 
+# The Creative Commons Attribution licences by their codes above and below.
+CC_BY = {
+    "R": ("CC BY", "Attribution"),
+    "a": ("CC BY-SA", "Attribution-ShareAlike"),
+    "b": ("CC BY-NC", "Attribution-NonCommercial"),
+    "c": ("CC BY-ND", "Attribution-NoDerivatives"),
+    "d": ("CC BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    "e": ("CC BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+}
+CC_FORMS = [
+    "{0} 4.0", "Licensed under {0} 4.0.", "Licensed under a {0} 4.0 license.", "Licensed under the {0} 4.0 license.", "Released under {0} 4.0.", "Available under {0} 4.0.",
+    "This work is licensed under {0} 4.0.", "This work is licensed under a {0} 4.0 license.", "Content is licensed under {0} 4.0.", "This project is licensed under {0} 4.0.",
+    "This work is licensed under a Creative Commons {1} 4.0 International License.", "This work is licensed under the Creative Commons {1} 4.0 International License.",
+    "Licensed under a Creative Commons {1} 4.0 International License.", "Licensed under the Creative Commons {1} 4.0 International License.", "Creative Commons {1} 4.0 International License", "Creative Commons {1} 4.0 International",
+]
+for _code, _names in CC_BY.items():
+    SENTENCES[_code] = list(dict.fromkeys(SENTENCES.get(_code, []) + [form.format(*_names) for form in CC_FORMS]))
+
 # Rules in order; of two that fit at one place the earlier is taken.
 RULES = [
     ("ABCDE", "Apache-2.0", "header"),
@@ -59,10 +77,11 @@ RULES = [
     ("R", "CC-BY-4.0", "notice"),
     ("S", "Unlicense", "text"),
     ("T", "BSD-3-Clause", "notice"),
+    *[(code, name.replace(" ", "-") + "-4.0", "notice") for code, (name, _) in CC_BY.items() if code != "R"],
 ]
 
 #: Every known sentence holds one of these, so a text without them has no finding.
-ANCHORS = ("licen", "copyright", "permission is", "redistribut", "public domain", "warrant")
+ANCHORS = ("licen", "copyright", "permission is", "redistribut", "public domain", "warrant", "creative commons", "cc by")
 
 STOP, LINE_STOP = r"([a-z0-9\)\x22][.!?])\s+", r"([a-z0-9\)\x22][;:])[ \t]*[\r\n]\s*"
 MARK = "\u0001"

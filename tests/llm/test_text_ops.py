@@ -152,6 +152,28 @@ def test_rules(spark):
     assert got == {(1, "MIT", "notice", 1), (2, "Apache-2.0", "header", 1), (3, "MIT", "text", 1), (4, "GPL-3.0-only", "notice", 2), (6, "GPL-3.0-or-later", "header", 1), (7, "MIT", "notice", 1), (None, "MIT", "notice", 1)}
 
 
+def licences(spark, texts):
+    """The (licence, kind) pairs of each text."""
+    rows = license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    return [{(r.licence, r.kind) for r in rows if r.doc_id == i} for i in range(len(texts))]
+
+
+def test_licence_lines_found_in_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where(r"line rlike '(?i)^(this work is )?(licensed|released) under .{1,80}[.]$'")
+    names = {r.line for r in lines.distinct().collect()}
+    assert "Licensed under CC BY-NC 4.0." in names
+    found = dict(zip(sorted(names), licences(spark, sorted(names))))
+    assert found["Licensed under CC BY-NC 4.0."] == {("CC-BY-NC-4.0", "notice")} and all(found.values()), found
+    got = {r.doc_id for r in license_scan.license_scan(docs).collect()}
+    assert got == {r.doc_id for r in docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").isin(*names)).collect()}
+
+
+def test_creative_commons_variants(spark):
+    lines = ["x.\nLicensed under CC BY-SA 4.0.\ny", "CC BY-NC-ND 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike\n4.0 International License.", "Licensed under CC BY 4.0."]
+    assert licences(spark, lines) == [{(f"CC-{v}-4.0", "notice")} for v in ("BY-SA", "BY-NC-ND", "BY-NC-SA", "BY")]
+
+
 def test_license_scan_odd_rows(odd, none):
     assert license_scan.license_scan(odd).count() == 0 and license_scan.license_scan(none).count() == 0
 
