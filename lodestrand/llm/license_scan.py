@@ -38,6 +38,18 @@ SENTENCES = {
     "S": ["This is free and unencumbered software released into the public domain."],
     "T": ["Licensed under the BSD 3-Clause License.", "Licensed under the 3-Clause BSD License."],
 }
+# In published texts, as wrapped: 'v.' ends a sentence for the cutter, the URL line ends none, and a line without a stop,
+# as a copyright line is, runs into the sentence after it, so rules go by the later sentences too.
+SENTENCES |= {
+    "f": ["This Source Code Form is subject to the terms of the Mozilla Public License, v."],
+    "U": [f"{SENTENCES['C'][0].replace('http:', scheme)} {SENTENCES['D'][0]}" for scheme in ("http:", "https:")],
+    "V": [f"Neither the name of {who} {what} be used to endorse or promote products derived from this software without specific prior written permission." for who in ("the copyright holder", "the copyright owner", "the author", "the University", "the project", "the organization", "the <organization>", "the <ORGANIZATION>", "copyright holder") for what in ("nor the names of its contributors may", "nor the names of contributors may", "nor the names of its contributors might")]
+    + [f"nor the names of its {who} may be used to endorse or promote products derived from this software without specific prior written permission." for who in ("contributors", "developers")]
+    + ["The names of its contributors may not be used to endorse or promote products derived from this software without specific prior written permission."],
+    "W": ["THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."],
+    "X": ["All advertising materials mentioning features or use of this software must display the following acknowledgement:"],
+}
+SENTENCES["C"] = [*SENTENCES["C"], SENTENCES["C"][0].replace("http:", "https:")]
 
 # The Creative Commons Attribution licences by their codes above and below.
 CC_BY = {
@@ -60,11 +72,21 @@ for _code, _names in CC_BY.items():
 # Rules in order; of two that fit at one place the earlier is taken.
 RULES = [
     ("ABCDE", "Apache-2.0", "header"),
+    ("ABUE", "Apache-2.0", "header"),
+    ("ABU", "Apache-2.0", "header"),
+    ("BUE", "Apache-2.0", "header"),
+    ("BU", "Apache-2.0", "header"),
     ("ABCD", "Apache-2.0", "header"),
     ("ABDE", "Apache-2.0", "header"),
     ("FGH", "MIT", "text"),
     ("GH", "MIT", "text"),
+    ("HW", "MIT", "text"),
+    ("MNOXV", "BSD-4-Clause", "text"),
+    ("NOXV", "BSD-4-Clause", "text"),
+    ("MNOV", "BSD-3-Clause", "text"),
+    ("NOV", "BSD-3-Clause", "text"),
     ("MNO", "BSD-2-Clause", "text"),
+    ("NO", "BSD-2-Clause", "text"),
     ("JL", "GPL-3.0-or-later", "header"),
     ("KL", "GPL-2.0-or-later", "header"),
     ("A", "Apache-2.0", "notice"),
@@ -73,6 +95,7 @@ RULES = [
     ("J", "GPL-3.0-or-later", "notice"),
     ("K", "GPL-2.0-or-later", "notice"),
     ("P", "ISC", "text"),
+    ("f", "MPL-2.0", "notice"),
     ("Q", "MPL-2.0", "notice"),
     ("R", "CC-BY-4.0", "notice"),
     ("S", "Unlicense", "text"),
@@ -81,7 +104,7 @@ RULES = [
 ]
 
 #: Every known sentence holds one of these, so a text without them has no finding.
-ANCHORS = ("licen", "copyright", "permission is", "redistribut", "public domain", "warrant", "creative commons", "cc by")
+ANCHORS = ("licen", "copyright", "permission is", "redistribut", "public domain", "warrant", "creative commons", "cc by", "endorse", "advertising")
 
 STOP, LINE_STOP = r"([a-z0-9\)\x22][.!?])\s+", r"([a-z0-9\)\x22][;:])[ \t]*[\r\n]\s*"
 MARK = "\u0001"

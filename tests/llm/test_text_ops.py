@@ -174,6 +174,68 @@ def test_creative_commons_variants(spark):
     assert licences(spark, lines) == [{(f"CC-{v}-4.0", "notice")} for v in ("BY-SA", "BY-NC-ND", "BY-NC-SA", "BY")]
 
 
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+APACHE = """Copyright [yyyy] [name of copyright owner]
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+BSD2 = """Copyright (c) 2001 A Holder
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+DISCLAIMER = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+MIT = """MIT License
+
+Copyright (c) 2001 A Holder
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE FOR ANY CLAIM."""
+
+
+def test_published_texts_as_wrapped(spark):
+    texts = [MPL, APACHE, "\n".join(f"# {line}".rstrip() for line in APACHE.split("\n")), BSD2 + DISCLAIMER, BSD3 + DISCLAIMER, BSD3.replace("A Holder", "A Holder.\nAll rights reserved."), MIT]
+    want = [("MPL-2.0", "notice"), ("Apache-2.0", "header"), ("Apache-2.0", "header"), ("BSD-2-Clause", "text"), ("BSD-3-Clause", "text"), ("BSD-3-Clause", "text"), ("MIT", "text")]
+    assert licences(spark, texts) == [{w} for w in want]
+
+
 def test_license_scan_odd_rows(odd, none):
     assert license_scan.license_scan(odd).count() == 0 and license_scan.license_scan(none).count() == 0
 
