@@ -103,7 +103,7 @@ RULES = [
     *[(code, name.replace(" ", "-") + "-4.0", "notice") for code, (name, _) in CC_BY.items() if code != "R"],
 ]
 
-#: Every known sentence holds one of these, so a text without them has no finding.
+#: Every known sentence, normalised, holds one of these, so a normalised text without them has no finding.
 ANCHORS = ("licen", "copyright", "permission is", "redistribut", "public domain", "warrant", "creative commons", "cc by", "endorse", "advertising")
 
 STOP, LINE_STOP = r"([a-z0-9\)\x22][.!?])\s+", r"([a-z0-9\)\x22][;:])[ \t]*[\r\n]\s*"
@@ -130,10 +130,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), low.alias("low"))
     likely = F.lit(False)
     for a in ANCHORS:
-        likely = likely | F.col("low").contains(a)
+        likely = likely | F.col("flat").contains(a)
     stops = F.regexp_replace(F.regexp_replace("low", STOP, "$1" + MARK), LINE_STOP, "$1" + MARK)
     lines = F.regexp_replace(stops, r"[\r\n]+", MARK)
-    cut = rows.where(likely).select("doc_id", "row_id", F.explode(F.array(F.struct(F.lit(0).alias("way"), stops.alias("marked")), F.struct(F.lit(1).alias("way"), lines.alias("marked")))).alias("c"))
+    cut = rows.withColumn("flat", normal(F.col("low"))).where(likely).select("doc_id", "row_id", F.explode(F.array(F.struct(F.lit(0).alias("way"), stops.alias("marked")), F.struct(F.lit(1).alias("way"), lines.alias("marked")))).alias("c"))
     sentences = cut.select("doc_id", "row_id", "c.way", F.posexplode(F.split("c.marked", MARK)).alias("pos", "raw"))
     codes = sentences.select("doc_id", "row_id", "way", "pos", normal(F.col("raw")).alias("sentence")).join(known, "sentence")
     # a document's licence sentences only

@@ -236,6 +236,11 @@ def test_published_texts_as_wrapped(spark):
     assert licences(spark, texts) == [{w} for w in want]
 
 
+def test_anchors_stand_for_wrapped_sentences(spark):
+    texts = ["This is free and unencumbered software released into the public\ndomain.", "This is free and unencumbered software released into the public  domain."]
+    assert licences(spark, texts) == [{("Unlicense", "text")}] * 2
+
+
 def test_license_scan_odd_rows(odd, none):
     assert license_scan.license_scan(odd).count() == 0 and license_scan.license_scan(none).count() == 0
 
