@@ -8,7 +8,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestrand.llm import simhash
+import corpus_pipeline
+from lodestrand.llm import near, simhash
 from lodestrand.llm.common import Scratch
 from lodestrand.llm.exact_dedup import directory, exact_dedup
 from lodestrand.llm.graph import components
@@ -153,3 +154,47 @@ def test_survivors(odd):
     kept = simhash.survivors(simhash.simhash_dedup(odd))
     decisions = simhash.simhash_dedup(odd)
     assert kept.count() == kept.distinct().count() == decisions.select("component_key").distinct().count()
+
+
+def brute_near(texts):
+    """Pairs of places whose 5-word shingles have a Jaccard similarity of 0.8 or more."""
+    sets, places, common = [], defaultdict(list), defaultdict(int)
+    for i, t in enumerate(texts):
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+        for x in sets[-1]:
+            for j in places[x]:
+                common[j, i] += 1
+            places[x].append(i)
+    return [(i, j) for (i, j), n in common.items() if 5 * n >= 4 * (len(sets[i]) + len(sets[j]) - n)]
+
+
+def edited(rng, words, edits):
+    out = list(words)
+    for k in rng.sample(range(len(out)), edits):
+        out[k] = f"new{rng.randrange(10**6)}"
+    return " ".join(out)
+
+
+def test_near_dedup_equals_brute_force(spark, documents):
+    rng = random.Random(8)
+    bases = [[f"w{rng.randrange(3000)}" for _ in range(rng.choice([40, 150, 400]))] for _ in range(12)]
+    texts = [edited(rng, w, rng.randrange(0, 1 + len(w) // 20)) for w in bases for _ in range(12)]
+    texts += [edited(rng, bases[0], rng.randrange(3)) for _ in range(300)] + [None, "", " ", "One two", "one  TWO"]  # more than one block
+    texts += [r.text for r in documents.collect()]
+    pairs = brute_near(texts)
+    label = list(range(len(texts)))
+    for i, j in pairs:
+        a, b = label[i], label[j]
+        if a != b:
+            label = [b if x == a else x for x in label]
+    want = defaultdict(set)
+    for i, x in enumerate(label):
+        want[x].add(i)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = defaultdict(set)
+    for r in near.near_dedup(docs.withColumn("row", F.col("doc_id")), "row").collect():
+        got[r.component_key].add(r.doc_id)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    kept = {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "").collect()}
+    assert kept == {min(g) for g in want.values()}
