@@ -6,8 +6,9 @@ hashed to ``CLASSES`` * ``CLASSES`` values, and P(token) = P(class) * P(member |
 two small layers and not one for all values.  A document's score is the sum of the conditional log-probabilities of
 all its tokens.
 
-Training passes over all documents.  A pass masks every ``MASK_EVERY``-th position of each, another set in each pass,
-and predicts those from their unmasked surroundings.  Each task starts from the model of the pass before, learns on
+Training passes over all documents.  A pass takes several disjoint masks of each, every one a set of positions
+``MASK_EVERY`` apart, and predicts those from their unmasked surroundings; the masks of all passes together cover every
+position, so each token of the corpus is a target.  Each task starts from the model of the pass before, learns on
 its own documents, and returns its changes weighted by the tokens that it saw; these are added up block by block in
 streams, so no task holds more than a few blocks, and the driver gets one model.  The biases start from the counts of
 all tokens of the corpus.
@@ -176,8 +177,14 @@ def token_counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def train_pass(texts: DataFrame, sent: Broadcast, number: int, blocks: int) -> np.ndarray | None:
+def masks(number: int, passes: int) -> list[int]:
+    """The first positions of the masks of a pass; those of all passes are all of MASK_EVERY, dealt out in turn."""
+    return [r for r in range(MASK_EVERY) if r % passes == number] or [number % MASK_EVERY]
+
+
+def train_pass(texts: DataFrame, sent: Broadcast, number: int, passes: int, blocks: int) -> np.ndarray | None:
     """The weighted mean of the tasks' changes, flat; None if no task saw a token."""
+    firsts = masks(number, passes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = sent.value
@@ -193,7 +200,7 @@ def train_pass(texts: DataFrame, sent: Broadcast, number: int, blocks: int) -> n
         for b in batches:
             for text in b.column("text"):
                 tokens = words.tokens(text.as_py())
-                at = np.arange((number * 3) % MASK_EVERY, len(tokens), MASK_EVERY)
+                at = np.concatenate([np.arange(first, len(tokens), MASK_EVERY) for first in firsts])
                 if not len(at):
                     continue
                 rows.append(model.windows(tokens, at))
@@ -236,7 +243,7 @@ def train(docs: DataFrame, text_col: str = "text", passes: int = PASSES) -> Netw
     blocks = -(-model.flat().size // BLOCK)
     for number in range(passes):
         sent = sc.broadcast(model)
-        change = train_pass(texts, sent, number, blocks)
+        change = train_pass(texts, sent, number, passes, blocks)
         if change is not None:
             model = model.like(model.flat() + change)
     return model

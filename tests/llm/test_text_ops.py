@@ -2,8 +2,10 @@ import base64
 import hashlib
 import json
 import re
+import types
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -272,6 +274,29 @@ def test_training_learns_order(spark):
     assert got[1] > got[2] + 0.5
 
 
+def test_every_position_is_a_target_of_a_training_run(spark, monkeypatch):
+    for passes in (1, 2, 3, 4, 8, 11):
+        got = [r for number in range(passes) for r in lm_score.masks(number, passes)]
+        assert set(got) == set(range(lm_score.MASK_EVERY)) and (passes > lm_score.MASK_EVERY or len(got) == lm_score.MASK_EVERY)
+    text = " ".join(f"w{k}" for k in range(37))
+    learnt = []
+
+    class Texts:
+        """Runs the training function here, to see its targets."""
+
+        def mapInArrow(self, run, schema):
+            list(run(iter([pa.RecordBatch.from_arrays([pa.array([text, "a b", "c"])], ["text"])])))
+            raise StopIteration
+
+    model = lm_score.Network.initial(np.ones(lm_score.VALUES))
+    monkeypatch.setattr(lm_score.Network, "learn", lambda self, rows, target, memory: learnt.extend(target.tolist()))
+    for number in range(lm_score.PASSES):
+        with pytest.raises(StopIteration):
+            lm_score.train_pass(Texts(), types.SimpleNamespace(value=model), number, lm_score.PASSES, 1)
+    words = lm_score.Words()
+    assert sorted(learnt) == sorted(t for x in (text, "a b", "c") for t in words.tokens(x).tolist())
+
+
 def test_gradients_are_those_of_the_loss():
     net = lm_score.Network.initial(np.ones(lm_score.VALUES))
     rng = np.random.default_rng(2)
