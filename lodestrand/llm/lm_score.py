@@ -3,8 +3,11 @@
 A small network, in numpy, predicts each token from the tokens on both sides of it: every offset of the window has an
 embedding table, their sum goes through tanh, and two softmax layers give the token.  Tokens are words (folded)
 hashed to ``CLASSES`` * ``CLASSES`` values, and P(token) = P(class) * P(member | class), so that a prediction costs
-two small layers and not one for all values.  A document's score is the sum of the conditional log-probabilities of
-all its tokens.
+two small layers and not one for all values.  Words are told apart within their value by full counts: P(word) =
+P(value) * P(word | value), where of a value with N tokens and D distinct words a word seen n times has n / (N + D), and
+all unseen words together D / (N + D).  The counts are a table of all words of the corpus that is joined in; only its
+most frequent words, at most ``FREQUENT``, are broadcast, so no key of the join is hot.  A document's score is the sum
+of the conditional log-probabilities of all its tokens.
 
 Training passes over all documents.  A pass takes several disjoint masks of each, every one a set of positions
 ``MASK_EVERY`` apart, and predicts those from their unmasked surroundings; the masks of all passes together cover every
@@ -16,7 +19,9 @@ all tokens of the corpus.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +30,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrand.llm.common import Scratch
+
 CLASSES = 64
 VALUES = CLASSES * CLASSES
 OFFSETS = (-2, -1, 1, 2)
@@ -35,6 +42,7 @@ BATCH = 2048
 RATE = 0.15
 BLOCK = 4096
 KNOWN_WORDS = 400_000
+FREQUENT = 1 << 16
 EDGE = VALUES  # beyond either end of a document
 
 
@@ -159,22 +167,50 @@ class Network:
         return Network(out)
 
 
-def token_counts(texts: DataFrame) -> np.ndarray:
-    """How often each hashed token occurs in all texts."""
+@dataclass
+class Model:
+    """The network over hashed values, and what tells words of one value apart."""
+
+    network: Network
+    unseen: np.ndarray  # by value, log P(not a word of the corpus | value)
+    frequent: dict[str, float]  # words on more than one token in FREQUENT, with their gain
+    rare: DataFrame  # word, gain: the other words; gain is log P(word | value) less the value's entry of ``unseen``
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, value, n): how often each word occurs in all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, words = np.zeros(VALUES, np.int64), Words()
+        values, found = Words().known, Counter()
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array([w.encode("utf-8", "surrogatepass") for w in found], pa.binary()), pa.array([values[w] for w in found], pa.int32()), pa.array(found.values(), pa.int64())]
+            found.clear()
+            values.clear()
+            return pa.RecordBatch.from_arrays(columns, ["word", "value", "n"])
+
         for b in batches:
-            found = [words.tokens(t.as_py()) for t in b.column("text")]
-            if found:
-                total += np.bincount(np.concatenate(found), minlength=VALUES)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["token", "n"])
+            for t in b.column("text"):
+                found.update((t.as_py() or "").lower().split())
+                if len(found) > KNOWN_WORDS:
+                    yield out()
+        yield out()
+
+    return texts.mapInArrow(run, "word binary, value int, n bigint").groupBy("word", "value").agg(F.sum("n").alias("n"))
+
 
-    out = np.zeros(VALUES, np.int64)
-    for r in texts.mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect():  # at most VALUES rows
-        out[r["token"]] = r["n"]
-    return out
+def vocabulary(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, dict[str, float], DataFrame]:
+    """Tokens of each value, and ``unseen``, ``frequent`` and ``rare`` of a model."""
+    words = Scratch(texts.sparkSession, "vocabulary").write(word_counts(texts), "words")
+    counts, distinct = np.zeros(VALUES, np.int64), np.zeros(VALUES, np.int64)
+    for r in words.groupBy("value").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d")).collect():  # at most VALUES rows
+        counts[r["value"]], distinct[r["value"]] = r["n"], r["d"]
+    unseen = np.log(np.where(distinct > 0, distinct / np.maximum(counts + distinct, 1), 1.0))
+    each = texts.sparkSession.createDataFrame([(i, float(np.log(d))) for i, d in enumerate(distinct.tolist()) if d] or [(0, 0.0)], "value int, log_distinct double")
+    gains = words.join(F.broadcast(each), "value").select("word", "n", (F.log("n") - F.col("log_distinct")).alias("gain"))
+    often = F.col("n") * FREQUENT > int(counts.sum())
+    frequent = {bytes(r["word"]).decode("utf-8", "surrogatepass"): r["gain"] for r in gains.where(often).collect()}  # under FREQUENT rows
+    return counts, unseen, frequent, gains.where(~often).select("word", "gain")
 
 
 def masks(number: int, passes: int) -> list[int]:
@@ -235,18 +271,19 @@ def train_pass(texts: DataFrame, sent: Broadcast, number: int, passes: int, bloc
     return np.concatenate([np.frombuffer(r["part"], np.float64) / r["seen"] for r in got]) if got else None
 
 
-def train(docs: DataFrame, text_col: str = "text", passes: int = PASSES) -> Network:
-    """A network trained on all of ``docs``."""
+def train(docs: DataFrame, text_col: str = "text", passes: int = PASSES) -> Model:
+    """A model trained on all of ``docs``."""
     sc = docs.sparkSession.sparkContext
     texts = docs.select(F.col(text_col).alias("text"))
-    model = Network.initial(token_counts(texts))
+    counts, unseen, frequent, rare = vocabulary(texts)
+    model = Network.initial(counts)
     blocks = -(-model.flat().size // BLOCK)
     for number in range(passes):
         sent = sc.broadcast(model)
         change = train_pass(texts, sent, number, passes, blocks)
         if change is not None:
             model = model.like(model.flat() + change)
-    return model
+    return Model(model, unseen, frequent, rare)
 
 
 def model_sums(model: Network, texts: list[np.ndarray]) -> list[float]:
@@ -271,23 +308,31 @@ def model_sums(model: Network, texts: list[np.ndarray]) -> list[float]:
     return sums
 
 
-def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Network | None = None) -> DataFrame:
+def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """One row per input row: doc_id, n_tokens, log_probability (the sum), mean_log_probability.
 
     Null texts and those without words have no tokens: sum zero and mean null.  Ids may be null or repeat; texts are
     scored whole, in batches; no rows give no rows; further columns are ignored.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model or train(docs, text_col))
+    model = model or train(docs, text_col)
+    sent = docs.sparkSession.sparkContext.broadcast((model.network, model.unseen, model.frequent))
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        (network, unseen, frequent), known = sent.value, Words()
         for b in batches:
-            tokens = [words.tokens(t.as_py()) for t in b.column("text")]
-            sums = model_sums(sent.value, tokens)
-            means = [s / len(t) if len(t) else None for s, t in zip(sums, tokens)]
-            out = [pa.array([len(t) for t in tokens], pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *out], ["doc_id", "n_tokens", "log_probability", "mean_log_probability"])
+            texts = [(t.as_py() or "").lower().split() for t in b.column("text")]
+            tokens = [known.tokens(t.as_py()) for t in b.column("text")]
+            # words that are not frequent count as unseen here; the join adds what they gain by being known
+            sums = [s + float(unseen[k].sum()) + sum(frequent.get(w, 0.0) for w in words) for s, k, words in zip(model_sums(network, tokens), tokens, texts)]
+            rare = [[w.encode("utf-8", "surrogatepass") for w in words if w not in frequent] for words in texts]
+            out = [pa.array([len(t) for t in tokens], pa.int64()), pa.array(sums, pa.float64()), pa.array(rare, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *out], ["doc_id", "n_tokens", "log_probability", "rare"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, log_probability double, mean_log_probability double")
+    made = rows.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, log_probability double, rare array<binary>")
+    scored = Scratch(docs.sparkSession, "lm").write(made.withColumn("row_id", F.monotonically_increasing_id()), "scored")
+    gained = scored.select("row_id", F.explode("rare").alias("word")).join(model.rare, "word").groupBy("row_id").agg(F.sum("gain").alias("gain"))
+    total = F.col("log_probability") + F.coalesce("gain", F.lit(0.0))
+    mean = F.when(F.col("n_tokens") > 0, total / F.col("n_tokens"))
+    return scored.drop("rare").join(gained, "row_id", "left").select("doc_id", "n_tokens", total.alias("log_probability"), mean.alias("mean_log_probability"))

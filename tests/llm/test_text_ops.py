@@ -297,6 +297,26 @@ def test_every_position_is_a_target_of_a_training_run(spark, monkeypatch):
     assert sorted(learnt) == sorted(t for x in (text, "a b", "c") for t in words.tokens(x).tolist())
 
 
+def test_words_of_one_value_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "FREQUENT", 20)
+    value = lm_score.Words().known
+    other = next(w for w in (f"z{k}" for k in range(10**6)) if value[w] == value["common"])
+    third = next(w for w in (f"y{k}" for k in range(10**6)) if value[w] == value["common"])
+    texts = ["common " * 90, f"{other} x y", "common"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model = lm_score.train(docs)
+    assert "common" in model.frequent and other not in model.frequent and {bytes(r.word).decode() for r in model.rare.collect()} >= {other}
+    asked = [(0, "common"), (1, other), (2, third), (3, f"{other} {third} {other}"), (4, None)]
+    got = {r.doc_id: r.log_probability for r in lm_score.lm_score(spark.createDataFrame(asked, "doc_id bigint, text string"), model=model).collect()}
+    of_value = model.network.log_probabilities(lm_score.Words().tokens("common"))[0]
+    n, distinct = 92, 2  # tokens and words of the value: 91 times common, once the other
+    for doc, share in ((0, 91 / (n + distinct)), (1, 1 / (n + distinct)), (2, distinct / (n + distinct))):
+        assert abs(got[doc] - of_value - np.log(share)) < 1e-4
+    three = model.network.log_probabilities(lm_score.Words().tokens("common common common")).sum()
+    assert abs(got[3] - three - 2 * np.log(1 / (n + distinct)) - np.log(distinct / (n + distinct))) < 1e-4
+    assert got[4] == 0
+
+
 def test_gradients_are_those_of_the_loss():
     net = lm_score.Network.initial(np.ones(lm_score.VALUES))
     rng = np.random.default_rng(2)
