@@ -30,7 +30,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_ops.encode_digest(table(spark, sf_dir, "documents"))
+    return sentencepiece_ops.encode_checked(table(spark, sf_dir, "documents"))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

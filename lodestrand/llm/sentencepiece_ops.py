@@ -1,41 +1,60 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 Texts become units: spaces are written as the meta symbol, one is put in front, and a unit begins where the meta symbol
-follows another character.  No piece spans such a place, so units are encoded alone, and each distinct unit once.  The
-lattice of a unit is made by exploding its substrings of bounded length and an equi-join with the piece table; the
-edges are grouped by unit and folded.
-
-For a unigram model the fold is Viterbi's, with Spark's ``aggregate``.  The best path of a BPE model is not the path of the
-largest sum, so there the fold merges: each step takes, of the edges that join two neighbouring symbols, the one with
-the best score, the leftmost of equals.  As an ``aggregate`` that was far too slow (see the README), so it runs over the
-same grouped edges in an Arrow map.  Units of more than ``LONG`` characters, whose lattice would be deep, are
-folded by the same rules with a heap.  Characters without a piece fall back to bytes, or to the unknown id.
+follows another character.  No piece spans such a place, so units are encoded alone.  The lattice is made by exploding
+the substrings of bounded length of each distinct unit and an equi-join with the piece table; the edges of a unit are
+then folded.  For BPE models, whose units are many, substrings are exploded only if a rolling hash says that they may be
+a piece; the join decides.
+
+For a unigram model the fold is Viterbi's, with Spark's ``aggregate`` over the edges grouped by unit.  The best path of a
+BPE model is not the path of the largest sum, so there the fold merges: each step takes, of the edges that join two
+neighbouring symbols, the one with the best score, the leftmost of equals.  As an ``aggregate`` that was far too slow
+(see the README), so it runs over the same edges in an Arrow map, for many units at once.  Characters without a piece
+fall back to bytes, or to the unknown id.
+
+The BPE path shuffles no text.  The units that occur most are encoded first, at most ``FREQUENT`` of them, and sent to
+all tasks.  A task then takes its texts in chunks, sends the units that it has not met into the lattice, and after them
+the texts; explode and broadcast join keep rows in order, so the edges of a chunk arrive together, ahead of its texts.
+What a task remembers of units is bounded in number and in characters; beyond that it starts afresh.
 """
 
 from __future__ import annotations
 
 import heapq
-import zlib
-from array import array
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.llm.common import Scratch
 
 META = "▁"
-LONG = 48
-#: Of the units, so many at most are sent to every task; the rest are joined.
-FREQUENT = 200_000
-PRIME = 2**31 - 1
 UNKNOWN_PENALTY = 10.0
+#: Characters of a unit whose substrings are cut from one row; longer units take several rows.
+WINDOW = 256
+#: A chunk ends with the text that brings it to so many characters.
+CHUNK = 1 << 20
+#: What a task remembers at most, in units and in their characters, when a chunk begins.
+KNOWN_UNITS, KNOWN_CHARS = 300_000, 4_000_000
+#: Of the units, so many at most are sent to all tasks; units of over ``WINDOW`` characters are not.  They change no result.
+FREQUENT = 200_000
+SEEN = 4
+#: Multiplier of the rolling hash, and the bits of it that are looked up.
+MULTIPLIER, HASH_BITS = np.uint64(0x9E3779B97F4A7C15), 22
+#: Units of up to these lengths are folded together; the work of a step grows with the length, so longer ones have a heap.
+WIDTHS = (2, 4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64)
+FOLDED = 1 << 18
+#: Bits of an edge's number: place in the chunk's units, then length, then id.
+LENGTH_BITS, ID_BITS = 6, 20
+#: What a row of a chunk is, in this order: a unit or one of its edges, all new units (also: forget the others), a text.
+EDGES, UNITS, AFRESH, TEXTS = range(4)
 
 
 @dataclass(frozen=True)
@@ -69,133 +88,238 @@ def units(text: Column) -> Column:
 
 
 def split_units(text: str | None) -> list[str]:
-    """As :func:`units`, in Python."""
+    """As :func:`units`, in Python, but without the meta symbol in front of each."""
     if not text:
         return []
-    first, *rest = text.replace(META, " ").split(" ")
-    out, blanks = [], 1  # META in the text itself reads as a space
-    for k, word in enumerate([first, *rest]):
-        if k:
-            blanks += 1
+    words = (text.replace(META, " ") if META in text else text).split(" ")
+    if all(words):
+        return words
+    out, blanks = [], -1
+    for word in words:
+        blanks += 1
         if word:
             out.append(META * blanks + word)
-            blanks = 0
-    if blanks:
+            blanks = -1
+    if blanks >= 0:
         out.append(META * blanks)
     return out
 
 
-def lattice(words: DataFrame, model: Model) -> DataFrame:
-    """unit and edges: characters s to e-1, from 1, are a piece.  ``words`` has unit, distinct, of ``LONG`` characters at most.
-
-    An edge is s, e, score and id; for a model that merges it is one number, ``s + 256 e + 65536 id``, as the id tells
-    the score.  Both explodes are over sequences of numbers, so substrings are cut in generated code.
-    """
-    spark = words.sparkSession
-    pieces = F.broadcast(spark.createDataFrame(list(model.pieces), "piece string, id int, score double"))  # a fixed table
-    n = F.length("unit")
-    starts = words.select("unit", F.explode(F.sequence(F.lit(1), n)).alias("s"))
-    spans = starts.select("unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("s") + 1))).alias("k"))
-    cut = spans.select("unit", "s", (F.col("s") + F.col("k")).alias("e"), F.substring(F.col("unit"), F.col("s"), F.col("k")).alias("piece"))
-    packed = (F.col("s") + F.col("e") * 256).cast("bigint") + F.col("id").cast("bigint") * 65536
-    edge = packed if model.merges else F.struct("s", "e", "score", "id")
-    return cut.join(pieces, "piece").groupBy("unit").agg(F.collect_list(edge).alias("edges"))
-
-
-def fold_merges(unit: str, edges: dict[int, int], scores: list[float], model: Model) -> list[int]:
-    """The ids of a unit after all merges.  ``edges``: ids of the pieces in it by ``s + 256 e``; ``scores`` are by id,
-    and the entry after the last is that of no piece."""
-    n, none = len(unit), len(scores) - 1
-    bounds = list(range(1, n + 2))
-    joins = [scores[edges.get(i + 256 * (i + 2), none)] for i in range(1, n)]
-    while joins:
-        best = max(joins)
-        if best == scores[none]:
-            break
-        k = joins.index(best)  # the leftmost of equals
-        del bounds[k + 1], joins[k]
-        if k < len(joins):
-            joins[k] = scores[edges.get(bounds[k] + 256 * bounds[k + 2], none)]
-        if k:
-            joins[k - 1] = scores[edges.get(bounds[k - 1] + 256 * bounds[k + 1], none)]
-    out: list[int] = []
-    for s, e in zip(bounds, bounds[1:]):
-        found = edges.get(s + 256 * e)
-        if found is not None:
-            out.append(found)
-        else:
-            out += [model.bytes[b] for b in unit[s - 1].encode()] if model.bytes else [model.unknown]
-    return out
+def piece_table(words: DataFrame, model: Model) -> DataFrame:
+    return F.broadcast(words.sparkSession.createDataFrame(list(model.pieces), "piece string, id int, score double"))  # a fixed table
 
 
-def _folded_merges(grouped: DataFrame, model: Model) -> DataFrame:
-    """unit and ids from unit and edges."""
-    sent = grouped.sparkSession.sparkContext.broadcast(model)
+# unigram models --------------------------------------------------------------------------------------------------------
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        scores = [-float("inf")] * (max(i for _, i, _ in m.pieces) + 2)
-        for _, i, score in m.pieces:
-            scores[i] = score
-        for b in batches:
-            edges = b.column("edges")
-            flat = edges.flatten().to_numpy()
-            ends, ids = (flat & 0xFFFF).tolist(), (flat >> 16).tolist()
-            stops = np.concatenate(([0], np.cumsum(edges.value_lengths().to_numpy(zero_copy_only=False)))).tolist()
-            out = [fold_merges(u, dict(zip(ends[i:j], ids[i:j])), scores, m) for u, i, j in zip(b.column("unit").to_pylist(), stops, stops[1:])]
-            yield pa.RecordBatch.from_arrays([b.column("unit"), pa.array(out, pa.list_(pa.int32()))], ["unit", "ids"])
 
-    return grouped.mapInArrow(run, "unit string, ids array<int>")
+def lattice(words: DataFrame, model: Model) -> DataFrame:
+    """unit and ends: for each place e after the first, in order, its edges (s, score, id); characters s to e-1, from 1,
+    are a piece.  A character without a piece has an edge with no id.  ``words`` has unit, distinct."""
+    poor = min(s for _, _, s in model.pieces) - UNKNOWN_PENALTY
+    part = F.explode(F.sequence(F.lit(0), F.floor((F.length("unit") - 1) / WINDOW).cast("int"))).alias("part")
+    parts = words.select(F.col("unit").alias("whole"), part).withColumn("unit", F.substring(F.col("whole"), F.col("part") * WINDOW + 1, F.lit(WINDOW + model.longest - 1)))
+    places = parts.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(WINDOW), F.length("unit")))).alias("s"))
+    spans = places.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.length("unit") - F.col("s") + 1))).alias("k"))
+    cut = spans.select("whole", "part", "s", "k", F.substring(F.col("unit"), F.col("s"), F.col("k")).alias("piece"))
+    found = cut.join(piece_table(words, model), "piece", "left").where("id is not null or k = 1")
+    at = F.col("part") * WINDOW + F.col("s")
+    edges = found.select(F.col("whole").alias("unit"), (at + F.col("k")).alias("e"), F.struct(at.alias("s"), F.coalesce("score", F.lit(poor)).alias("score"), "id").alias("edge"))
+    by_end = edges.groupBy("unit", "e").agg(F.collect_list("edge").alias("edges"))
+    return by_end.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("e", "edges"))).alias("ends"))
 
 
-def _viterbi(n: Column, edges: Column, unknown_score: float) -> Column:
-    """Symbol boundaries of the path with the largest sum of scores; an uncovered character costs ``unknown_score``."""
-    best = F.array(F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("from")))
+def _viterbi(ends: Column) -> Column:
+    """(sum, from, id) of the best path to each place; of equal sums the one with the shortest last piece."""
 
     def step(acc: Column, end: Column) -> Column:
-        into = F.transform(F.filter(edges, lambda e: e["e"] == end), lambda e: F.struct((F.element_at(acc, e["s"])["sum"] + e["score"]).alias("sum"), e["s"].alias("from")))
-        alone = F.struct((F.element_at(acc, end - 1)["sum"] + F.lit(unknown_score)).alias("sum"), (end - 1).alias("from"))
-        known = F.exists(edges, lambda e: (e["e"] == end) & (e["s"] == end - 1))
-        return F.concat(acc, F.array(F.array_max(F.when(known, into).otherwise(F.concat(into, F.array(alone))))))
+        into = F.transform(end["edges"], lambda e: F.struct((F.element_at(acc, e["s"])["sum"] + e["score"]).alias("sum"), e["s"].alias("from"), e["id"].alias("id")))
+        return F.concat(acc, F.array(F.array_max(into)))
 
-    table = F.aggregate(F.sequence(F.lit(2), n + 1), best, step)
+    return F.aggregate(ends, F.array(F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("from"), F.lit(None).cast("int").alias("id"))), step)
 
-    def back(bounds: Column, _: Column) -> Column:
-        at = F.element_at(bounds, 1)
-        return F.when(at > 1, F.concat(F.array(F.element_at(table, at)["from"]), bounds)).otherwise(bounds)
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.array(n + 1), back)
+def encode_units(words: DataFrame, model: Model) -> DataFrame:
+    """unit and ids for each row of ``words``, whose units are distinct, by the path with the largest sum."""
+    folded = lattice(words.select("unit"), model).select("unit", _viterbi(F.col("ends")).alias("best"))
 
+    def back(bounds: Column, _: Column) -> Column:
+        at = F.element_at(bounds, 1)
+        return F.when(at > 1, F.concat(F.array(F.element_at(F.col("best"), at)["from"]), bounds)).otherwise(bounds)
 
-def _ids(bounds: Column, edges: Column, model: Model) -> Column:
-    """Ids of the symbols between boundaries; a symbol without a piece is one character."""
+    n = F.length("unit")
+    path = F.slice(F.aggregate(F.sequence(F.lit(1), n), F.array(n + 1), back), F.lit(2), n)  # the ends of the symbols
 
-    def one(b: Column, i: Column) -> Column:
-        end = F.get(bounds, i + 1)
-        found = F.get(F.filter(edges, lambda e: (e["s"] == b) & (e["e"] == end)), F.lit(0))["id"]
+    def one(end: Column) -> Column:
+        symbol = F.element_at(F.col("best"), end)
         if model.bytes:
-            codes = F.hex(F.encode(F.substring(F.col("unit"), b, F.lit(1)), "UTF-8"))
+            codes = F.hex(F.encode(F.substring(F.col("unit"), symbol["from"], F.lit(1)), "UTF-8"))
             table = F.array(*[F.lit(i) for i in model.bytes])
             other = F.transform(F.sequence(F.lit(1), (F.length(codes) / 2).cast("int")), lambda k: F.element_at(table, F.conv(F.substring(codes, 2 * k - 1, F.lit(2)), 16, 10).cast("int") + 1))
         else:
             other = F.array(F.lit(model.unknown))
-        return F.when(found.isNotNull(), F.array(found)).otherwise(other)
+        return F.when(symbol["id"].isNotNull(), F.array(symbol["id"])).otherwise(other)
 
-    inner = F.slice(bounds, F.lit(1), F.size(bounds) - 1)
-    return F.flatten(F.transform(inner, one))
+    return folded.select("unit", F.flatten(F.transform(path, one)).alias("ids"))
 
 
-def fold_long(unit: str, table: dict[str, tuple[int, float]], model: Model) -> list[int]:
-    """The ids of one unit by the same rules, for units of any length."""
-    n = len(unit)
-    if model.merges:
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        size, heap = [1] * n, []
+def _encode_by_sums(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, text, ids; each distinct unit is folded once, and a join gives its ids to the texts."""
+    numbered = docs.withColumn("row_id", F.monotonically_increasing_id())
+    each = numbered.select("doc_id", "text", "row_id", F.posexplode_outer(units(F.col("text"))).alias("pos", "unit"))
+    table = encode_units(each.where("unit is not null").select("unit").distinct(), model)
+    ordered = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))))
+    grouped = each.join(table, "unit", "left").groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.flatten(F.transform(ordered, lambda x: x["ids"])).alias("ids"))
+    return grouped.select("doc_id", "text", "ids")
+
+
+# BPE models ------------------------------------------------------------------------------------------------------------
+
+
+class Sieve:
+    """Tells which substrings may be pieces, for many units at once."""
+
+    def __init__(self, model: Model):
+        self.longest = model.longest
+        self.pieces, self.heads = (np.zeros(1 << HASH_BITS, bool) for _ in range(2))
+        for k in range(2, self.longest + 1):
+            texts = [p for p, _, _ in model.pieces if len(p) >= k]
+            letters = np.frombuffer("".join(p[:k] for p in texts).encode("utf-32-le"), "<u4").astype(np.uint64).reshape(-1, k)
+            h = letters[:, 0]
+            for i in range(1, k):
+                h = self.rolled(h, letters[:, i])
+            at = h >> np.uint64(64 - HASH_BITS)
+            self.heads[at] = True
+            self.pieces[at[[len(p) == k for p in texts]]] = True
+
+    @staticmethod
+    def rolled(h: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        return (h + letter + np.uint64(1)) * MULTIPLIER
+
+    def spans(self, letters: np.ndarray, room: np.ndarray) -> np.ndarray:
+        """place * 64 + length, in order, of the substrings of two characters and more that may be pieces; ``room``:
+        characters from each place to its unit's end."""
+        at, h, found = np.arange(len(letters)), letters, []
+        for k in range(2, self.longest + 1):
+            on = np.flatnonzero(room[at] >= k)
+            at = at[on]
+            h = self.rolled(h[on], letters[at + (k - 1)])
+            slot = h >> np.uint64(64 - HASH_BITS)
+            found.append((at[self.pieces[slot]] << LENGTH_BITS) + k)
+            on = np.flatnonzero(self.heads[slot])
+            at, h = at[on], h[on]
+        return np.sort(np.concatenate(found))
+
+
+class Merger:
+    """Folds units by merges, over edges given as numbers."""
+
+    def __init__(self, model: Model):
+        self.model, self.longest = model, model.longest
+        top = max(i for _, i, _ in model.pieces)
+        self.none = -np.inf
+        self.scores = np.full(top + 2, self.none)  # the last entry, also reached by id -1, is that of no piece
+        for _, i, score in model.pieces:
+            self.scores[i] = score
+        self.codes, self.singles = map(np.array, zip(*sorted((ord(p), i) for p, i, _ in model.pieces if len(p) == 1)))
+
+    def fold(self, new: list[str], edges: np.ndarray) -> list[bytes]:
+        """The ids of each unit as little-endian 32-bit numbers; ``edges`` are those of ``new``, laid end to end, of two
+        characters and more: those of one follow from the characters."""
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        ends = np.cumsum(sizes)
+        starts, out = ends - sizes, [b""] * len(new)
+        places = edges >> (LENGTH_BITS + ID_BITS)
+        first = 0
+        while first < len(new):  # a bounded number of characters at a time, one unit at least
+            last = max(first + 1, int(np.searchsorted(ends, starts[first] + FOLDED, side="right")))
+            a, b = np.searchsorted(places, [starts[first], ends[last - 1]])
+            low = int(starts[first])
+            table = np.full((int(ends[last - 1]) - low + 1, self.longest + 1), -1, np.int32)
+            table[places[a:b] - low, (edges[a:b] >> ID_BITS) & ((1 << LENGTH_BITS) - 1)] = edges[a:b] & ((1 << ID_BITS) - 1)
+            letters = np.frombuffer("".join(new[first:last]).encode("utf-32-le"), "<u4").astype(np.int64)
+            hit = np.minimum(np.searchsorted(self.codes, letters), len(self.codes) - 1)
+            table[:-1, 1] = np.where(self.codes[hit] == letters, self.singles[hit], -1)
+            width = np.searchsorted(WIDTHS, sizes[first:last])
+            for w in np.unique(width).tolist():
+                at = first + np.flatnonzero(width == w)
+                if w < len(WIDTHS):
+                    self._together(table, starts[at] - low, sizes[at], WIDTHS[w], at, new, out)
+                else:
+                    for i in at.tolist():
+                        out[i] = self._alone(table, int(starts[i]) - low, new[i])
+            first = last
+        return out
+
+    def _together(self, table: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int, at: np.ndarray, new: list[str], out: list[bytes]) -> None:
+        """Every step merges one pair of each unit that has a pair left."""
+        flat, step = table.ravel(), self.longest + 1
+        ends = (starts + sizes)[:, None]
+        bounds = np.minimum(starts[:, None] + np.arange(width + 1), ends)
+
+        def score(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            k = right - left
+            return np.where(k < step, self.scores[flat[left * step + np.minimum(k, step - 1)]], self.none)
+
+        # of the pairs beyond a unit's last character, none is one
+        joins = np.where(np.arange(width - 1) + 2 <= sizes[:, None], score(bounds[:, :-2], bounds[:, 2:]), self.none)
+        while True:
+            n = len(bounds)
+            rows = np.arange(n)
+            best = joins.argmax(axis=1) if joins.shape[1] else np.zeros(n, np.int64)
+            go_on = joins[rows, best] > self.none if joins.shape[1] else np.zeros(n, bool)
+            if not go_on.all():
+                self._finish(flat, step, bounds[~go_on], at[~go_on], new, out)
+                bounds, joins, best, at = bounds[go_on], joins[go_on], best[go_on], at[go_on]
+                n = len(bounds)
+                rows = np.arange(n)
+            if not n:
+                return
+            keep = np.ones(bounds.shape, bool)
+            keep[rows, best + 1] = False
+            bounds = bounds[keep].reshape(n, -1)
+            keep = np.ones(joins.shape, bool)
+            keep[rows, best] = False
+            joins = joins[keep].reshape(n, -1)
+            symbols = bounds.shape[1] - 1
+            # the merged symbol has a new pair on either side; a bound that repeats is beyond the unit's end
+            on = np.flatnonzero(best + 2 <= symbols)
+            k = best[on]
+            left, middle, right = bounds[on, k], bounds[on, k + 1], bounds[on, k + 2]
+            joins[on, k] = np.where(right > middle, score(left, right), self.none)
+            on = np.flatnonzero(best > 0)
+            k = best[on]
+            joins[on, k - 1] = score(bounds[on, k - 1], bounds[on, k + 1])
+
+    def _finish(self, flat: np.ndarray, step: int, bounds: np.ndarray, at: np.ndarray, new: list[str], out: list[bytes]) -> None:
+        k = np.diff(bounds, axis=1)
+        ids = flat[bounds[:, :-1] * step + np.minimum(k, step - 1)]
+        real = k > 0
+        coded = ids[real].astype("<i4").tobytes()
+        stops = np.concatenate(([0], 4 * np.cumsum(real.sum(axis=1)))).tolist()
+        for i, first, last in zip(at.tolist(), stops, stops[1:]):
+            out[i] = coded[first:last]
+        for j in np.flatnonzero(((ids < 0) & real).any(axis=1)).tolist():
+            out[int(at[j])] = self._bytes(new[int(at[j])], k[j].tolist(), ids[j].tolist())
+
+    def _bytes(self, unit: str, lengths: list[int], ids: list[int]) -> bytes:
+        codes, place = [], 0
+        for k, i in zip(lengths, ids):
+            if i >= 0 and k:
+                codes.append(i)
+            elif k:
+                codes += [self.model.bytes[b] for b in unit[place : place + k].encode()] if self.model.bytes else [self.model.unknown]
+            place += k
+        return np.array(codes, "<i4").tobytes()
+
+    def _alone(self, table: np.ndarray, start: int, unit: str) -> bytes:
+        """One long unit: the pairs wait in a heap."""
+        n, longest, scores = len(unit), self.longest, self.scores
+        after, before, size, heap = list(range(1, n + 1)), list(range(-1, n - 1)), [1] * n, []
 
         def offer(i: int) -> None:
             j = after[i]
-            if j < n and (p := table.get(unit[i : j + size[j]])):
-                heapq.heappush(heap, (-p[1], i, size[i], size[j]))
+            if j < n and (k := size[i] + size[j]) <= longest and (piece := int(table[start + i, k])) >= 0:
+                heapq.heappush(heap, (-scores[piece], i, size[i], size[j]))
 
         for i in range(n - 1):
             offer(i)
@@ -209,171 +333,201 @@ def fold_long(unit: str, table: dict[str, tuple[int, float]], model: Model) -> l
             offer(i)
             if before[i] >= 0:
                 offer(before[i])
-        symbols, i = [], 0
+        lengths, ids, i = [], [], 0
         while i < n:
-            symbols.append(unit[i : i + size[i]])
+            lengths.append(size[i])
+            ids.append(int(table[start + i, size[i]]))
             i = after[i]
-    else:
-        poor = min(s for _, s in table.values()) - UNKNOWN_PENALTY
-        best = [(0.0, 0)] + [(-float("inf"), 0)] * n
-        for e in range(1, n + 1):
-            for s in range(max(0, e - model.longest), e):
-                p = table.get(unit[s:e])
-                if p or s == e - 1:
-                    best[e] = max(best[e], (best[s][0] + (p[1] if p else poor), s))
-        symbols, e = [], n
-        while e:
-            symbols.append(unit[best[e][1] : e])
-            e = best[e][1]
-        symbols.reverse()
-    out: list[int] = []
-    for s in symbols:
-        if s in table:
-            out.append(table[s][0])
-        else:
-            out += [model.bytes[b] for b in s.encode()] if model.bytes else [model.unknown]
-    return out
+        return self._bytes(unit, lengths, ids)
 
 
-def encode_units(words: DataFrame, model: Model) -> DataFrame:
-    """unit and ids for each row of ``words``, whose units are distinct."""
-    sc = words.sparkSession.sparkContext
-    n = F.length("unit")
-    short, long = words.where(n <= LONG), words.where(n > LONG)
-    edges = F.coalesce("edges", F.array().cast("array<bigint>" if model.merges else "array<struct<s:int,e:int,score:double,id:int>>"))
-    poor = min(s for _, _, s in model.pieces) - UNKNOWN_PENALTY
-    # units of which no character is a piece have no edges, hence the outer join; both sides are dealt by unit already
-    joined = short.select("unit").join(lattice(short.select("unit"), model), "unit", "left").select("unit", edges.alias("edges"))
-    if model.merges:
-        folded = _folded_merges(joined, model)
-    else:
-        folded = joined.withColumn("bounds", _viterbi(n, F.col("edges"), poor)).select("unit", _ids(F.col("bounds"), F.col("edges"), model).alias("ids"))
-    sent = sc.broadcast(model)
+def frequent_units(docs: DataFrame, text_col: str, most: int) -> DataFrame:
+    """unit, without the meta symbol in front: of the units that occur ``SEEN`` times in a task or more, those that occur
+    most, ``most`` or fewer; of equally frequent ones all or none."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        table = {p: (i, s) for p, i, s in m.pieces}
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("unit"), pa.array([fold_long(u, table, m) for u in b.column("unit").to_pylist()], pa.list_(pa.int32()))], ["unit", "ids"])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[str] = Counter()
 
-    return folded.unionByName(long.select("unit").mapInArrow(run, "unit string, ids array<int>"))
+        def out() -> pa.RecordBatch:
+            often = [(u, n) for u, n in found.items() if n >= SEEN and len(u) < WINDOW]
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())], ["unit", "n"])
 
+        for b in batches:
+            for t in b.column("text"):
+                found.update(split_units(t.as_py()))
+                if len(found) > KNOWN_UNITS:
+                    yield out()
+        yield out()
+
+    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
+    counts = Scratch(docs.sparkSession, "units").write(counts, "counts")
+    steps = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
+    held, floor = 0, 10**6
+    for rung, n in sorted(((r["step"], r["units"]) for r in counts.groupBy(steps.alias("step")).agg(F.count(F.lit(1)).alias("units")).collect()), reverse=True):  # a few hundred rows
+        if held + n > most:
+            break
+        held, floor = held + n, rung
+    return counts.where((steps >= floor) & (F.col("unit") != "")).select("unit")
 
-def distinct_units(docs: DataFrame, text_col: str) -> DataFrame:
-    """unit and n, how often it occurs in all texts."""
-    return docs.select(F.explode(units(F.col(text_col))).alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
 
+def _encode_by_merges(docs: DataFrame, model: Model, often: dict[str, bytes]) -> DataFrame:
+    """doc_id, text, ids, in one pass; ``often``: ids of some units, which are not folded again."""
+    sent = docs.sparkSession.sparkContext.broadcast((model, often))
+    kind = dict(docs.dtypes)["doc_id"]
+    longest = model.longest
+    if longest >= 1 << LENGTH_BITS or max(i for _, i, _ in model.pieces) >= 1 << ID_BITS:
+        raise ValueError("the pieces of this model are too long or too many")
+    names = ["chunk", "role", "base", "unit", "spans", "doc_id", "text"]
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
-    """One row per input row: doc_id, ids.  Null and empty texts have no ids; ids of rows may be null or repeat."""
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:
+        ids, texts, size = [], [], 0
+        for b in batches:
+            first = 0
+            for i, text in enumerate(b.column("text")):
+                texts.append(text.as_py())
+                size += len(texts[-1] or "")
+                if size >= CHUNK:
+                    ids.append(b.column("doc_id").slice(first, i + 1 - first))
+                    yield pa.concat_arrays(ids), texts
+                    ids, texts, size, first = [], [], 0, i + 1
+            ids.append(b.column("doc_id").slice(first))
+        if texts:
+            yield pa.concat_arrays(ids), texts
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, size, often, sieve = set(), 0, sent.value[1], Sieve(sent.value[0])
+        one = pa.array([[0]], pa.list_(pa.int32()))
+
+        def rows(chunk: int, role: int, n: int, **columns: pa.Array) -> pa.RecordBatch:
+            numbers = [pa.array([x] * n, pa.int32()) for x in (chunk, role)]
+            base, unit, spans = columns.get("base", pa.nulls(n, pa.int64())), columns.get("unit", pa.nulls(n, pa.string())), columns.get("spans")
+            spans = one.take(pa.array([0] * n, pa.int32())) if spans is None else spans
+            ids = columns.get("ids", pa.nulls(n, columns["kind"]))
+            return pa.RecordBatch.from_arrays([*numbers, base, unit, spans, ids, columns.get("text", pa.nulls(n, pa.string()))], names)
+
+        for chunk, (ids, texts) in enumerate(chunks(batches)):
+            forget = len(met) > KNOWN_UNITS or size > KNOWN_CHARS
+            if forget:
+                met, size = set(), 0
+            new = sorted(set().union(*map(split_units, texts)).difference(often, met))
+            met.update(new)
+            if new:
+                whole = META + META.join(new)
+                sizes = np.fromiter(map(len, new), np.int64, len(new)) + 1
+                ends = np.cumsum(sizes)
+                size += len(whole)
+                found = sieve.spans(np.frombuffer(whole.encode("utf-32-le"), "<u4").astype(np.uint64), np.repeat(ends, sizes) - np.arange(len(whole)))
+                base = ends - sizes
+                if sizes.max() > WINDOW:
+                    base = np.concatenate([np.arange(e - n, e, WINDOW) for e, n in zip(ends.tolist(), sizes.tolist())])
+                    stops = np.repeat(ends, -(-sizes // WINDOW))
+                else:
+                    stops = ends
+                stops = np.minimum(stops, base + WINDOW + longest - 1)
+                cuts = np.searchsorted(found >> LENGTH_BITS, np.append(base, len(whole)))
+                local = found - (np.repeat(base, np.diff(cuts)) - 1 << LENGTH_BITS)
+                spans = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(local, pa.int32()))
+                windows = pa.array([whole[i:j] for i, j in zip(base.tolist(), stops.tolist())], pa.string())
+                yield rows(chunk, EDGES, len(base), base=pa.array(base), unit=windows, spans=spans, kind=ids.type)
+                yield rows(chunk, AFRESH if forget else UNITS, 1, text=pa.array([" ".join(new)]), kind=ids.type)  # no unit holds a space
+            yield rows(chunk, TEXTS, len(texts), ids=ids, text=pa.array(texts, pa.string()), kind=ids.type)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merger, met, edges, before = Merger(sent.value[0]), dict(sent.value[1]), [], (0, EDGES)
+        for b in batches:
+            state = b.column("chunk").to_numpy().astype(np.int64) * 4 + b.column("role").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(state)) + 1).tolist(), len(state)]
+            for i, j in zip(cuts, cuts[1:]):
+                if i == j:
+                    continue
+                now = divmod(int(state[i]), 4)
+                if now < before:
+                    raise RuntimeError("rows of the lattice have lost their order")
+                before, part = now, b.slice(i, j - i)
+                if now[1] == EDGES:
+                    edges.append(part.column("edge").to_numpy())
+                elif now[1] == TEXTS:
+                    texts = part.column("text")
+                    coded = [b"".join([met[u] for u in split_units(t)]) for t in texts.to_pylist()]
+                    offsets = np.cumsum([0, *map(len, coded)]) // 4
+                    found = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), texts, found], ["doc_id", "text", "ids"])
+                else:
+                    if now[1] == AFRESH:
+                        met = dict(sent.value[1])
+                    new = part.column("text")[0].as_py().split(" ")
+                    met.update(zip(new, merger.fold([META + u for u in new], np.concatenate([*edges, np.zeros(0, np.int64)]))))
+                    edges = []
+
+    rows = docs.mapInArrow(cut, f"chunk int, role int, base bigint, unit string, spans array<int>, doc_id {kind}, text string")
+    each = rows.select("chunk", "role", "base", "unit", "doc_id", "text", F.explode("spans").alias("span"))
+    s, k = F.shiftright("span", LENGTH_BITS), F.col("span").bitwiseAND((1 << LENGTH_BITS) - 1)
+    cut_out = each.select("chunk", "role", "base", "doc_id", "text", F.col("unit").isNull().alias("whole"), s.alias("s"), k.alias("k"), F.substring(F.col("unit"), s, k).alias("piece"))
+    found = cut_out.join(piece_table(docs, model), "piece", "left").where("id is not null or whole")
+    place = F.shiftleft(F.col("base") + F.col("s") - 1, LENGTH_BITS + ID_BITS)
+    edge = place + F.shiftleft(F.col("k").cast("bigint"), ID_BITS) + F.col("id")
+    return found.select("chunk", "role", edge.alias("edge"), "doc_id", "text").mapInArrow(fold, f"doc_id {kind}, text string, ids array<int>")
+
+
+# both ------------------------------------------------------------------------------------------------------------------
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None, frequent: int | None = None) -> DataFrame:
+    """One row per input row: doc_id, text, ids.
+
+    Null and empty texts have no ids; texts are encoded whole, however long, and so are units of any length.  Ids of
+    rows may be null or repeat, and repeated rows each have a row.  No rows give no rows; further columns are ignored.
+    """
     model = model or Model.load()
-    scratch = Scratch(docs.sparkSession, "pieces")
-    table = scratch.write(encode_units(distinct_units(docs, text_col), model), "units")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), units(F.col(text_col)).alias("parts"))
-    each = rows.select("doc_id", "row_id", F.posexplode_outer("parts").alias("pos", "unit")).join(table, "unit", "left")
-    ordered = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))))
-    return each.groupBy("row_id", "doc_id").agg(F.flatten(F.transform(ordered, lambda x: x["ids"])).alias("ids")).drop("row_id")
-
-
-def decode(encoded: DataFrame, model: Model | None = None, ids_col: str = "ids") -> DataFrame:
-    """``encoded`` with the column ``text``.  Bytes are put together again; ids out of range stop the job."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if not model.merges:
+        return _encode_by_sums(rows, model)
+    often = frequent_units(rows, "text", FREQUENT if frequent is None else frequent)
+    as_texts = often.select(F.lit(0).alias("doc_id"), F.replace("unit", F.lit(META), F.lit(" ")).alias("text"))
+    known = {r["text"].replace(" ", META): np.array(r["ids"], "<i4").tobytes() for r in _encode_by_merges(as_texts, model, {}).collect()}  # bounded by the parameter
+    return _encode_by_merges(rows, model, known)
+
+
+def decode(encoded: DataFrame, model: Model | None = None, ids_col: str = "ids", into: str = "text") -> DataFrame:
+    """``encoded`` with the column ``into``, which replaces one of that name.  Bytes are put together again, what is no
+    UTF-8 becomes U+FFFD; null lists give null; ids that are null or none of the model's read as unknown ones."""
     model = model or Model.load()
-    sc = encoded.sparkSession.sparkContext
-    sent = sc.broadcast(model)
+    sent = encoded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = decoder(sent.value)
         for b in batches:
-            texts = [None if ids is None else decode_ids(ids, table) for ids in b.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "text"])
+            lists = b.column(ids_col)
+            ids = pc.fill_null(lists.flatten(), -1).to_numpy().tolist()
+            stops = np.cumsum([0, *pc.fill_null(pc.list_value_length(lists), 0).to_pylist()]).tolist()
+            texts = [decode_ids(ids[i:j], table) if known else None for i, j, known in zip(stops, stops[1:], lists.is_valid().to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, into])
 
-    base = encoded.drop("text")
+    base = encoded.drop(into)
     columns = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInArrow(run, f"{columns}, text string")
-
+    return base.mapInArrow(run, f"{columns}, `{into}` string")
 
-def decoder(model: Model) -> dict[int, bytes]:
-    return {i: p.encode() for p, i, _ in model.pieces} | {i: bytes([b]) for b, i in enumerate(model.bytes)} | {model.unknown: " ⁇ ".encode()}
 
+class Decoder(dict):
+    """The bytes of each id."""
 
-def decode_ids(ids: list[int], table: dict[int, bytes]) -> str:
-    text = b"".join(table[i] for i in ids).decode("utf-8", "replace").replace(META, " ")
-    return text[1:] if text.startswith(" ") else text
+    def __missing__(self, key: int | None) -> bytes:
+        return " ⁇ ".encode()
 
 
-def unit_digest(ids: list[int]) -> int:
-    return zlib.crc32(array("I", ids).tobytes()) % PRIME
+def decoder(model: Model) -> Decoder:
+    return Decoder({i: p.encode() for p, i, _ in model.pieces} | {i: bytes([b]) for b, i in enumerate(model.bytes)})
 
 
-def encode_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None, frequent: int = FREQUENT) -> DataFrame:
-    """One row per input row: doc_id, n_pieces, ids_digest, round_trip.
+def decode_ids(ids: list[int], table: Decoder) -> str:
+    text = b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace").replace(META, " ")
+    return text[1:] if text.startswith(" ") else text
 
-    ids_digest is the sum of (place of unit, from 1) * (CRC-32 of the unit's ids) modulo 2**31 - 1; it depends on all
-    ids and on the order of units, and can be added up.  round_trip: every unit decodes to itself.
 
-    Units that occur often, ``frequent`` at most, are looked up in a broadcast table; the rest go through a join with
-    all encoded units, so that a hot unit is never shuffled and no table that grows is broadcast.
-    """
+def encode_checked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
+    """One row per input row: doc_id, n_pieces, ids, round_trip: whether the ids decode to the whole text (null counts as
+    empty).  A text that holds the meta symbol itself does not: it reads as a space.  Otherwise as :func:`encode`."""
     model = model or Model.load()
-    spark: SparkSession = docs.sparkSession
-    sc = spark.sparkContext
-    scratch = Scratch(spark, "pieces")
-    words = scratch.write(distinct_units(docs, text_col), "words")
-    dealt = words.select("unit").repartition("unit")
-    encoded = encode_units(dealt, model)
-    sent = sc.broadcast(model)
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = decoder(sent.value)
-        for b in batches:
-            rows = list(zip(b.column("unit").to_pylist(), b.column("ids").to_pylist()))
-            bad = [int(b"".join(table[i] for i in ids).decode("utf-8", "replace") != u) for u, ids in rows]
-            numbers = ([len(ids) for _, ids in rows], [unit_digest(ids) for _, ids in rows], bad)
-            yield pa.RecordBatch.from_arrays([b.column("unit"), *(pa.array(x, pa.int64()) for x in numbers)], ["unit", "size", "digest", "bad"])
-
-    table = scratch.write(encoded.mapInArrow(digest, "unit string, size bigint, digest bigint, bad bigint"), "encoded")
-
-    # the least count of which at most ``frequent`` units have as many or more
-    ladder = words.groupBy(F.least("n", F.lit(2 * frequent)).alias("n")).agg(F.count(F.lit(1)).alias("units"))
-    steps = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
-    rungs = sorted(((r["step"], r["units"]) for r in ladder.groupBy(steps.alias("step")).agg(F.sum("units").alias("units")).collect()), reverse=True)
-    held, floor = 0, None
-    for rung, n in rungs:
-        if held + n > frequent:
-            break
-        held, floor = held + n, rung
-    often = words.where(F.floor(F.log2(F.least("n", F.lit(2 * frequent)).cast("double")) * 8).cast("int") >= (floor if floor is not None else 10**6)).select("unit")
-    known = sc.broadcast({r["unit"]: (r["size"], r["digest"], r["bad"]) for r in often.join(table, "unit").collect()})  # at most ``frequent`` rows
-
-    kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = {u: i for i, u in enumerate(known.value)}
-        facts = np.array([*known.value.values(), (0, 0, 0)], np.int64).reshape(-1, 3)
-        for b in batches:
-            sums, rare = [], []
-            for row, text in zip(b.column("row_id").to_pylist(), b.column("text")):
-                parts = split_units(text.as_py())
-                at = np.fromiter((index.get(u, -1) for u in parts), np.int64, len(parts))
-                place = np.arange(1, len(parts) + 1)
-                sums.append((int(facts[at, 0].sum()), int((place * facts[at, 1] % PRIME).sum() % PRIME), int(facts[at, 2].sum())))
-                other = defaultdict(list)
-                for i in np.flatnonzero(at < 0).tolist():
-                    other[parts[i]].append(i + 1)
-                rare += [(row, u, len(p), sum(p) % PRIME) for u, p in other.items()]
-            n, m = len(sums), len(rare)
-            none = lambda t, k: pa.nulls(k, t)
-            ids = b.column("doc_id")
-            longs = [pa.array([x[i] for x in sums], pa.int64()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([b.column("row_id"), ids, none(pa.string(), n), *longs], ["row_id", "doc_id", "unit", "a", "b", "c"])
-            columns = [pa.array([x[i] for x in rare], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([columns[0], none(ids.type, m), *columns[1:], none(pa.int64(), m)], ["row_id", "doc_id", "unit", "a", "b", "c"])
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), F.col(text_col).alias("text"))
-    counted = scratch.write(rows.mapInArrow(count, f"row_id bigint, doc_id {kind}, unit string, a bigint, b bigint, c bigint"), "counted")
-    own = counted.where("unit is null").select("row_id", "doc_id", F.lit(True).alias("own"), "a", "b", "c")
-    joined = counted.where("unit is not null").join(table, "unit")
-    rest = joined.select("row_id", "doc_id", F.lit(False).alias("own"), (F.col("a") * F.col("size")).alias("a"), (F.col("b") * F.col("digest") % PRIME).alias("b"), (F.col("a") * F.col("bad")).alias("c"))
-    rest = rest.groupBy("row_id").agg(F.max("doc_id").alias("doc_id"), F.lit(False).alias("own"), F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c"))
-    total = own.unionByName(rest).groupBy("row_id").agg(F.max("doc_id").alias("doc_id"), F.sum("a").alias("n_pieces"), (F.sum("b") % PRIME).alias("ids_digest"), (F.sum("c") == 0).alias("round_trip"))
-    return total.drop("row_id")
+    back = decode(encode(docs, id_col, text_col, model), model, into="decoded")
+    return back.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))

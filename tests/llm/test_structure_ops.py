@@ -182,22 +182,43 @@ def test_a_crowded_bucket_is_split(spark):
 
 
 def test_sentencepiece_equals_the_library(spark, odd, none, documents):
-    extra = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(["  a  b\n c ", "ﬁ Ａ　x ▁y", "日本語 🎉", "x" * 300, "a▁b", "<0x0A> <s>", "0123456789" * 20])], "doc_id bigint, text string")
-    docs = odd.select("doc_id", "text").where("doc_id is not null and doc_id <> 3").where(F.coalesce(F.length("text"), F.lit(0)) < 10_000).unionByName(extra).unionByName(documents.where("n_chars < 1500").select((F.col("doc_id") + 10**7).alias("doc_id"), "text"))
+    rng = np.random.default_rng(5)
+    letters = list("aeiounrstld ▁\nés漢🎉Ω9.-\t")
+    random_texts = ["".join(rng.choice(letters, int(n))) for n in rng.integers(1, 200, 300)]
+    unbroken = ["x" * 300, "0123456789" * 200, "the" * 3000, "".join(rng.choice(list("etaoin"), 30_000)), "é漢" * 700]
+    extra = ["  a  b\n c ", "ﬁ Ａ　x ▁y", "日本語 🎉", "a▁b", "<0x0A> <s>", *unbroken, *random_texts]
+    extra = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(extra)], "doc_id bigint, text string")
+    docs = odd.select("doc_id", "text").where("doc_id is not null and doc_id <> 3").unionByName(extra).unionByName(documents.select((F.col("doc_id") + 10**7).alias("doc_id"), "text"))
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     texts = {r.doc_id: r.text for r in docs.collect()}
-    got = {r.doc_id: list(r.ids) for r in sentencepiece_ops.encode(docs).collect()}
-    assert got == {d: sp.encode(t or "") for d, t in texts.items()}
-    digests = {r.doc_id: r for r in sentencepiece_ops.encode_digest(docs, frequent=30).collect()}
-    table = {p: (i, s) for p, i, s in sentencepiece_ops.Model.load().pieces}
-    model = sentencepiece_ops.Model.load()
-    for d, t in texts.items():
-        parts = [sentencepiece_ops.fold_long(u, table, model) for u in sentencepiece_ops.split_units(t)]
-        assert sum(parts, []) == got[d]
-        assert (digests[d].n_pieces, digests[d].ids_digest, digests[d].round_trip) == (len(got[d]), sum((k + 1) * sentencepiece_ops.unit_digest(x) for k, x in enumerate(parts)) % sentencepiece_ops.PRIME, True)
+    got = {r.doc_id: r for r in sentencepiece_ops.encode_checked(docs).collect()}
+    assert {d: list(r.ids) for d, r in got.items()} == {d: sp.encode(t or "") for d, t in texts.items()}
+    assert all(r.n_pieces == len(r.ids) and r.round_trip == ("▁" not in (texts[d] or "")) for d, r in got.items())
     back = sentencepiece_ops.decode(sentencepiece_ops.encode(docs)).collect()
     assert all(r.text == (texts[r.doc_id] or "").replace("▁", " ") for r in back)
-    assert sentencepiece_ops.encode(none).count() == 0 and sentencepiece_ops.encode_digest(none).count() == 0
+    assert sentencepiece_ops.encode(none).count() == 0 and sentencepiece_ops.encode_checked(none).count() == 0
+
+
+def test_sentencepiece_odd_rows(odd):
+    rows = odd.collect()
+    got = sentencepiece_ops.encode_checked(odd).collect()
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    key = lambda d, n: (d is None, d or 0, n)
+    assert sorted(key(r.doc_id, r.n_pieces) for r in got) == sorted(key(r.doc_id, len(sp.encode(r.text or ""))) for r in rows)
+
+
+def test_units_that_a_task_forgets_are_encoded_anew(spark, documents, monkeypatch):
+    docs = documents.where("doc_id % 4 = 1").select("doc_id", "text")
+    whole = {r.doc_id: list(r.ids) for r in sentencepiece_ops.encode(docs).collect()}
+    for name, value in (("CHUNK", 500), ("KNOWN_UNITS", 20), ("WINDOW", 3), ("FOLDED", 64)):
+        monkeypatch.setattr(sentencepiece_ops, name, value)
+    assert {r.doc_id: list(r.ids) for r in sentencepiece_ops.encode(docs).collect()} == whole
+
+
+def test_decoding_of_odd_ids(spark):
+    df = spark.createDataFrame([([9] * 3,), ([10**6, -1, None],), ([],), (None,)], "ids array<int>")
+    got = [r.text for r in sentencepiece_ops.decode(df).collect()]
+    assert got[1:] == ["⁇  ⁇  ⁇ ", "", None] and len(got) == 4
 
 
 def test_viterbi_of_a_unigram_model(spark):
@@ -221,7 +242,10 @@ def test_viterbi_of_a_unigram_model(spark):
     got = {r.unit: list(r.ids) for r in sentencepiece_ops.encode_units(df, model).collect()}
     for u in units[:-1]:
         assert got[u] == best(u)[1], u
-    assert got[units[-1]] == sentencepiece_ops.fold_long(units[-1], table, model)
+    assert got[units[-1]] == [6] + [5] * 39
+    docs = spark.createDataFrame([(1, "ab abab"), (2, None), (1, "b  a"), (None, "ab")], "doc_id int, text string")
+    back = sorted((str(r.doc_id), list(r.ids)) for r in sentencepiece_ops.encode(docs, model=model).collect())
+    assert back == sorted([("1", got["▁ab"] + got["▁abab"]), ("2", []), ("1", best("▁b")[1] + best("▁▁a")[1]), ("None", got["▁ab"])])
 
 
 # pipeline --------------------------------------------------------------------------------------------------------------
