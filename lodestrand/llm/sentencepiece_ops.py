@@ -12,16 +12,14 @@ neighbouring symbols, the one with the best score, the leftmost of equals.  As a
 (see the README), so it runs over the same edges in an Arrow map, for many units at once.  Characters without a piece
 fall back to bytes, or to the unknown id.
 
-The BPE path shuffles no text.  The units that occur most are encoded first, at most ``FREQUENT`` of them, and sent to
-all tasks.  A task then takes its texts in chunks, sends the units that it has not met into the lattice, and after them
-the texts; explode and broadcast join keep rows in order, so the edges of a chunk arrive together, ahead of its texts.
-What a task remembers of units is bounded in number and in characters; beyond that it starts afresh.
+The BPE path has no shuffle.  A task takes its texts in chunks, sends the units that it has not met into the lattice,
+and after them the texts; explode and broadcast join keep rows in order, so the edges of a chunk arrive together, ahead
+of its texts.  What a task remembers of units is bounded in number and in characters; beyond that it starts afresh.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,8 +31,6 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.llm.common import Scratch
-
 META = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Characters of a unit whose substrings are cut from one row; longer units take several rows.
@@ -42,14 +38,11 @@ WINDOW = 256
 #: A chunk ends with the text that brings it to so many characters.
 CHUNK = 1 << 20
 #: What a task remembers at most, in units and in their characters, when a chunk begins.
-KNOWN_UNITS, KNOWN_CHARS = 300_000, 4_000_000
-#: Of the units, so many at most are sent to all tasks; units of over ``WINDOW`` characters are not.  They change no result.
-FREQUENT = 200_000
-SEEN = 4
+KNOWN_UNITS, KNOWN_CHARS = 250_000, 3_000_000
 #: Multiplier of the rolling hash, and the bits of it that are looked up.
 MULTIPLIER, HASH_BITS = np.uint64(0x9E3779B97F4A7C15), 22
 #: Units of up to these lengths are folded together; the work of a step grows with the length, so longer ones have a heap.
-WIDTHS = (2, 4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64)
+WIDTHS = (2, 4, 6, 8, 10, 12, 16, 24, 40, 64)
 FOLDED = 1 << 18
 #: Bits of an edge's number: place in the chunk's units, then length, then id.
 LENGTH_BITS, ID_BITS = 6, 20
@@ -163,13 +156,13 @@ def encode_units(words: DataFrame, model: Model) -> DataFrame:
 
 
 def _encode_by_sums(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, text, ids; each distinct unit is folded once, and a join gives its ids to the texts."""
+    """doc_id, ids, text; each distinct unit is folded once, and a join gives its ids to the texts."""
     numbered = docs.withColumn("row_id", F.monotonically_increasing_id())
     each = numbered.select("doc_id", "text", "row_id", F.posexplode_outer(units(F.col("text"))).alias("pos", "unit"))
     table = encode_units(each.where("unit is not null").select("unit").distinct(), model)
     ordered = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))))
     grouped = each.join(table, "unit", "left").groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.flatten(F.transform(ordered, lambda x: x["ids"])).alias("ids"))
-    return grouped.select("doc_id", "text", "ids")
+    return grouped.select("doc_id", "ids", "text")
 
 
 # BPE models ------------------------------------------------------------------------------------------------------------
@@ -341,39 +334,9 @@ class Merger:
         return self._bytes(unit, lengths, ids)
 
 
-def frequent_units(docs: DataFrame, text_col: str, most: int) -> DataFrame:
-    """unit, without the meta symbol in front: of the units that occur ``SEEN`` times in a task or more, those that occur
-    most, ``most`` or fewer; of equally frequent ones all or none."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[str] = Counter()
-
-        def out() -> pa.RecordBatch:
-            often = [(u, n) for u, n in found.items() if n >= SEEN and len(u) < WINDOW]
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())], ["unit", "n"])
-
-        for b in batches:
-            for t in b.column("text"):
-                found.update(split_units(t.as_py()))
-                if len(found) > KNOWN_UNITS:
-                    yield out()
-        yield out()
-
-    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
-    counts = Scratch(docs.sparkSession, "units").write(counts, "counts")
-    steps = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
-    held, floor = 0, 10**6
-    for rung, n in sorted(((r["step"], r["units"]) for r in counts.groupBy(steps.alias("step")).agg(F.count(F.lit(1)).alias("units")).collect()), reverse=True):  # a few hundred rows
-        if held + n > most:
-            break
-        held, floor = held + n, rung
-    return counts.where((steps >= floor) & (F.col("unit") != "")).select("unit")
-
-
-def _encode_by_merges(docs: DataFrame, model: Model, often: dict[str, bytes]) -> DataFrame:
-    """doc_id, text, ids, in one pass; ``often``: ids of some units, which are not folded again."""
-    sent = docs.sparkSession.sparkContext.broadcast((model, often))
+def _encode_by_merges(docs: DataFrame, model: Model, check: bool = False) -> DataFrame:
+    """doc_id, ids, text, in one pass; with ``check`` round_trip in place of text."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = dict(docs.dtypes)["doc_id"]
     longest = model.longest
     if longest >= 1 << LENGTH_BITS or max(i for _, i, _ in model.pieces) >= 1 << ID_BITS:
@@ -396,7 +359,7 @@ def _encode_by_merges(docs: DataFrame, model: Model, often: dict[str, bytes]) ->
             yield pa.concat_arrays(ids), texts
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met, size, often, sieve = set(), 0, sent.value[1], Sieve(sent.value[0])
+        met, size, sieve = set(), 0, Sieve(sent.value)
         one = pa.array([[0]], pa.list_(pa.int32()))
 
         def rows(chunk: int, role: int, n: int, **columns: pa.Array) -> pa.RecordBatch:
@@ -410,7 +373,7 @@ def _encode_by_merges(docs: DataFrame, model: Model, often: dict[str, bytes]) ->
             forget = len(met) > KNOWN_UNITS or size > KNOWN_CHARS
             if forget:
                 met, size = set(), 0
-            new = sorted(set().union(*map(split_units, texts)).difference(often, met))
+            new = list(set().union(*map(split_units, texts)).difference(met))
             met.update(new)
             if new:
                 whole = META + META.join(new)
@@ -434,7 +397,7 @@ def _encode_by_merges(docs: DataFrame, model: Model, often: dict[str, bytes]) ->
             yield rows(chunk, TEXTS, len(texts), ids=ids, text=pa.array(texts, pa.string()), kind=ids.type)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger, met, edges, before = Merger(sent.value[0]), dict(sent.value[1]), [], (0, EDGES)
+        merger, table, met, edges, before = Merger(sent.value), decoder(sent.value), {}, [], (0, EDGES)
         for b in batches:
             state = b.column("chunk").to_numpy().astype(np.int64) * 4 + b.column("role").to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(state)) + 1).tolist(), len(state)]
@@ -448,14 +411,20 @@ def _encode_by_merges(docs: DataFrame, model: Model, often: dict[str, bytes]) ->
                 if now[1] == EDGES:
                     edges.append(part.column("edge").to_numpy())
                 elif now[1] == TEXTS:
-                    texts = part.column("text")
-                    coded = [b"".join([met[u] for u in split_units(t)]) for t in texts.to_pylist()]
-                    offsets = np.cumsum([0, *map(len, coded)]) // 4
-                    found = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4")))
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), texts, found], ["doc_id", "text", "ids"])
+                    texts = part.column("text").to_pylist()
+                    coded = [b"".join(map(met.__getitem__, split_units(t))) for t in texts]
+                    flat = np.frombuffer(b"".join(coded), "<i4")
+                    stops = np.cumsum([0, *map(len, coded)]) // 4
+                    found = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(flat))
+                    if check:
+                        ids = flat.tolist()
+                        last = pa.array([decode_ids(ids[i:j], table) == (t or "") for i, j, t in zip(stops.tolist(), stops[1:].tolist(), texts)])
+                    else:
+                        last = part.column("text")
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), found, last], ["doc_id", "ids", "round_trip" if check else "text"])
                 else:
                     if now[1] == AFRESH:
-                        met = dict(sent.value[1])
+                        met = {}
                     new = part.column("text")[0].as_py().split(" ")
                     met.update(zip(new, merger.fold([META + u for u in new], np.concatenate([*edges, np.zeros(0, np.int64)]))))
                     edges = []
@@ -467,26 +436,21 @@ def _encode_by_merges(docs: DataFrame, model: Model, often: dict[str, bytes]) ->
     found = cut_out.join(piece_table(docs, model), "piece", "left").where("id is not null or whole")
     place = F.shiftleft(F.col("base") + F.col("s") - 1, LENGTH_BITS + ID_BITS)
     edge = place + F.shiftleft(F.col("k").cast("bigint"), ID_BITS) + F.col("id")
-    return found.select("chunk", "role", edge.alias("edge"), "doc_id", "text").mapInArrow(fold, f"doc_id {kind}, text string, ids array<int>")
+    return found.select("chunk", "role", edge.alias("edge"), "doc_id", "text").mapInArrow(fold, f"doc_id {kind}, ids array<int>, " + ("round_trip boolean" if check else "text string"))
 
 
 # both ------------------------------------------------------------------------------------------------------------------
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None, frequent: int | None = None) -> DataFrame:
-    """One row per input row: doc_id, text, ids.
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
+    """One row per input row: doc_id, ids, text.
 
     Null and empty texts have no ids; texts are encoded whole, however long, and so are units of any length.  Ids of
     rows may be null or repeat, and repeated rows each have a row.  No rows give no rows; further columns are ignored.
     """
     model = model or Model.load()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    if not model.merges:
-        return _encode_by_sums(rows, model)
-    often = frequent_units(rows, "text", FREQUENT if frequent is None else frequent)
-    as_texts = often.select(F.lit(0).alias("doc_id"), F.replace("unit", F.lit(META), F.lit(" ")).alias("text"))
-    known = {r["text"].replace(" ", META): np.array(r["ids"], "<i4").tobytes() for r in _encode_by_merges(as_texts, model, {}).collect()}  # bounded by the parameter
-    return _encode_by_merges(rows, model, known)
+    return _encode_by_merges(rows, model) if model.merges else _encode_by_sums(rows, model)
 
 
 def decode(encoded: DataFrame, model: Model | None = None, ids_col: str = "ids", into: str = "text") -> DataFrame:
@@ -529,5 +493,9 @@ def encode_checked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per input row: doc_id, n_pieces, ids, round_trip: whether the ids decode to the whole text (null counts as
     empty).  A text that holds the meta symbol itself does not: it reads as a space.  Otherwise as :func:`encode`."""
     model = model or Model.load()
-    back = decode(encode(docs, id_col, text_col, model), model, into="decoded")
-    return back.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if model.merges:
+        back = _encode_by_merges(rows, model, check=True)
+    else:
+        back = decode(_encode_by_sums(rows, model), model, into="decoded").withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit("")))
+    return back.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", "round_trip")
