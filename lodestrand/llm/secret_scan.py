@@ -2,8 +2,10 @@
 
 Long runs of encoding characters are rare in prose, so one pass over the whole text finds them and everything else
 looks at those runs only.  A base64 or hex candidate is reported when what it decodes to parses: nested DER lengths
-that fit exactly (PKCS#1, PKCS#8, SEC 1 and encrypted PKCS#8 keys), an OpenSSH private key's length-prefixed fields,
-or a signed token whose header is a JSON object with an algorithm.
+that fit exactly (PKCS#1, DSA, PKCS#8, SEC 1 and encrypted PKCS#8 keys), an OpenSSH private key's length-prefixed fields,
+or a signed token whose header is a JSON object with an algorithm.  A PEM block is reported when its body decodes to such
+a key, or, where its header lines say that it is encrypted, when they name a cipher and a fitting vector and the body
+has whole cipher blocks.  All searches take time in proportion to the text.
 """
 
 from __future__ import annotations
@@ -30,10 +32,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----\s*((?:[A-Za-z-]+:[^\n]*\n)*)([A-Za-z0-9+/=\s]+?)\s*-----END \1-----")
+BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
+PEM_HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*:")
+CIPHER = re.compile(r"DEK-Info:[ \t]*(DES|AES|[A-Z0-9]+)[A-Z0-9-]*,([0-9A-Fa-f]+)\s*$")
 CODED = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 HEX_CODED = re.compile(r"(?:[0-9a-fA-F]{2}){32,}")
-SIGNED = re.compile(r"([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
+DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){2,}")
 OPENSSH_MAGIC = b"openssh-key-v1\0"
 #: Object identifiers that open a PKCS#8 algorithm field: RSA, EC, Ed25519, Ed448, X25519, DSA, and PBES2.
 KEY_OIDS = tuple(bytes.fromhex(x) for x in ("2a864886f70d010101", "2a8648ce3d0201", "2b6570", "2b6571", "2b656e", "2a8648ce380401", "2a864886f70d01050d"))
@@ -72,6 +76,8 @@ def is_der_key(data: bytes) -> bool:
     if tags[:1] == [0x02] and len(items[0][1]) == 1 and items[0][1][0] <= 1:
         if len(tags) >= 9 and tags[:9] == [0x02] * 9:  # PKCS#1
             return True
+        if tags == [0x02] * 6 and len(items[1][1]) >= 64:  # DSA
+            return True
         if tags[1:2] == [0x04] and len(items[1][1]) >= 20:  # SEC 1
             return True
         if tags[1:3] == [0x30, 0x04]:  # PKCS#8
@@ -114,6 +120,46 @@ def key_kind(data: bytes) -> str | None:
     return "openssh" if is_openssh_key(data) else "der" if is_der_key(data) else None
 
 
+def is_pem_body(body: str) -> bool:
+    """What stands between the two lines of a PEM block is a private key."""
+    lines = body.split("\n")
+    at = next((i for i, x in enumerate(lines) if x.strip()), len(lines))
+    headers = []
+    while at < len(lines) and PEM_HEADER.match(x := lines[at].strip()):
+        headers.append(x)
+        at += 1
+    data = decoded("".join("".join(lines[at:]).split()))
+    if any(h.startswith("Proc-Type:") and h.endswith("ENCRYPTED") for h in headers):
+        cipher = next((m for h in headers if (m := CIPHER.match(h))), None)
+        block = 16 if cipher and cipher[1] == "AES" else 8
+        return bool(cipher) and len(cipher[2]) == 2 * block and len(data) >= 4 * block and len(data) % block == 0
+    return key_kind(data) is not None
+
+
+def pem_spans(text: str) -> list[tuple[int, int, str]]:
+    out = []
+    for m in BEGIN.finditer(text):
+        end, last = text.find("-----", m.end()), f"-----END {m[1]}-----"  # the body holds no dashes in a row
+        if end >= 0 and text.startswith(last, end) and is_pem_body(text[m.end() : end]):
+            out.append((m.start(), end + len(last), "pem"))
+    return out
+
+
+def signed_spans(run: str) -> list[tuple[int, int, str]]:
+    """Three dotted parts of which the first is a header; labels may stand before it, with dots of their own."""
+    out = []
+    for m in DOTTED.finditer(run):
+        parts, at, i = m[0].split("."), m.start(), 0
+        while i + 2 < len(parts):
+            if len(parts[i]) >= 8 and len(parts[i + 1]) >= 2 and is_signed_header(parts[i]):
+                size = sum(map(len, parts[i : i + 3])) + 2
+                out.append((at, at + size, "signed"))
+                at, i = at + size + 1, i + 3
+            else:
+                at, i = at + len(parts[i]) + 1, i + 1
+    return out
+
+
 def find_spans(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every finding in the whole text, by start and then by kind; code points, end exclusive."""
     text = text or ""
@@ -128,9 +174,9 @@ def find_spans(text: str | None) -> list[tuple[int, int, str]]:
         spans += [(a + m.start(), a + m.end(), kind) for m in CODED.finditer(s) if (kind := key_kind(decoded(m[0])))]
         spans += [(a + m.start(), a + m.end(), kind) for m in HEX_CODED.finditer(s) if (kind := key_kind(bytes.fromhex(m[0])))]
         if s.count(".") >= 2:
-            spans += [(a + m.start(), a + m.end(), "signed") for m in SIGNED.finditer(s) if is_signed_header(m[1])]
+            spans += [(a + i, a + j, kind) for i, j, kind in signed_spans(s)]
     if "-----BEGIN " in text:
-        spans += [(m.start(), m.end(), "pem") for m in PEM.finditer(text) if m[2] or key_kind(decoded("".join(m[3].split())))]
+        spans += pem_spans(text)
     return sorted(set(spans), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
@@ -157,7 +203,9 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     Whole texts are scanned, in a single pass without any shuffle.  Null and empty texts have no findings, and the
-    digest of the empty string.  Ids may be null or repeat.  No rows give no rows; further columns are ignored.
+    digest of the empty string.  Very long texts, white space and unfinished blocks cost time in proportion to their
+    length.  Ids may be null or repeat, and repeated rows each have a row.  No rows give no rows; further columns are
+    ignored.
     """
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
 
