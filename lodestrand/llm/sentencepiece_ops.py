@@ -22,6 +22,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import itemgetter
 
 import numpy as np
 import public_tokenizers
@@ -180,13 +181,17 @@ class Sieve:
             h = letters[:, 0]
             for i in range(1, k):
                 h = self.rolled(h, letters[:, i])
-            at = h >> np.uint64(64 - HASH_BITS)
+            at = self.slot(h)
             self.heads[at] = True
             self.pieces[at[[len(p) == k for p in texts]]] = True
 
     @staticmethod
     def rolled(h: np.ndarray, letter: np.ndarray) -> np.ndarray:
-        return (h + letter + np.uint64(1)) * MULTIPLIER
+        return h * MULTIPLIER + letter
+
+    @staticmethod
+    def slot(h: np.ndarray) -> np.ndarray:
+        return ((h ^ (h >> np.uint64(31))) * MULTIPLIER) >> np.uint64(64 - HASH_BITS)
 
     def spans(self, letters: np.ndarray, room: np.ndarray) -> np.ndarray:
         """place * 64 + length, in order, of the substrings of two characters and more that may be pieces; ``room``:
@@ -196,7 +201,7 @@ class Sieve:
             on = np.flatnonzero(room[at] >= k)
             at = at[on]
             h = self.rolled(h[on], letters[at + (k - 1)])
-            slot = h >> np.uint64(64 - HASH_BITS)
+            slot = self.slot(h)
             found.append((at[self.pieces[slot]] << LENGTH_BITS) + k)
             on = np.flatnonzero(self.heads[slot])
             at, h = at[on], h[on]
@@ -485,7 +490,7 @@ def decoder(model: Model) -> Decoder:
 
 
 def decode_ids(ids: list[int], table: Decoder) -> str:
-    text = b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace").replace(META, " ")
+    text = b"".join(itemgetter(*ids)(table) if len(ids) > 1 else [table[i] for i in ids]).decode("utf-8", "replace").replace(META, " ")
     return text[1:] if text.startswith(" ") else text
 
 
