@@ -5,28 +5,29 @@ embedding table, their sum goes through tanh, and two softmax layers give the to
 hashed to ``CLASSES`` * ``CLASSES`` values, and P(token) = P(class) * P(member | class), so that a prediction costs
 two small layers and not one for all values.  Words are told apart within their value by full counts: P(word) =
 P(value) * P(word | value), where of a value with N tokens and D distinct words a word seen n times has n / (N + D), and
-all unseen words together D / (N + D).  The counts are a table of all words of the corpus that is joined in; only its
-most frequent words, at most ``FREQUENT``, are broadcast, so no key of the join is hot.  A document's score is the sum
-of the conditional log-probabilities of all its tokens.
-
-Training passes over all documents.  A pass takes several disjoint masks of each, every one a set of positions
-``MASK_EVERY`` apart, and predicts those from their unmasked surroundings; the masks of all passes together cover every
-position, so each token of the corpus is a target.  Each task starts from the model of the pass before, learns on
-its own documents, and returns its changes weighted by the tokens that it saw; these are added up block by block in
-streams, so no task holds more than a few blocks, and the driver gets one model.  The biases start from the counts of
-all tokens of the corpus.
+all unseen words together D / (N + D).  Words are known by 63 bits of their XXH64.  The counts are a table of all words of
+the corpus that is joined in; only its most frequent words, at most ``FREQUENT``, are broadcast, so no key of the join is
+hot.  A document's score is the sum of the conditional log-probabilities of all its tokens.
+
+One pass over all texts writes their tokens and the counts of words.  Training passes over all tokens: it takes
+several disjoint masks of each text, every one a set of positions ``MASK_EVERY`` apart, and predicts those from their
+unmasked surroundings; the masks of all passes together cover every position, so each token of the corpus is a target.
+Each task starts from the model of the pass before, learns on its own texts, and returns its changes weighted by the
+tokens that it saw; these are added up block by block in the order of the tasks, whatever the order they arrive in, so a
+task that runs again changes nothing.  No task holds more than a few blocks, and the driver gets one model.  The
+biases start from the counts of all tokens of the corpus.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,36 +36,94 @@ from lodestrand.llm.common import Scratch
 CLASSES = 64
 VALUES = CLASSES * CLASSES
 OFFSETS = (-2, -1, 1, 2)
+REACH = max(map(abs, OFFSETS))
 WIDTH = 24
 PASSES = 2
 MASK_EVERY = 8
-BATCH = 2048
+BATCH = 4096
 RATE = 0.15
 BLOCK = 4096
-KNOWN_WORDS = 400_000
-FREQUENT = 1 << 16
+KNOWN_WORDS, KNOWN_CHARS = 300_000, 6_000_000
+FREQUENT = 1 << 18
+#: Texts are laid end to end until they have so many tokens.
+GROUP = 1 << 16
 EDGE = VALUES  # beyond either end of a document
 
 
-class Hashed(dict):
-    """The value of a word, computed when it is first asked for."""
+def word_key(word: str) -> int:
+    """63 bits that stand for a word; its value is the rest by ``VALUES``."""
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 3) >> 1
 
-    def __missing__(self, word: str) -> int:
-        value = self[word] = xxhash.xxh32_intdigest(word, 3) % VALUES
-        return value
 
+class Words(dict):
+    """The code of each word, made when it is first asked for: the place of a frequent word, else -1 - its key.
+
+    What is remembered is bounded in words and in characters; ``tokens`` starts afresh beyond that.
+    """
+
+    def __init__(self, frequent: np.ndarray | None = None):
+        super().__init__()
+        self.places = {k: i for i, k in enumerate(frequent.tolist())} if frequent is not None else {}
+        self.values = frequent % VALUES if frequent is not None else np.zeros(0, np.int64)
+        self.chars = 0
 
-class Words:
-    """Hashed tokens of a text; the cache is bounded."""
+    def __missing__(self, word: str) -> int:
+        key = word_key(word)
+        code = self[word] = self.places.get(key, -1 - key)
+        self.chars += len(word)
+        return code
 
-    def __init__(self):
-        self.known = Hashed()
+    def codes(self, words: list[str]) -> np.ndarray:
+        if len(self) > KNOWN_WORDS or self.chars > KNOWN_CHARS:
+            self.clear()
+            self.chars = 0
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
     def tokens(self, text: str | None) -> np.ndarray:
-        words = (text or "").lower().split()
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        return np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+        return self.value_of(self.codes(split(text)))
+
+    def value_of(self, codes: np.ndarray) -> np.ndarray:
+        rare = (-1 - codes) % VALUES
+        return (np.where(codes < 0, rare, self.values[np.maximum(codes, 0)]) if len(self.values) else rare).astype(np.uint16)
+
+
+def split(text: str | None) -> list[str]:
+    return (text or "").lower().split()
+
+
+class Laid:
+    """Texts end to end, with edges between them, so that windows of any positions are one indexing away."""
+
+    def __init__(self, texts: list[np.ndarray]):
+        sizes = np.array([len(t) for t in texts], np.int64)
+        self.ends = np.cumsum(sizes)
+        gaps = np.repeat(REACH * np.arange(1, len(texts) + 1), sizes)
+        self.at = np.arange(int(sizes.sum())) + gaps
+        self.place = np.arange(len(self.at)) - np.repeat(self.ends - sizes, sizes)
+        self.tokens = np.concatenate([*texts, np.zeros(0, np.uint16)])
+        self.padded = np.full(len(self.at) + REACH * (len(texts) + 1), EDGE, np.uint16)
+        self.padded[self.at] = self.tokens
+
+    def windows(self, at: np.ndarray) -> np.ndarray:
+        """Rows of the embedding table for each position and offset."""
+        return np.stack([self.padded[at + o].astype(np.uint16) + np.uint16(k * (VALUES + 1)) for k, o in enumerate(OFFSETS)], axis=1)
+
+    def sums(self, x: np.ndarray) -> list[float]:
+        """The sum of ``x``, an entry for each token, by text."""
+        total = np.concatenate(([0.0], np.cumsum(x)))
+        return np.diff(total[np.concatenate(([0], self.ends))]).tolist()
+
+
+def grouped(texts: Iterable[np.ndarray]) -> Iterator[Laid]:
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= GROUP:
+            yield Laid(held)
+            held, size = [], 0
+    if held:
+        yield Laid(held)
 
 
 class Network:
@@ -79,28 +138,11 @@ class Network:
         c = (counts + 0.5).reshape(CLASSES, CLASSES)
         return cls({
             "embed": (rng.standard_normal((len(OFFSETS) * (VALUES + 1), WIDTH)) * 0.1).astype(np.float32),
-            "to_class": np.zeros((WIDTH, CLASSES), np.float32),
+            "layer": np.zeros((WIDTH, 2 * CLASSES), np.float32),  # to the class, and to the member
             "class_bias": np.log(c.sum(axis=1) / c.sum()).astype(np.float32),
-            "to_member": np.zeros((WIDTH, CLASSES), np.float32),
             "member_bias": np.log(c / c.sum(axis=1, keepdims=True)).astype(np.float32),
         })
 
-    def windows(self, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Rows of the embedding table for each position and offset."""
-        reach = max(map(abs, OFFSETS))
-        padded = np.full(len(tokens) + 2 * reach, EDGE, np.int64)
-        padded[reach : reach + len(tokens)] = tokens
-        return np.stack([padded[at + reach + o] + k * (VALUES + 1) for k, o in enumerate(OFFSETS)], axis=1)
-
-    @staticmethod
-    def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """exp(x - c), in place, and its row sums; c is the largest entry, or each row's own where rows differ too much."""
-        x -= x.max()
-        if x.max(axis=1).min() < -60:
-            x -= x.max(axis=1, keepdims=True)
-        np.exp(x, out=x)
-        return x, x.sum(axis=1)
-
     def hidden(self, rows: np.ndarray) -> np.ndarray:
         embed = self.p["embed"]
         h = embed[rows[:, 0]]
@@ -108,25 +150,28 @@ class Network:
             h += embed[rows[:, k]]
         return np.tanh(h, out=h)
 
-    def logits(self, h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        p = self.p
-        a, b = h @ p["to_class"], h @ p["to_member"]
-        a += p["class_bias"]
-        b += p["member_bias"][group]
-        return a, b
+    def exponentials(self, h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """exp of the logits of all classes and of the members of ``group``, less a number a row, and their sums.  The
+        halves are rows of one array: (positions, class or member, entry)."""
+        x = (h @ self.p["layer"]).reshape(len(h), 2, CLASSES)
+        x[:, 0] += self.p["class_bias"]
+        x[:, 1] += self.p["member_bias"][group]
+        if x.max() > 60 or x.max(axis=2).min() < -60:
+            x -= x.max(axis=2, keepdims=True)
+        np.exp(x, out=x)
+        return x, x.sum(axis=2)
 
     def log_probabilities(self, tokens: np.ndarray) -> np.ndarray:
         """The conditional log-probability of each token of a text."""
-        return self.scored(self.windows(tokens, np.arange(len(tokens))), tokens)
+        return self.scored(Laid([tokens]))
 
-    def scored(self, rows: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-        out = np.empty(len(tokens))
-        for i in range(0, len(tokens), BATCH):
-            target = tokens[i : i + BATCH]
+    def scored(self, laid: Laid) -> np.ndarray:
+        out = np.empty(len(laid.at))
+        for i in range(0, len(out), BATCH):
+            target = laid.tokens[i : i + BATCH].astype(np.int64)
             group, k = target // CLASSES, np.arange(len(target))
-            a, b = self.logits(self.hidden(rows[i : i + BATCH]), group)
-            (ea, sa), (eb, sb) = self._exponentials(a), self._exponentials(b)
-            ratio = np.maximum(ea[k, group] / sa, 1e-30).astype(np.float64) * np.maximum(eb[k, target % CLASSES] / sb, 1e-30)
+            e, total = self.exponentials(self.hidden(laid.windows(laid.at[i : i + BATCH])), group)
+            ratio = np.maximum(e[k, 0, group] / total[:, 0], 1e-30).astype(np.float64) * np.maximum(e[k, 1, target % CLASSES] / total[:, 1], 1e-30)
             out[i : i + BATCH] = np.log(ratio)
         return out
 
@@ -135,25 +180,25 @@ class Network:
         p, n, k = self.p, len(target), np.arange(len(target))
         group, member = target // CLASSES, target % CLASSES
         h = self.hidden(rows)
-        a, b = self.logits(h, group)
-        for x, hit in ((a, group), (b, member)):
-            e, total = self._exponentials(x)
-            e /= total[:, None]
-            e[k, hit] -= 1
-            e /= n
-        dh = (a @ p["to_class"].T + b @ p["to_member"].T) * (1 - h * h)
-        groups, sums = self._sums(group, b)
-        for name, at, g in (("to_class", ..., h.T @ a), ("to_member", ..., h.T @ b), ("class_bias", ..., a.sum(axis=0)), ("member_bias", groups, sums), ("embed", *self._sums(rows.ravel(), np.repeat(dh, rows.shape[1], axis=0)))):
-            memory[name][at] += g * g
-            p[name][at] -= rate * g / np.sqrt(memory[name][at] + 1e-8)
+        e, total = self.exponentials(h, group)
+        e *= (1 / (n * total))[:, :, None]
+        e[k, 0, group] -= np.float32(1 / n)
+        e[k, 1, member] -= np.float32(1 / n)
+        flat = e.reshape(n, 2 * CLASSES)
+        dh = (flat @ p["layer"].T) * (1 - h * h)
+        groups, sums = self._sums(group.astype(np.uint16), e[:, 1])
+        for name, at, g in (("layer", ..., h.T @ flat), ("class_bias", ..., e[:, 0].sum(axis=0)), ("member_bias", groups, sums), ("embed", *self._sums(rows.ravel(), dh, rows.shape[1]))):
+            so_far = memory[name][at] + g * g
+            memory[name][at] = so_far
+            p[name][at] -= rate * g / np.sqrt(so_far + 1e-8)
 
     @staticmethod
-    def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct keys, and the sum of the rows of each."""
-        order = np.argsort(keys, kind="stable")
+    def _sums(keys: np.ndarray, values: np.ndarray, times: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct keys, and the sum of the rows of each; row k of ``values`` belongs to ``times`` keys."""
+        order = np.argsort(keys, kind="stable")  # 16-bit keys are sorted by radix
         ordered = keys[order]
-        first = np.concatenate(([0], np.flatnonzero(np.diff(ordered)) + 1))
-        return ordered[first], np.add.reduceat(values[order], first, axis=0)
+        first = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
+        return ordered[first], np.add.reduceat(values[order // times if times > 1 else order], first, axis=0)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
@@ -173,44 +218,62 @@ class Model:
 
     network: Network
     unseen: np.ndarray  # by value, log P(not a word of the corpus | value)
-    frequent: dict[str, float]  # words on more than one token in FREQUENT, with their gain
-    rare: DataFrame  # word, gain: the other words; gain is log P(word | value) less the value's entry of ``unseen``
+    keys: np.ndarray  # frequent words
+    gains: np.ndarray  # of the frequent words: log P(word | value) less the value's entry of ``unseen``
+    rare: DataFrame  # key, gain: the other words
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, value, n): how often each word occurs in all texts."""
+def parse(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tokens) of each text that has any, and (key, n): how often each word occurs in some texts; one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, found = Words().known, Counter()
+        words, found = Words(), Counter()
 
-        def out() -> pa.RecordBatch:
-            columns = [pa.array([w.encode("utf-8", "surrogatepass") for w in found], pa.binary()), pa.array([values[w] for w in found], pa.int32()), pa.array(found.values(), pa.int64())]
+        def counts() -> pa.RecordBatch:
+            out = [pa.array([-1 - c for c in found], pa.int64()), pa.array(found.values(), pa.int64()), pa.nulls(len(found), pa.binary())]
             found.clear()
-            values.clear()
-            return pa.RecordBatch.from_arrays(columns, ["word", "value", "n"])
+            return pa.RecordBatch.from_arrays(out, ["key", "n", "tokens"])
 
         for b in batches:
+            lists = []
             for t in b.column("text"):
-                found.update((t.as_py() or "").lower().split())
-                if len(found) > KNOWN_WORDS:
-                    yield out()
-        yield out()
-
-    return texts.mapInArrow(run, "word binary, value int, n bigint").groupBy("word", "value").agg(F.sum("n").alias("n"))
-
-
-def vocabulary(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, dict[str, float], DataFrame]:
-    """Tokens of each value, and ``unseen``, ``frequent`` and ``rare`` of a model."""
-    words = Scratch(texts.sparkSession, "vocabulary").write(word_counts(texts), "words")
-    counts, distinct = np.zeros(VALUES, np.int64), np.zeros(VALUES, np.int64)
-    for r in words.groupBy("value").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d")).collect():  # at most VALUES rows
-        counts[r["value"]], distinct[r["value"]] = r["n"], r["d"]
-    unseen = np.log(np.where(distinct > 0, distinct / np.maximum(counts + distinct, 1), 1.0))
-    each = texts.sparkSession.createDataFrame([(i, float(np.log(d))) for i, d in enumerate(distinct.tolist()) if d] or [(0, 0.0)], "value int, log_distinct double")
-    gains = words.join(F.broadcast(each), "value").select("word", "n", (F.log("n") - F.col("log_distinct")).alias("gain"))
-    often = F.col("n") * FREQUENT > int(counts.sum())
-    frequent = {bytes(r["word"]).decode("utf-8", "surrogatepass"): r["gain"] for r in gains.where(often).collect()}  # under FREQUENT rows
-    return counts, unseen, frequent, gains.where(~often).select("word", "gain")
+                codes = words.codes(split(t.as_py()))
+                found.update(codes.tolist())
+                if len(codes):
+                    lists.append(words.value_of(codes).astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(lists), pa.int64()), pa.nulls(len(lists), pa.int64()), pa.array(lists, pa.binary())], ["key", "n", "tokens"])
+            if len(found) > KNOWN_WORDS:
+                yield counts()
+        yield counts()
+
+    parsed = Scratch(texts.sparkSession, "parsed").write(texts.mapInArrow(run, "key bigint, n bigint, tokens binary"), "parsed")
+    return parsed.where("tokens is not null").select("tokens"), parsed.where("key is not null").select("key", "n")
+
+
+def vocabulary(counts: DataFrame, frequent: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, DataFrame]:
+    """Tokens of each value, and ``unseen``, ``keys``, ``gains`` and ``rare`` of a model."""
+    most = FREQUENT if frequent is None else frequent
+    words = Scratch(counts.sparkSession, "vocabulary").write(counts.groupBy("key").agg(F.sum("n").alias("n")), "words")
+    tokens, distinct = np.zeros(VALUES, np.int64), np.zeros(VALUES, np.int64)
+    value = (F.col("key") % VALUES).cast("int")
+    for r in words.groupBy(value.alias("value")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d")).collect():  # at most VALUES rows
+        tokens[r["value"]], distinct[r["value"]] = r["n"], r["d"]
+    unseen = np.log(np.where(distinct > 0, distinct / np.maximum(tokens + distinct, 1), 1.0))
+    log_distinct = np.log(np.maximum(distinct, 1))
+    each = counts.sparkSession.createDataFrame(list(enumerate(log_distinct.tolist())), "value int, log_distinct double")
+    # words as frequent as the steps of an eighth of an octave, as many steps as fit
+    step = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
+    held, floor = 0, 10**6
+    for rung, n in sorted(((r["step"], r["d"]) for r in words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("d")).collect()), reverse=True):  # a few hundred rows
+        if held + n > most:
+            break
+        held, floor = held + n, rung
+    often = words.where(step >= floor).toArrow()  # at most ``most`` rows
+    order = np.argsort(keys := often["key"].to_numpy())
+    keys = keys[order]
+    gains = np.log(often["n"].to_numpy()[order].astype(np.float64)) - log_distinct[keys % VALUES]
+    rare = words.where(step < floor).withColumn("value", value).join(F.broadcast(each), "value").select("key", (F.log("n") - F.col("log_distinct")).alias("gain"))
+    return tokens, unseen, keys, gains, rare
 
 
 def masks(number: int, passes: int) -> list[int]:
@@ -218,39 +281,37 @@ def masks(number: int, passes: int) -> list[int]:
     return [r for r in range(MASK_EVERY) if r % passes == number] or [number % MASK_EVERY]
 
 
-def train_pass(texts: DataFrame, sent: Broadcast, number: int, passes: int, blocks: int) -> np.ndarray | None:
+def learner(start: Network, firsts: list[int]) -> tuple[Network, Callable[[Iterable[np.ndarray]], int]]:
+    """A model to train, and a function that trains it on texts and says how many targets it saw."""
+    model = start.like(start.flat())
+    memory = {k: np.full_like(v, 1e-4) for k, v in model.p.items()}
+
+    def run(texts: Iterable[np.ndarray]) -> int:
+        seen = 0
+        for laid in grouped(texts):
+            on = np.flatnonzero(np.isin(laid.place % MASK_EVERY, firsts))
+            for i in range(0, len(on), BATCH):
+                at = on[i : i + BATCH]
+                model.learn(laid.windows(laid.at[at]), laid.tokens[at].astype(np.int64), memory)
+            seen += len(on)
+        return seen
+
+    return model, run
+
+
+def train_pass(tokens: DataFrame, sent: Broadcast, number: int, passes: int, blocks: int) -> np.ndarray | None:
     """The weighted mean of the tasks' changes, flat; None if no task saw a token."""
     firsts = masks(number, passes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = sent.value
-        model = start.like(start.flat())
-        memory = {k: np.full_like(v, 1e-4) for k, v in model.p.items()}
-        words, rows, targets, held, seen = Words(), [], [], 0, 0
-
-        def step() -> None:
-            r, t = np.concatenate(rows), np.concatenate(targets)
-            for i in range(0, len(t), BATCH):
-                model.learn(r[i : i + BATCH], t[i : i + BATCH], memory)
-
-        for b in batches:
-            for text in b.column("text"):
-                tokens = words.tokens(text.as_py())
-                at = np.concatenate([np.arange(first, len(tokens), MASK_EVERY) for first in firsts])
-                if not len(at):
-                    continue
-                rows.append(model.windows(tokens, at))
-                targets.append(tokens[at])
-                held, seen = held + len(at), seen + len(at)
-                if held >= BATCH:
-                    step()
-                    rows, targets, held = [], [], 0
-        if held:
-            step()
+        model, learn = learner(start, firsts)
+        seen = learn(np.frombuffer(t, "<u2") for b in batches for t in b.column("tokens").to_pylist())
         if seen:
-            change = (model.flat() - start.flat()).astype(np.float32)
-            parts = [change[i : i + BLOCK] for i in range(0, len(change), BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts)), pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["block", "seen", "part"])
+            change, task = (model.flat() - start.flat()).astype(np.float32), TaskContext.get().partitionId()
+            parts = [change[i : i + BLOCK].tobytes() for i in range(0, len(change), BLOCK)]
+            numbers = [pa.array(np.arange(len(parts)), pa.int32()), pa.array([task] * len(parts), pa.int32()), pa.array([seen] * len(parts), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*numbers, pa.array(parts, pa.binary())], ["block", "task", "seen", "part"])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list] = {}
@@ -265,8 +326,8 @@ def train_pass(texts: DataFrame, sent: Broadcast, number: int, passes: int, bloc
         out = [(k, n, x.tobytes()) for k, (n, x) in sums.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], ["block", "seen", "part"])
 
-    changes = texts.mapInArrow(run, "block int, seen bigint, part binary")
-    added = changes.repartition(blocks, "block").mapInArrow(add_up, "block int, seen bigint, part binary")
+    changes = tokens.mapInArrow(run, "block int, task int, seen bigint, part binary")
+    added = changes.repartition(blocks, "block").sortWithinPartitions("block", "task").mapInArrow(add_up, "block int, seen bigint, part binary")
     got = sorted(added.collect(), key=lambda r: r["block"])  # one model
     return np.concatenate([np.frombuffer(r["part"], np.float64) / r["seen"] for r in got]) if got else None
 
@@ -274,65 +335,52 @@ def train_pass(texts: DataFrame, sent: Broadcast, number: int, passes: int, bloc
 def train(docs: DataFrame, text_col: str = "text", passes: int = PASSES) -> Model:
     """A model trained on all of ``docs``."""
     sc = docs.sparkSession.sparkContext
-    texts = docs.select(F.col(text_col).alias("text"))
-    counts, unseen, frequent, rare = vocabulary(texts)
-    model = Network.initial(counts)
+    tokens, counts = parse(docs.select(F.col(text_col).alias("text")))
+    total, unseen, keys, gains, rare = vocabulary(counts)
+    model = Network.initial(total)
     blocks = -(-model.flat().size // BLOCK)
     for number in range(passes):
         sent = sc.broadcast(model)
-        change = train_pass(texts, sent, number, passes, blocks)
+        change = train_pass(tokens, sent, number, passes, blocks)
         if change is not None:
             model = model.like(model.flat() + change)
-    return Model(model, unseen, frequent, rare)
-
-
-def model_sums(model: Network, texts: list[np.ndarray]) -> list[float]:
-    """The sum of log-probabilities of each text; short texts go through the network together."""
-    sums, held, size = [], [], 0
-
-    def flush() -> None:
-        if held:
-            rows = np.concatenate([model.windows(t, np.arange(len(t))) for t in held])
-            scores = np.append(model.scored(rows, np.concatenate(held)), 0.0)
-            ends = np.cumsum([0, *map(len, held)])
-            sums.extend(float(scores[a:b].sum()) for a, b in zip(ends, ends[1:]))
-            held.clear()
-
-    for t in texts:
-        held.append(t)
-        size += len(t)
-        if size >= 16 * BATCH:
-            flush()
-            size = 0
-    flush()
-    return sums
+    return Model(model, unseen, keys, gains, rare)
 
 
 def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """One row per input row: doc_id, n_tokens, log_probability (the sum), mean_log_probability.
 
-    Null texts and those without words have no tokens: sum zero and mean null.  Ids may be null or repeat; texts are
-    scored whole, in batches; no rows give no rows; further columns are ignored.
+    Null texts and those without words have no tokens: sum zero and mean null.  Ids may be null or repeat, and repeated
+    rows each have a row; texts are scored whole: a very long one costs some 40 bytes a word, its windows are made a
+    batch at a time.  No rows give no rows; further columns are ignored.
     """
     model = model or train(docs, text_col)
-    sent = docs.sparkSession.sparkContext.broadcast((model.network, model.unseen, model.frequent))
+    sent = docs.sparkSession.sparkContext.broadcast((model.network, model.unseen, model.keys, model.gains))
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (network, unseen, frequent), known = sent.value, Words()
+        network, unseen, keys, gains = sent.value
+        words = Words(keys)
         for b in batches:
-            texts = [(t.as_py() or "").lower().split() for t in b.column("text")]
-            tokens = [known.tokens(t.as_py()) for t in b.column("text")]
             # words that are not frequent count as unseen here; the join adds what they gain by being known
-            sums = [s + float(unseen[k].sum()) + sum(frequent.get(w, 0.0) for w in words) for s, k, words in zip(model_sums(network, tokens), tokens, texts)]
-            rare = [[w.encode("utf-8", "surrogatepass") for w in words if w not in frequent] for words in texts]
-            out = [pa.array([len(t) for t in tokens], pa.int64()), pa.array(sums, pa.float64()), pa.array(rare, pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *out], ["doc_id", "n_tokens", "log_probability", "rare"])
+            for first in range(0, b.num_rows, 512):
+                part = b.slice(first, 512)
+                codes = [words.codes(split(t)) for t in part.column("text").to_pylist()]
+                sums = []
+                for laid in grouped(map(words.value_of, codes)):
+                    sums += laid.sums(network.scored(laid) + unseen[laid.tokens])
+                flat = np.concatenate([*codes, np.zeros(0, np.int64)])
+                stops = np.cumsum([0, *map(len, codes)])
+                known = np.concatenate(([0.0], np.cumsum(np.where(flat >= 0, gains[np.maximum(flat, 0)] if len(gains) else 0.0, 0.0))))
+                rare = np.concatenate(([0], np.cumsum(flat < 0)))
+                lists = pa.ListArray.from_arrays(pa.array(rare[stops], pa.int32()), pa.array(-1 - flat[flat < 0]))
+                out = [pa.array(np.diff(stops)), pa.array(np.array(sums) + np.diff(known[stops])), lists]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *out], ["doc_id", "n_tokens", "log_probability", "rare"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    made = rows.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, log_probability double, rare array<binary>")
+    made = rows.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, log_probability double, rare array<bigint>")
     scored = Scratch(docs.sparkSession, "lm").write(made.withColumn("row_id", F.monotonically_increasing_id()), "scored")
-    gained = scored.select("row_id", F.explode("rare").alias("word")).join(model.rare, "word").groupBy("row_id").agg(F.sum("gain").alias("gain"))
+    gained = scored.select("row_id", F.explode("rare").alias("key")).join(model.rare, "key").groupBy("row_id").agg(F.sum("gain").alias("gain"))
     total = F.col("log_probability") + F.coalesce("gain", F.lit(0.0))
     mean = F.when(F.col("n_tokens") > 0, total / F.col("n_tokens"))
     return scored.drop("rare").join(gained, "row_id", "left").select("doc_id", "n_tokens", total.alias("log_probability"), mean.alias("mean_log_probability"))
