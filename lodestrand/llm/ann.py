@@ -8,8 +8,9 @@ visited buckets hold enough rows.  Candidates of all tables are merged and ranke
 
 The fit (length bound aside) uses a bounded sample: ``SAMPLE`` rows, those with the smallest hashes of their ids.
 Every row is indexed.  Buckets are laid out in blocks of at most ``BLOCK`` rows; a larger bucket is split by the hash
-of the id.  A block and the queries that visit it are multiplied in one task, which returns at most ``k`` rows a
-query: pairs are never shuffled.
+of the id.  A block and the queries that visit it, ``QUERY_GROUP`` or fewer on average, meet in one task, where each visited
+bucket is multiplied with the queries that visit it and with no other; at most ``k`` rows a query come back: pairs are
+never shuffled.
 """
 
 from __future__ import annotations
@@ -27,10 +28,12 @@ from lodestrand.llm.common import Scratch
 K = 20
 TABLES = 2
 SLOTS = 4
-MOST_PROJECTIONS = 5
+MOST_PROJECTIONS = 7
 SAMPLE = 4096
 SAMPLE_QUERIES = 256
 BLOCK = 32_768
+#: Queries of one group, on average; their vectors and a block's are what a task holds.
+QUERY_GROUP = 16_384
 RECALL = 0.96
 SHARES = (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.93, 0.96, 0.98, 0.99, 0.999)
 
@@ -149,7 +152,7 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return at
 
 
-def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, block: int = BLOCK) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, block: int = BLOCK, group: int = QUERY_GROUP) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's ``k`` nearest found, nearest first, ties to smaller ids.
 
     ``is_query`` is a condition on the columns of ``vectors``.  Rows whose id or vector is null, whose vector is zero,
@@ -185,6 +188,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
     for r in rows.select("x").mapInPandas(count, "tab int, cell int, n bigint").groupBy("tab", "cell").agg(F.sum("n").alias("n")).collect():  # at most TABLES * cells rows
         counts[r["tab"]][r["cell"]] = r["n"]
     plan = spark.sparkContext.broadcast((counts, _layout(counts, block)))
+    parts = max(1, ceil(rows.where("asks").count() / group))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -201,8 +205,11 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
         for b in batches:
             if not len(b):
                 continue
-            seen = fitted.value.visited(np.array(b["x"].tolist(), np.float64), counts, k + 1)
-            for t, s in enumerate(seen):
+            x = np.array(b["x"].tolist(), np.float64)
+            step = max(1, (1 << 18) // fitted.value.cells)  # a table of queries and buckets is made for few queries at a time
+            each = [fitted.value.visited(x[i : i + step], counts, k + 1) for i in range(0, len(x), step)]
+            for t in range(TABLES):
+                s = np.concatenate([e[t] for e in each])
                 first, splits, n = layout[t]
                 packed = np.packbits(s, axis=1)
                 into = np.zeros((len(b), n), bool)
@@ -218,11 +225,18 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
     def match(queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(held):
+            held = held.sort_values("cell", kind="stable")
             x, q = np.array(held["x"].tolist(), np.float64), np.array(queries["x"].tolist(), np.float64)
             ids, cells, asking = held["id"].to_numpy(), held["cell"].to_numpy(), queries["id"].to_numpy()
+            stops = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(cells)]
             for i in range(0, len(q), 64):
                 looks = np.unpackbits(np.frombuffer(b"".join(queries["cells"].iloc[i : i + 64]), np.uint8).reshape(len(asking[i : i + 64]), -1), axis=1).astype(bool)
-                scores = np.where(looks[:, cells] & (asking[i : i + 64, None] != ids), q[i : i + 64] @ x.T, -np.inf)
+                scores = np.full((len(looks), len(ids)), -np.inf)
+                for a, b in zip(stops, stops[1:]):  # bucket by bucket
+                    on = np.flatnonzero(looks[:, cells[a]])
+                    if len(on):
+                        scores[on, a:b] = q[i + on] @ x[a:b].T
+                scores[asking[i : i + 64, None] == ids] = -np.inf
                 for j, s in enumerate(scores, i):
                     at = _best(ids, s, k)
                     exact = (x[at] * q[j]).sum(axis=1)  # the same order of sums for every pair
@@ -231,7 +245,9 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
                     out.append(pd.DataFrame({"query_id": asking[j], "vec_id": ids[at][best], "score": exact[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
-    found = asked.groupBy("tab", "block").cogroup(indexed.groupBy("tab", "block")).applyInPandas(match, answer)
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    indexed = indexed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
+    found = asked.groupBy("tab", "block", "part").cogroup(indexed.groupBy("tab", "block", "part")).applyInPandas(match, answer)
     found = scratch.write(found, "found").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -16,6 +16,7 @@ import tiktoken
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLANK_BEFORE_SPACE = re.compile(r"\s\x20")
 CACHE_UNITS = 300_000
+LONG_TEXT = 4_000_000
 
 
 class UnitEncoder:
@@ -39,6 +40,8 @@ class UnitEncoder:
         known = self.units
         if len(known) > CACHE_UNITS:
             known.clear()
+        if len(text) > LONG_TEXT:  # its units are not remembered
+            known = {}
         new = set(units).difference(known)
         for u in new:
             known[u] = self.plain(" " + u)

@@ -31,6 +31,7 @@ L1 = 4e-3
 SHAPE_WEIGHT = 8.0
 KEEP_TAIL = 0.5
 KNOWN_WORDS = 400_000
+LONG_TEXT = 4_000_000
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -61,6 +62,8 @@ def features(text: str | None, known: dict[str, tuple[int, int, int]]) -> tuple[
     if len(known) > KNOWN_WORDS:
         known.clear()
     counts = Counter(words)
+    if len(text or "") > LONG_TEXT:  # its words are not remembered
+        known = {}
     for w in counts:
         if w not in known:
             known[w] = word_slots(w)
@@ -141,7 +144,8 @@ def train(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col:
     """Fits on at most ``fit_rows`` rated rows; what comes to the driver is their slots and values."""
     chosen = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rated = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("grade", "text")
+    # of several texts under one id the least counts, in whatever order they are read
+    rated = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text")).select("grade", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, int, int]] = {}

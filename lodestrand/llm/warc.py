@@ -3,7 +3,8 @@
 Each payload is stored once under its SHA-256; the payloads themselves are grouped, so that two payloads under one
 address would show up as two rows and stop the write.  The exact header block of each record (WARC fields, and the
 HTTP head of responses) is kept in a table of its own, and joins on the address give back the original records.
-Reading parses the header blocks and recomputes every digest and length from the stored bytes.
+Reading rebuilds the bytes of each record, parses them (fields, lengths, HTTP head, payload), and recomputes every digest
+and length from them.
 """
 
 from __future__ import annotations
@@ -33,8 +34,12 @@ def _uuid(page_id: Column, row: Column) -> Column:
 
 
 def _one_line(text: Column) -> Column:
-    """A header value holds no line ends or other control characters."""
-    return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x00-\x1F\x7F]+", " ")
+    """A header value holds no line ends or other control characters; these are percent-encoded."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    coded = text
+    for c in (*range(32), 127):
+        coded = F.replace(coded, F.lit(chr(c)), F.lit(f"%{c:02X}"))
+    return F.when(text.rlike(r"[\x00-\x1F\x7F]"), coded).otherwise(text)
 
 
 def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, date: str = "2000-01-01T00:00:00Z") -> None:
@@ -82,44 +87,57 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     records.select("row", "address", F.concat(lines, F.lit(CRLF * 2)).alias("warc_head"), head.alias("http_head")).write.mode("overwrite").parquet(f"{path}/headers")
 
 
-def _field(name: str) -> Column:
-    found = F.regexp_extract("warc_head", rf"(?:^|\r\n){name}: ([^\r]*)\r\n", 1)
-    return F.when(F.col("warc_head").contains(f"{CRLF}{name}: "), found)
+def _field(name: str, head: str = "warc_head") -> Column:
+    found = F.regexp_extract(head, rf"(?:^|\r\n){name}: ([^\r]*)", 1)
+    return F.when(F.col(head).contains(f"{CRLF}{name}: "), found)
+
+
+def _number(text: Column) -> Column:
+    return F.when(text != "", text.cast("bigint"))
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """The original records through a join: record (the exact bytes of the WARC record), address, and payload, of
+    revisits that of the record that they refer to; null where the archive has lost it."""
+    heads = spark.read.parquet(f"{path}/headers")
+    whole = heads.join(spark.read.parquet(f"{path}/payloads").select("address", "payload"), "address", "left")
+    body = F.when(_field("WARC-Type") == RESPONSE, F.col("payload")).otherwise(F.lit(b""))
+    record = F.concat(F.encode("warc_head", "UTF-8"), F.encode("http_head", "UTF-8"), body, F.encode(F.lit(CRLF * 2), "UTF-8"))
+    return whole.select(record.alias("record"), "address", "payload")
+
+
+def parse_records(records: DataFrame) -> DataFrame:
+    """``records`` with what the bytes of each say: page, record_type, refers, stated (digest), and body, the payload of
+    the HTTP message (empty for revisits); whole: the lengths that the record states are those that it has."""
+    end = CRLF * 2
+    text = F.col("record").cast("string")
+    heads = records.withColumn("warc", F.substring_index(text, end, 1)).withColumn("block", F.expr(f"substring(record, octet_length(warc) + {len(CRLF * 2) + 1}, octet_length(record) - octet_length(warc) - {2 * len(CRLF * 2)})"))
+    http = heads.withColumn("http", F.substring_index(F.col("block").cast("string"), end, 1)).withColumn("body", F.expr(f"substring(block, octet_length(http) + {len(CRLF * 2) + 1})"))
+    revisit = _field("WARC-Type", "warc") == REVISIT
+    lengths = (_field("Content-Length", "warc").cast("bigint") == F.octet_length("block")) & (revisit | (_field("Content-Length", "http").cast("bigint") == F.octet_length("body")))
+    fields = (("page", "X-Page-ID"), ("record_type", "WARC-Type"), ("refers", "X-Refers-To-Page"), ("stated", "WARC-Payload-Digest"))
+    return http.select("address", "payload", "body", *[_field(name, "warc").alias(c) for c, name in fields], lengths.alias("whole"))
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record, from the archive alone: page_id, payload_bytes, payload_digest, record_type, refers_to.
+    """One row per record, from the rebuilt records alone: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Every stored payload is hashed again; a payload that does not match its address, or a record whose stated digest
-    is not that of the payload, stops the read.
+    The payload of a response is cut out of its record, that of a revisit is the one it refers to.  A payload that does
+    not match its address, or a record whose stated digest or lengths are not those it has, stops the read.
     """
-    blobs = spark.read.parquet(f"{path}/payloads").select(
-        "address", F.octet_length("payload").cast("bigint").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"), (F.sha2("payload", 256) == F.col("address")).alias("sound")
-    )
-    heads = spark.read.parquet(f"{path}/headers").select("address", "row", _field("X-Page-ID").alias("page"), _field("WARC-Type").alias("record_type"), _field("X-Refers-To-Page").alias("refers"), _field("WARC-Payload-Digest").alias("stated"))
-    whole = heads.join(blobs, "address", "left")
-    good = F.coalesce(F.col("sound") & (F.col("stated") == F.concat(F.lit("sha1:"), F.col("payload_digest"))), F.lit(False))
-    number = lambda c: F.when(F.col(c) != "", F.col(c).cast("bigint"))
-    return whole.select(
-        number("page").alias("page_id"),
+    parsed = parse_records(read_records(spark, path))
+    full = parsed.withColumn("full", F.when(F.col("record_type") == RESPONSE, F.col("body")).otherwise(F.col("payload")))
+    rows = full.select("page", "record_type", "refers", "stated", "whole", "address", F.octet_length("full").cast("bigint").alias("payload_bytes"), base32_sha1(F.col("full")).alias("payload_digest"), F.sha2("full", 256).alias("found"))
+    good = F.coalesce(F.col("whole") & (F.col("found") == F.col("address")) & (F.col("stated") == F.concat(F.lit("sha1:"), F.col("payload_digest"))), F.lit(False))
+    return rows.select(
+        _number(F.col("page")).alias("page_id"),
         F.when(good, F.col("payload_bytes")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("address"))).cast("bigint")).alias("payload_bytes"),
         "payload_digest",
         "record_type",
-        number("refers").alias("refers_to"),
+        _number(F.col("refers")).alias("refers_to"),
     )
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The original records through a join: page_id, record (the exact bytes of the WARC record), payload (of revisits
-    too, from the record that they refer to)."""
-    heads = spark.read.parquet(f"{path}/headers")
-    whole = heads.join(spark.read.parquet(f"{path}/payloads").select("address", "payload"), "address")
-    page = _field("X-Page-ID")
-    body = F.when(_field("WARC-Type") == RESPONSE, F.col("payload")).otherwise(F.lit(b""))
-    record = F.concat(F.encode("warc_head", "UTF-8"), F.encode("http_head", "UTF-8"), body, F.encode(F.lit(CRLF * 2), "UTF-8"))
-    return whole.select(F.when(page != "", page.cast("bigint")).alias("page_id"), record.alias("record"), "payload")
-
-
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Writes ``pages`` into an archive in the shared folder and returns what :func:`read_index` finds there.
 

@@ -173,7 +173,7 @@ def test_a_crowded_bucket_is_split(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.standard_normal((300, 8)), np.tile(rng.standard_normal(8), (300, 1)) + 1e-3 * rng.standard_normal((300, 8))])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
-    got = ann.search(df, F.col("vec_id") % 20 == 0, block=50).toPandas()
+    got = ann.search(df, F.col("vec_id") % 20 == 0, block=50, group=7).toPandas()
     hit = sum(len(set(np.argsort(-np.where(np.arange(600) == q, -np.inf, x @ x[q]), kind="stable")[:20]) & set(g.vec_id)) for q, g in got.groupby("query_id"))
     assert hit / (20 * 30) >= 0.9
 
