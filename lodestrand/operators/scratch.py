@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
@@ -11,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: str | None = None
+_roots: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,13 +29,29 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _local_dir
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def clear() -> None:
+    """Removes the tables that this process has written; no DataFrame that reads them may be used after it."""
+    while _roots:
+        spark, path = _roots.pop()
+        if spark.sparkContext._jsc is not None:
+            with contextlib.suppress(Exception):  # the session may be on its way out; what stays is a leftover folder
+                _delete(spark, path)
+
+
 class Scratch:
     """Tables written once to the shared folder: later plans read them again instead of recomputing their lineage,
-    and a lost executor takes nothing with it."""
+    and a lost executor takes nothing with it.  They go when the process ends, or with :func:`clear`."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/lodestrand/{name}-{uuid.uuid4().hex}"
+        _roots.append((spark, self.root))
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -43,5 +61,4 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
     def drop(self, table: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, self.path(table))
