@@ -20,7 +20,7 @@ biases start from the counts of all tokens of the corpus.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -40,13 +40,16 @@ REACH = max(map(abs, OFFSETS))
 WIDTH = 24
 PASSES = 2
 MASK_EVERY = 8
-BATCH = 4096
+BATCH = 2048
 RATE = 0.15
 BLOCK = 4096
 KNOWN_WORDS, KNOWN_CHARS = 300_000, 6_000_000
 FREQUENT = 1 << 18
 #: Texts are laid end to end until they have so many tokens.
 GROUP = 1 << 16
+#: Texts of a batch that are looked up together.
+SLICE = 512
+ONES = np.ones(CLASSES, np.float32)
 EDGE = VALUES  # beyond either end of a document
 
 
@@ -55,32 +58,30 @@ def word_key(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 3) >> 1
 
 
-class Words(dict):
-    """The code of each word, made when it is first asked for: the place of a frequent word, else -1 - its key.
+class Words:
+    """The code of each word, made when it is first met: the place of a frequent word, else -1 - its key.
 
-    What is remembered is bounded in words and in characters; ``tokens`` starts afresh beyond that.
+    What is remembered is bounded in words and in characters; the next texts start afresh beyond that.
     """
 
     def __init__(self, frequent: np.ndarray | None = None):
-        super().__init__()
+        self.known: dict[str, int] = {}
         self.places = {k: i for i, k in enumerate(frequent.tolist())} if frequent is not None else {}
         self.values = frequent % VALUES if frequent is not None else np.zeros(0, np.int64)
         self.chars = 0
 
-    def __missing__(self, word: str) -> int:
-        key = word_key(word)
-        code = self[word] = self.places.get(key, -1 - key)
-        self.chars += len(word)
-        return code
-
-    def codes(self, words: list[str]) -> np.ndarray:
-        if len(self) > KNOWN_WORDS or self.chars > KNOWN_CHARS:
-            self.clear()
-            self.chars = 0
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+    def codes(self, texts: list[list[str]]) -> list[np.ndarray]:
+        if len(self.known) > KNOWN_WORDS or self.chars > KNOWN_CHARS:
+            self.known, self.chars = {}, 0
+        known, place = self.known, self.places.get
+        for word in set().union(*texts).difference(known):
+            key = word_key(word)
+            known[word] = place(key, -1 - key)
+            self.chars += len(word)
+        return [np.fromiter(map(known.__getitem__, words), np.int64, len(words)) for words in texts]
 
     def tokens(self, text: str | None) -> np.ndarray:
-        return self.value_of(self.codes(split(text)))
+        return self.value_of(self.codes([split(text)])[0])
 
     def value_of(self, codes: np.ndarray) -> np.ndarray:
         rare = (-1 - codes) % VALUES
@@ -127,10 +128,21 @@ def grouped(texts: Iterable[np.ndarray]) -> Iterator[Laid]:
 
 
 class Network:
-    """Parameters by name, as float32 arrays."""
+    """Parameters by name, as float32 arrays.  Large results of a batch go to arrays that are kept for the next one: getting
+    fresh memory for them took longer than the arithmetic."""
 
     def __init__(self, params: dict[str, np.ndarray]):
         self.p = params
+        self.room: dict[str, np.ndarray] = {}
+
+    def __getstate__(self) -> dict:
+        return {"p": self.p, "room": {}}
+
+    def kept(self, name: str, rows: int, width: int) -> np.ndarray:
+        held = self.room.get(name)
+        if held is None or len(held) < rows:
+            held = self.room[name] = np.empty((max(rows, BATCH), width), np.float32)
+        return held[:rows]
 
     @classmethod
     def initial(cls, counts: np.ndarray, seed: int = 11) -> Network:
@@ -144,33 +156,38 @@ class Network:
         })
 
     def hidden(self, rows: np.ndarray) -> np.ndarray:
-        embed = self.p["embed"]
-        h = embed[rows[:, 0]]
+        h, more = self.kept("h", len(rows), WIDTH), self.kept("more", len(rows), WIDTH)
+        np.take(self.p["embed"], rows[:, 0], axis=0, out=h, mode="clip")
         for k in range(1, rows.shape[1]):
-            h += embed[rows[:, k]]
+            h += np.take(self.p["embed"], rows[:, k], axis=0, out=more, mode="clip")
         return np.tanh(h, out=h)
 
-    def exponentials(self, h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def farthest(self) -> float:
+        """No logit is farther from zero: the hidden numbers are between -1 and 1."""
+        return max(float(np.abs(self.p[k]).max()) for k in ("class_bias", "member_bias")) + float(np.abs(self.p["layer"]).sum(axis=0).max())
+
+    def exponentials(self, h: np.ndarray, group: np.ndarray, farthest: float | None = None) -> tuple[np.ndarray, np.ndarray]:
         """exp of the logits of all classes and of the members of ``group``, less a number a row, and their sums.  The
         halves are rows of one array: (positions, class or member, entry)."""
-        x = (h @ self.p["layer"]).reshape(len(h), 2, CLASSES)
+        flat = np.matmul(h, self.p["layer"], out=self.kept("logits", len(h), 2 * CLASSES))
+        x = flat.reshape(len(h), 2, CLASSES)
         x[:, 0] += self.p["class_bias"]
-        x[:, 1] += self.p["member_bias"][group]
-        if x.max() > 60 or x.max(axis=2).min() < -60:
+        x[:, 1] += np.take(self.p["member_bias"], group, axis=0, out=self.kept("bias", len(h), CLASSES), mode="clip")
+        if (self.farthest() if farthest is None else farthest) > 60:
             x -= x.max(axis=2, keepdims=True)
         np.exp(x, out=x)
-        return x, x.sum(axis=2)
+        return x, (flat.reshape(-1, CLASSES) @ ONES).reshape(-1, 2)
 
     def log_probabilities(self, tokens: np.ndarray) -> np.ndarray:
         """The conditional log-probability of each token of a text."""
         return self.scored(Laid([tokens]))
 
     def scored(self, laid: Laid) -> np.ndarray:
-        out = np.empty(len(laid.at))
+        out, farthest = np.empty(len(laid.at)), self.farthest()
         for i in range(0, len(out), BATCH):
             target = laid.tokens[i : i + BATCH].astype(np.int64)
             group, k = target // CLASSES, np.arange(len(target))
-            e, total = self.exponentials(self.hidden(laid.windows(laid.at[i : i + BATCH])), group)
+            e, total = self.exponentials(self.hidden(laid.windows(laid.at[i : i + BATCH])), group, farthest)
             ratio = np.maximum(e[k, 0, group] / total[:, 0], 1e-30).astype(np.float64) * np.maximum(e[k, 1, target % CLASSES] / total[:, 1], 1e-30)
             out[i : i + BATCH] = np.log(ratio)
         return out
@@ -185,20 +202,33 @@ class Network:
         e[k, 0, group] -= np.float32(1 / n)
         e[k, 1, member] -= np.float32(1 / n)
         flat = e.reshape(n, 2 * CLASSES)
-        dh = (flat @ p["layer"].T) * (1 - h * h)
-        groups, sums = self._sums(group.astype(np.uint16), e[:, 1])
-        for name, at, g in (("layer", ..., h.T @ flat), ("class_bias", ..., e[:, 0].sum(axis=0)), ("member_bias", groups, sums), ("embed", *self._sums(rows.ravel(), dh, rows.shape[1]))):
-            so_far = memory[name][at] + g * g
-            memory[name][at] = so_far
-            p[name][at] -= rate * g / np.sqrt(so_far + 1e-8)
-
-    @staticmethod
-    def _sums(keys: np.ndarray, values: np.ndarray, times: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        dh = np.matmul(flat, p["layer"].T, out=self.kept("dh", n, WIDTH))
+        dh *= 1 - h * h
+        groups, sums = self._sums(group.astype(np.uint16), e[:, 1], "members")
+        for name, at, g in (("layer", ..., h.T @ flat), ("class_bias", ..., e[:, 0].sum(axis=0)), ("member_bias", groups, sums), ("embed", *self._sums(rows.ravel(), dh, "windows", rows.shape[1]))):
+            if name == "embed":
+                # few rows of many: each is fetched and put back once
+                so_far, now, square = (self.kept(x, len(at), WIDTH) for x in ("so_far", "now", "square"))
+                np.take(memory[name], at, axis=0, out=so_far, mode="clip")
+                so_far += np.multiply(g, g, out=square)
+                memory[name][at] = so_far
+                so_far += 1e-8
+                g *= rate
+                np.take(p[name], at, axis=0, out=now, mode="clip")
+                now -= np.divide(g, np.sqrt(so_far, out=so_far), out=square)
+                p[name][at] = now
+            else:
+                so_far = memory[name][at] + g * g
+                memory[name][at] = so_far
+                p[name][at] -= rate * g / np.sqrt(so_far + 1e-8)
+
+    def _sums(self, keys: np.ndarray, values: np.ndarray, name: str, times: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """The distinct keys, and the sum of the rows of each; row k of ``values`` belongs to ``times`` keys."""
         order = np.argsort(keys, kind="stable")  # 16-bit keys are sorted by radix
         ordered = keys[order]
         first = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
-        return ordered[first], np.add.reduceat(values[order // times if times > 1 else order], first, axis=0)
+        sorted_ = np.take(values, order // times if times > 1 else order, axis=0, out=self.kept(name, len(keys), values.shape[1]), mode="clip")
+        return ordered[first], np.add.reduceat(sorted_, first, axis=0)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
@@ -227,7 +257,7 @@ def parse(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(tokens) of each text that has any, and (key, n): how often each word occurs in some texts; one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, found = Words(), Counter()
+        words, found = Words(), defaultdict(int)
 
         def counts() -> pa.RecordBatch:
             out = [pa.array([-1 - c for c in found], pa.int64()), pa.array(found.values(), pa.int64()), pa.nulls(len(found), pa.binary())]
@@ -235,15 +265,15 @@ def parse(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
             return pa.RecordBatch.from_arrays(out, ["key", "n", "tokens"])
 
         for b in batches:
-            lists = []
-            for t in b.column("text"):
-                codes = words.codes(split(t.as_py()))
-                found.update(codes.tolist())
-                if len(codes):
-                    lists.append(words.value_of(codes).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(lists), pa.int64()), pa.nulls(len(lists), pa.int64()), pa.array(lists, pa.binary())], ["key", "n", "tokens"])
-            if len(found) > KNOWN_WORDS:
-                yield counts()
+            for first in range(0, b.num_rows, SLICE):
+                codes = words.codes([split(t) for t in b.column("text").slice(first, SLICE).to_pylist()])
+                each, n = np.unique(np.concatenate(codes), return_counts=True)
+                for code, times in zip(each.tolist(), n.tolist()):
+                    found[code] += times
+                lists = [words.value_of(c).astype("<u2").tobytes() for c in codes if len(c)]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(lists), pa.int64()), pa.nulls(len(lists), pa.int64()), pa.array(lists, pa.binary())], ["key", "n", "tokens"])
+                if len(found) > KNOWN_WORDS:
+                    yield counts()
         yield counts()
 
     parsed = Scratch(texts.sparkSession, "parsed").write(texts.mapInArrow(run, "key bigint, n bigint, tokens binary"), "parsed")
@@ -363,9 +393,9 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
         words = Words(keys)
         for b in batches:
             # words that are not frequent count as unseen here; the join adds what they gain by being known
-            for first in range(0, b.num_rows, 512):
-                part = b.slice(first, 512)
-                codes = [words.codes(split(t)) for t in part.column("text").to_pylist()]
+            for first in range(0, b.num_rows, SLICE):
+                part = b.slice(first, SLICE)
+                codes = words.codes([split(t) for t in part.column("text").to_pylist()])
                 sums = []
                 for laid in grouped(map(words.value_of, codes)):
                     sums += laid.sums(network.scored(laid) + unseen[laid.tokens])

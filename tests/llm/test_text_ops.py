@@ -398,7 +398,7 @@ def brute_score(words, model, counts):
 
 
 def test_scores_equal_brute_force(spark, documents, monkeypatch):
-    for name, value in (("FREQUENT", 300), ("GROUP", 500), ("BATCH", 128), ("KNOWN_WORDS", 200)):
+    for name, value in (("FREQUENT", 300), ("GROUP", 500), ("BATCH", 128), ("KNOWN_WORDS", 200), ("SLICE", 7)):
         monkeypatch.setattr(lm_score, name, value)
     texts = {r.doc_id: (r.text or "").lower().split() for r in documents.collect()}
     counts = Counter(w for words in texts.values() for w in words)
