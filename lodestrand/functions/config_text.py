@@ -1,7 +1,8 @@
-"""Edits of configuration texts as columns: marked blocks and tables."""
+"""Edits of configuration texts: marked blocks and tables as columns, JSON objects on the driver."""
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column
@@ -27,6 +28,21 @@ def without_toml_table(text: Column, header: str) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?m)^[ \t]*{re.escape(header)}(?=[ \t\r\n]|\z)[^\n]*\n?(?:{line})*", "")
 
 
+def merged_json(text: str | None, path: tuple[str, ...], value: object) -> str:
+    """The object in ``text`` (none or blank: an empty one) with ``value`` under ``path``; all else is as it was.  A text
+    that holds no object is an error, and so is a path through something that is none."""
+    root = json.loads(text) if text and text.strip() else {}
+    at = root
+    for key in path[:-1]:
+        if not isinstance(at, dict):
+            raise ValueError("not an object")
+        at = at.setdefault(key, {})
+    if not isinstance(at, dict):
+        raise ValueError("not an object")
+    at[path[-1]] = value
+    return json.dumps(root, indent=2, ensure_ascii=False) + "\n"
+
+
 def wants_client(clients: Column, name: str) -> Column:
     """An empty list wants every client, and so does ``all``; else it names them, separated by commas."""
     parts = F.transform(F.split(F.lower(clients), ","), lambda p: F.trim(p))

@@ -10,21 +10,29 @@ from lodestrand.functions.paths import dirname
 from lodestrand.functions.symbols import kind_resolution
 
 
-def _candidates(symbols: DataFrame) -> DataFrame:
-    return symbols.select(F.col("name").alias("cand_name"), F.col("id").alias("cand_id"), F.col("file").alias("cand_file"), (F.when(F.col("is_definition"), 20).otherwise(0) + kind_resolution(F.col("kind"))).alias("cand_worth"))
+def _best(symbols: DataFrame, name: str, *near: Column) -> DataFrame:
+    """The best symbol of each name, or of each name and place: worth by definition and kind, then smallest unsigned id."""
+    worth = F.when(F.col("is_definition"), 20).otherwise(0) + kind_resolution(F.col("kind"))
+    order = F.struct(worth.alias("score"), (-1 - unsigned(F.col("id"))).alias("rank"))
+    return symbols.groupBy(F.col("name").alias(name), *near).agg(F.max(order).alias("best"))
 
 
 def best_candidate(pending: DataFrame, symbols: DataFrame, name: str) -> DataFrame:
     """seq, candidate id and its score for every unresolved edge whose ``name`` some symbol has.
 
     Same file counts 100, else same module 40; a definition 20; then the kind; ties go to the smallest unsigned id.
-    The best is an aggregate, combined in each task, so a name with many candidates costs no sort.
+    Candidates are reduced first, in each task before the shuffle, to the best of each name, of each name and module, and
+    of each name and file; three equi-joins bring one row each to a call site, and the best of the three is the best of
+    all.  So a name with many symbols and many call sites costs their sum, not their product.
     """
-    module = dirname(F.col("caller_file"))
-    near = F.when(F.col("cand_file") == F.col("caller_file"), 100).when((module != "") & (dirname(F.col("cand_file")) == module), 40).otherwise(0)
-    pairs = pending.select("seq", "caller_file", F.col(name).alias("cand_name")).join(_candidates(symbols), "cand_name")
-    order = F.struct((near + F.col("cand_worth")).alias("score"), (-1 - unsigned(F.col("cand_id"))).alias("rank"))
-    best = pairs.groupBy("seq").agg(F.max(order).alias("best"))
+    place = dirname(F.col("file"))
+    by_name = _best(symbols, name).withColumnRenamed("best", "any")
+    by_module = _best(symbols.where(place != ""), name, place.alias("module")).withColumnRenamed("best", "mate")
+    by_file = _best(symbols, name, F.col("file").alias("caller_file")).withColumnRenamed("best", "own")
+    sites = pending.select("seq", "caller_file", dirname(F.col("caller_file")).alias("module"), name)
+    found = sites.join(by_name, name).join(by_module, [name, "module"], "left").join(by_file, [name, "caller_file"], "left")
+    at = lambda c, near: F.when(F.col(c).isNotNull(), F.struct((F.col(f"{c}.score") + near).alias("score"), F.col(f"{c}.rank").alias("rank")))
+    best = found.select("seq", F.greatest(at("any", 0), at("mate", 40), at("own", 100)).alias("best"))
     return best.select("seq", unsigned(-1 - F.col("best.rank")).alias("id"), F.col("best.score").alias("score"))
 
 

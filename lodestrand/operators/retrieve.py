@@ -23,10 +23,12 @@ def ranked_seeds(seeds: DataFrame) -> DataFrame:
     return seeds.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), unsigned(F.col("id")))).cast("bigint"))
 
 
-def relations(edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Both ends of each edge with the symbol at the other end; ends without one, or of unknown kind, are left out."""
+def relations(edges: DataFrame, symbols: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """The edges at each of ``ids``, or at all symbols, with the symbol at the other end; ends without one, or of unknown kind, are left out.
+    The edges are cut down to those of ``ids`` first; nothing is broadcast but by the planner, which knows the sizes."""
     other = symbols.where(F.col("kind") != K.UNKNOWN).select(F.col("id").alias("other_id"), F.col("name").alias("other_name"), F.col("file").alias("other_file"), F.col("line").alias("other_line"), F.col("kind").alias("other_kind"))
-    return adjacency(edges).join(other, "other_id")
+    ends = adjacency(edges) if ids is None else adjacency(edges).join(ids.select("id"), "id", "left_semi")
+    return ends.join(other, "other_id")
 
 
 def levels(starts: DataFrame, symbols: DataFrame, edges: DataFrame, depth: int = K.DEPTH, budget: int = K.MOST_SET) -> DataFrame:
@@ -85,17 +87,19 @@ def include_chain(starts: DataFrame, symbols: DataFrame, edges: DataFrame) -> Da
 
 def file_entrypoints(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """place, id, seq of public entrypoints in the given files (file, place)."""
-    return symbols.where(S.is_public_entrypoint()).select("id", "file", "seq").join(F.broadcast(files), "file").select("place", "id", "seq")
+    return symbols.where(S.is_public_entrypoint()).select("id", "file", "seq").join(files, "file").select("place", "id", "seq")
 
 
 def dir_peers(files: DataFrame, symbols: DataFrame, most: int = K.DIR_PEERS) -> DataFrame:
     """file, peer, place: names of other files in the directory of each file, in order of first symbol."""
     every = symbols.where(F.col("kind") != K.UNKNOWN).groupBy("file").agg(F.min("seq").alias("seq"))
     others = every.where(~is_vendor(F.col("file"))).select(F.col("file").alias("other"), dirname(F.col("file")).alias("dir"), basename(F.col("file")).alias("peer"), "seq")
-    pairs = files.select("file", dirname(F.col("file")).alias("dir")).where("dir <> ''").join(others, "dir").where("other <> file")
-    names = pairs.groupBy("file", "peer").agg(F.min("seq").alias("seq"))
+    # a directory's first names, one more than a file can use: its own may be among them
+    rank = F.row_number().over(Window.partitionBy("dir").orderBy("seq", "peer"))
+    firsts = others.where("dir <> ''").withColumn("rank", rank).where(F.col("rank") <= most + 1)
+    pairs = files.select("file", dirname(F.col("file")).alias("dir")).distinct().join(firsts, "dir").where("other <> file")
     place = F.row_number().over(Window.partitionBy("file").orderBy("seq", "peer"))
-    return names.withColumn("place", place).where(F.col("place") <= most).select("file", "peer", "place")
+    return pairs.withColumn("place", place).where(F.col("place") <= most).select("file", "peer", "place")
 
 
 def _kept(stages: DataFrame, budget: int) -> DataFrame:
@@ -158,7 +162,7 @@ def files_of(found: DataFrame) -> DataFrame:
 
 def card_relations(ids: DataFrame, edges: DataFrame, symbols: DataFrame, most: int = K.PACKET_RELATIONS) -> DataFrame:
     """The first relations of each symbol that are shown: id, place, outgoing, other_*, and whether there are more."""
-    near = relations(edges, symbols).join(F.broadcast(ids.select("id")), "id")
+    near = relations(edges, symbols, ids)
     order = Window.partitionBy("id").orderBy("shown_last", "seq", "other_id", "outgoing", "kind")
     hidden = (F.col("kind") == K.REFERENCES) & ~F.col("outgoing")
     rows = near.withColumn("shown_last", hidden).withColumn("place", F.row_number().over(order)).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("id")))
@@ -169,7 +173,7 @@ def card_relations(ids: DataFrame, edges: DataFrame, symbols: DataFrame, most: i
 def edge_groups(ids: DataFrame, edges: DataFrame, symbols: DataFrame, most: int = 6) -> DataFrame:
     """id, edge_group, names: the first relations of each kind and direction, as text."""
     own = symbols.select("id", F.col("file").alias("own_file"))
-    near = relations(edges, symbols).join(F.broadcast(ids.select("id")), "id").join(own, "id")
+    near = relations(edges, symbols, ids).join(own, "id")
     rows = near.withColumn("edge_group", S.edge_group(F.col("kind"), F.col("outgoing"))).where("edge_group is not null")
     rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("id", "edge_group").orderBy("seq", "other_id", "outgoing"))).where(F.col("place") <= most)
     where = F.when(F.col("other_file") == F.col("own_file"), F.concat(F.lit(":"), F.col("other_line"))).otherwise(F.concat(F.lit("("), basename(F.col("other_file")), F.lit(":"), F.col("other_line"), F.lit(")")))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +64,7 @@ def added_counters(*counters: DataFrame) -> DataFrame:
 
 
 def index_counters(files: DataFrame, symbols: DataFrame, edges: DataFrame, errors: int, millis: int) -> DataFrame:
+    """key, value of one index run."""
     one = files.groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit("files").alias("key"), "n")
     rows = one.unionByName(symbols.groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit("symbols_found").alias("key"), "n"))
     rows = rows.unionByName(edges.groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit("edges_found").alias("key"), "n"))
@@ -70,10 +73,11 @@ def index_counters(files: DataFrame, symbols: DataFrame, edges: DataFrame, error
 
 
 class GraphStore:
-    """Generations of a graph: each is written whole to a folder of its own, and one small file says which is current.
+    """Generations of a graph: each is written whole to a folder of its own, and one small file for each says that it is
+    finished; the last finished one is current.
 
-    A reader of the current generation is not disturbed by a writer of the next one, and a writer that dies leaves the
-    current one in place.  Another schema or semantic version reads as no graph at all, so it is built anew.
+    A reader of the current generation is not disturbed by a writer of the next one, and a writer that dies at any point
+    leaves the current one in place, as no file is ever replaced.  Another schema or semantic version reads as no graph at all, so it is built anew.
     """
 
     TABLES = {"symbols": SYMBOLS, "edges": EDGES, "pending": PENDING, "files": FILES}
@@ -85,11 +89,31 @@ class GraphStore:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _pointers(self) -> list[int]:
+        """Numbers of the generations that were finished, in order; the last one is current."""
+        folder, fs = self._fs(f"{self.root}/current")
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted(int(m[1]) for n in names if (m := re.fullmatch(r"meta-(\d+)\.json", n)))
+
+    def _write(self, path: str, text: str) -> None:
+        new, fs = self._fs(path)
+        out = fs.create(new, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def _publish(self, number: int, text: str) -> None:
+        """A pointer appears under its own name in one step, beside the one before it, which stays."""
+        at = f"{self.root}/current/meta-{number}.json"
+        self._write(f"{at}.new", text)
+        new, fs = self._fs(f"{at}.new")
+        if not fs.rename(new, self._fs(at)[0]):
+            raise OSError(f"{at} could not be written; another writer may have been faster")
+
     def meta(self) -> dict[str, str]:
-        path, fs = self._fs(f"{self.root}/current/meta.json")
-        if not fs.exists(path):
+        numbers = self._pointers()
+        if not numbers:
             return {}
-        found = self.spark.read.text(f"{self.root}/current/meta.json", wholetext=True).first()
+        found = self.spark.read.text(f"{self.root}/current/meta-{numbers[-1]}.json", wholetext=True).first()
         return json.loads(found[0]) if found else {}
 
     def generation(self) -> int:
@@ -103,8 +127,19 @@ class GraphStore:
         symbols, edges, pending, files = (self.spark.read.schema(kind).parquet(f"{at}/{name}") for name, kind in self.TABLES.items())
         return Graph(symbols, edges, pending, files)
 
-    def save(self, graph: Graph, **meta: str) -> int:
-        """Writes the next generation and makes it the current one.  The one before the current is removed."""
+    def stats(self) -> DataFrame:
+        """key, value: the counters of all runs so far."""
+        at = f"{self.root}/generation-{self.generation()}/stats"
+        path, fs = self._fs(at)
+        return self.spark.read.schema(STATS).parquet(at) if fs.exists(path) else self.spark.createDataFrame([], STATS)
+
+    def stat(self, key: str) -> int | None:
+        found = self.stats().where(F.col("key") == key).first()
+        return found["value"] if found else None
+
+    def save(self, graph: Graph, counted: Callable[[DataFrame], DataFrame] | None = None, **meta: str) -> int:
+        """Writes the next generation and makes it the current one.  The one before the current is removed.  ``counted``
+        gives the counters (key, value) of this run from its written edges; they are added to those so far."""
         old = self.meta()
         number = int(old.get("generation", 0)) + 1
         at = f"{self.root}/generation-{number}"
@@ -112,15 +147,14 @@ class GraphStore:
         graph.edges.write.mode("overwrite").parquet(f"{at}/edges")
         graph.pending.write.mode("overwrite").parquet(f"{at}/pending")
         graph.files.write.mode("overwrite").parquet(f"{at}/files")
+        run = [counted(self.spark.read.schema(EDGES).parquet(f"{at}/edges"))] if counted else []
+        added_counters(self.stats(), *run).write.mode("overwrite").parquet(f"{at}/stats")
         text = json.dumps(old | meta | {"generation": str(number), "schema_version": K.SCHEMA_VERSION, "semantic_version": K.SEMANTIC_VERSION})
-        new, fs = self._fs(f"{self.root}/current/meta.json.new")
-        out = fs.create(new, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        current, _ = self._fs(f"{self.root}/current/meta.json")
-        fs.delete(current, False)
-        fs.rename(new, current)
-        stale, _ = self._fs(f"{self.root}/generation-{number - 2}")
-        fs.delete(stale, True)
+        self._publish(number, text)
+        for n in self._pointers():
+            if n < number - 1:
+                path, fs = self._fs(f"{self.root}/generation-{n}")
+                fs.delete(path, True)
+                path, fs = self._fs(f"{self.root}/current/meta-{n}.json")
+                fs.delete(path, False)
         return number
-

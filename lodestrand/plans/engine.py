@@ -59,18 +59,21 @@ class Engine:
     @classmethod
     def index(cls, spark: SparkSession, tree: str, folder: str, forced: bool = False) -> Engine:
         """Brings the stored graph up to date with a source tree: new and changed files are read, gone ones leave."""
+        began = time.monotonic()
         saved, scanned = store.GraphStore(spark, folder), scan_tree(spark, tree)
         old = saved.load()
         empty = lambda kind: spark.createDataFrame([], kind)
         before = old or Graph(empty(store.SYMBOLS), empty(store.EDGES), empty(store.PENDING), empty(store.FILES))
         stale = store.stale_files(scanned, before.files, forced or old is None)
-        symbols, pending, files = extract_files(stale)
+        found, found_pending, found_files = extract_files(stale)
         leave = stale.select("path").unionByName(store.deleted_files(scanned, before.files).select("path"))
         keep = lambda rows, column: rows.join(leave.withColumnRenamed("path", column), column, "left_anti").select(*rows.columns)
-        symbols = keep(before.symbols, "file").unionByName(symbols)
-        pending = keep(before.pending, "caller_file").unionByName(pending)
-        files = keep(before.files, "path").unionByName(files)
-        saved.save(Graph(symbols, resolved_edges(pending, symbols), pending, files), root_path=tree)
+        symbols = keep(before.symbols, "file").unionByName(found)
+        pending = keep(before.pending, "caller_file").unionByName(found_pending)
+        files = keep(before.files, "path").unionByName(found_files)
+        errors = found_files.agg(F.sum("error_count")).first()[0] or 0
+        counted = lambda edges: store.index_counters(found_files, found, edges, errors, int(1000 * (time.monotonic() - began)))
+        saved.save(Graph(symbols, resolved_edges(pending, symbols), pending, files), counted, root_path=tree)
         return cls.open(spark, folder)
 
     # queries
@@ -123,7 +126,7 @@ class Engine:
         near: dict[int, list] = {}
         for r in retrieve.card_relations(ids, g.edges, g.symbols).orderBy("id", "place").collect():
             near.setdefault(r.id, []).append(r)
-        first = retrieve.relations(g.edges, g.symbols).join(F.broadcast(ids), "id").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min_by(S.handle_prefix(F.col("kind"), F.col("outgoing")), F.struct("seq", "other_id")).alias("prefix"))
+        first = retrieve.relations(g.edges, g.symbols, ids).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min_by(S.handle_prefix(F.col("kind"), F.col("outgoing")), F.struct("seq", "other_id")).alias("prefix"))
         every = {r.id: r for r in first.collect()}
         out = []
         for s in rows:

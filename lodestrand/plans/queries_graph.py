@@ -229,12 +229,12 @@ def siblings(g: Graph) -> DataFrame:
 
 
 @query("""
-, starts AS (SELECT id, id AS rank FROM sym WHERE id % 7 = 1
+, starts AS (SELECT id, id AS rank FROM sym
 ), files AS (SELECT DISTINCT s.rank, t.file FROM starts s JOIN v_edges e ON e.from_id = s.id AND e.kind = 1 JOIN sym t ON t.id = e.to_id WHERE t.kind <> 10 AND NOT t.vendor)
 SELECT DISTINCT rank, m.id FROM files f JOIN sym m ON m.file = f.file WHERE m.kind <> 10
 """)
 def include_chain(g: Graph) -> DataFrame:
-    starts = g.symbols.where("id % 7 = 1").select("id", F.col("id").alias("rank"))
+    starts = g.symbols.select("id", F.col("id").alias("rank"))
     return retrieve.include_chain(starts, g.symbols, g.edges)
 
 
@@ -297,10 +297,10 @@ def retrieve_task_set(g: Graph) -> DataFrame:
 
 
 def _ids(g: Graph) -> DataFrame:
-    return g.symbols.where("id % 20 = 1").select("id")
+    return g.symbols.select("id")
 
 
-NEAR_SQL = ", near AS (SELECT a.*, o.name AS other_name, o.file AS other_file, o.base AS other_base, o.line AS other_line FROM adj a JOIN sym o ON o.id = a.other_id WHERE o.kind <> 10 AND a.id % 20 = 1)\n"
+NEAR_SQL = ", near AS (SELECT a.*, o.name AS other_name, o.file AS other_file, o.base AS other_base, o.line AS other_line FROM adj a JOIN sym o ON o.id = a.other_id WHERE o.kind <> 10)\n"
 
 
 @query(NEAR_SQL + """
@@ -332,11 +332,11 @@ def entrypoint_hints(g: Graph) -> DataFrame:
     return retrieve.entrypoint_hints(g.symbols.select("file").distinct(), g.symbols, T.terms(F.lit(NARROW)))
 
 
-RANKED_SQL = ", found AS (SELECT id, file, module, lang, id AS rank FROM sym WHERE id % 11 = 3)\n"
+RANKED_SQL = ", found AS (SELECT id, file, module, lang, id AS rank FROM sym)\n"
 
 
 def _found(g: Graph) -> DataFrame:
-    return g.symbols.where("id % 11 = 3").select("id", "file", "lang", F.col("id").alias("rank"))
+    return g.symbols.select("id", "file", "lang", F.col("id").alias("rank"))
 
 
 @query(RANKED_SQL + "SELECT module, count(*) AS n_symbols, arg_min(lang, rank) AS lang, min(rank) AS first FROM found GROUP BY module ORDER BY first LIMIT 64")

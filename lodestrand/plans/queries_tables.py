@@ -73,13 +73,13 @@ FROM q
 
 
 def url_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url = F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit("?q=a%2Bb+"), F.col("page_id"), F.lit("&kind=symbol&empty="))
-    rows = _table(spark, sf_dir, "pages").select("page_id", url.alias("asked"))
-    value = lambda name: P.url_parameter(F.col("asked"), name)
-    return rows.select("page_id", value("q").alias("q"), value("kind").alias("kind"), value("empty").alias("empty"), value("absent").alias("absent"))
+    value = lambda name: P.url_parameter(F.col("url"), name).alias(name)
+    return _table(spark, sf_dir, "pages").select("page_id", *map(value, URL_PARAMETERS))
 
 
-URL_SQL = "SELECT page_id, 'a+b ' || page_id AS q, 'symbol' AS kind, '' AS empty, CAST(NULL AS VARCHAR) AS absent FROM pages"
+URL_PARAMETERS = ("page", "ref", "utm_source", "absent")
+URL_VALUES = ", ".join(f"CASE WHEN regexp_matches(q, '(^|&){n}=') THEN url_decode(replace(regexp_extract(q, '(?:^|&){n}=([^&]*)', 1), '+', ' ')) END AS {n}" for n in URL_PARAMETERS)
+URL_SQL = rf"SELECT page_id, {URL_VALUES} FROM (SELECT page_id, regexp_extract(url, '\?([^#]*)', 1) AS q FROM pages)"
 
 
 def expand_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,12 +145,15 @@ LAST_SQL = CHANGES_SQL + "SELECT path, arg_max(gone, seq * 2 + part) AS gone, ma
 
 def rename_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _table(spark, sf_dir, "events")
-    raw = events.select(F.col("event_id").alias("seq"), (F.col("event_id") / 2).cast("bigint").alias("cookie"), F.when(F.col("event_id") % 2 == 0, "from").otherwise("to").alias("side"), F.concat(F.lit("/repo/u"), "user_id").alias("path")).where("seq % 7 <> 3")
+    # of three events the first two are a pair, the third arrives from elsewhere
+    third = F.col("event_id") % 3
+    cookie = F.when(third == 2, -F.col("event_id")).otherwise(F.floor(F.col("event_id") / 3))
+    raw = events.select(F.col("event_id").alias("seq"), cookie.cast("bigint").alias("cookie"), F.when(third == 0, "from").otherwise("to").alias("side"), F.concat(F.lit("/repo/u"), "user_id").alias("path"))
     return maintain.paired_moves(raw)
 
 
 RENAME_SQL = """
-WITH m AS (SELECT event_id AS seq, event_id // 2 AS cookie, CASE WHEN event_id % 2 = 0 THEN 'from' ELSE 'to' END AS side, '/repo/u' || user_id AS path FROM events WHERE event_id % 7 <> 3)
+WITH m AS (SELECT event_id AS seq, CASE WHEN event_id % 3 = 2 THEN -event_id ELSE event_id // 3 END AS cookie, CASE WHEN event_id % 3 = 0 THEN 'from' ELSE 'to' END AS side, '/repo/u' || user_id AS path FROM events)
 SELECT t.seq, CASE WHEN f.seq IS NULL THEN 'created' ELSE 'renamed' END AS kind, t.path, f.path AS old_path
 FROM m t LEFT JOIN m f ON f.cookie = t.cookie AND f.side = 'from' AND f.seq < t.seq WHERE t.side = 'to'
 """

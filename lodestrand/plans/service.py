@@ -10,6 +10,7 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 from typing import BinaryIO
 from urllib.parse import parse_qs, urlsplit
 
+from lodestrand.plans import cases
 from lodestrand.plans.engine import Engine
 
 PORT = 8765
@@ -148,12 +149,17 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--port", type=int, default=PORT)
     parser.add_argument("--stdio", action="store_true")
     parser.add_argument("--force", action="store_true")
+    parser.add_argument("--cases", action="store_true", help="run the presence cases and leave")
     options = parser.parse_args(arguments)
     from pyspark.sql import SparkSession
 
     spark = SparkSession.builder.appName("lodestrand").getOrCreate()
     build = lambda forced=False: Engine.index(spark, options.tree, options.store, forced)
     service = Service(build(options.force), build)
+    if options.cases:
+        outcomes = cases.run(service.engine)
+        sys.stdout.write(cases.report(outcomes))
+        sys.exit(sum(o.missing is not None for o in outcomes))
     if options.stdio:
         service.serve_streams(sys.stdin.buffer, sys.stdout.buffer)
     else:

@@ -64,15 +64,15 @@ def _symbols(part: DataFrame, supplier: DataFrame) -> DataFrame:
 
 def _edges(lineitem: DataFrame) -> DataFrame:
     seq = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    bought = lineitem.where("l_orderkey % 20 = 0").select(F.col("l_partkey").alias("from_id"), (F.col("l_suppkey") + 10000000).alias("to_id"), (F.col("l_linenumber") % 5).cast("int").alias("kind"), seq.alias("seq"))
-    odd = lineitem.where("l_orderkey % 20 = 1").select("l_orderkey", "l_linenumber", "l_partkey")
-    follow = odd.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("to_id"))
-    chained = odd.join(follow, ["l_orderkey", "l_linenumber"]).where("l_partkey <> to_id").select(F.col("l_partkey").alias("from_id"), "to_id", F.lit(0).alias("kind"), seq.alias("seq"))
+    bought = lineitem.select(F.col("l_partkey").alias("from_id"), (F.col("l_suppkey") + 10000000).alias("to_id"), (F.col("l_linenumber") % 5).cast("int").alias("kind"), seq.alias("seq"))
+    lines = lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
+    follow = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("to_id"))
+    chained = lines.join(follow, ["l_orderkey", "l_linenumber"]).where("l_partkey <> to_id").select(F.col("l_partkey").alias("from_id"), "to_id", F.lit(0).alias("kind"), seq.alias("seq"))
     return bought.unionByName(chained).groupBy("from_id", "to_id", "kind").agg(F.min("seq").alias("seq"))
 
 
 def _pending(lineitem: DataFrame, symbols: DataFrame) -> DataFrame:
-    rows = lineitem.where("l_orderkey % 50 = 3").select("l_orderkey", "l_linenumber", "l_partkey")
+    rows = lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
     # numbered inside each order: unique, and no sort of the whole table
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")))
     callers = symbols.select(F.col("id").alias("l_partkey"), F.col("file").alias("caller_file"), F.col("name").alias("caller"))
@@ -110,11 +110,11 @@ WITH RECURSIVE v_symbols AS (
 ), v_edges AS (
   SELECT from_id, to_id, kind, MIN(seq) AS seq FROM (
     SELECT CAST(l_partkey AS BIGINT) AS from_id, CAST(10000000 + l_suppkey AS BIGINT) AS to_id, CAST(l_linenumber % 5 AS INT) AS kind, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS seq
-    FROM lineitem WHERE l_orderkey % 20 = 0
+    FROM lineitem
     UNION ALL
     SELECT CAST(a.l_partkey AS BIGINT), CAST(b.l_partkey AS BIGINT), CAST(0 AS INT), CAST(a.l_orderkey * 10 + a.l_linenumber AS BIGINT)
     FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-    WHERE a.l_orderkey % 20 = 1 AND a.l_partkey <> b.l_partkey
+    WHERE a.l_partkey <> b.l_partkey
   ) x GROUP BY from_id, to_id, kind
 ), v_pending AS (
   SELECT c.file AS caller_file, CASE WHEN l.l_linenumber = 7 THEN NULL ELSE c.name END AS caller_name,
@@ -122,7 +122,6 @@ WITH RECURSIVE v_symbols AS (
          CAST(CASE l.l_linenumber % 3 WHEN 0 THEN 0 WHEN 1 THEN 3 ELSE 4 END AS INT) AS kind,
          CAST(l.l_orderkey * 100 + row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey) AS BIGINT) AS seq
   FROM lineitem l JOIN v_symbols c ON c.id = l.l_partkey JOIN v_symbols t ON t.id = (l.l_partkey * 7) % 150 + 1
-  WHERE l.l_orderkey % 50 = 3
 ), v_files AS (
   SELECT file AS path, CAST(MAX(line) AS BIGINT) AS mtime, CAST(COUNT(*) * 97 AS BIGINT) AS size, MIN(lang) AS lang, CAST(0 AS INT) AS error_count
   FROM v_symbols GROUP BY file

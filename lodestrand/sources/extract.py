@@ -19,6 +19,7 @@ from pyspark.sql.types import IntegerType
 
 from lodestrand.functions import constants as K
 from lodestrand.functions.hashing import symbol_id
+from lodestrand.operators.scratch import Scratch
 from lodestrand.sources.scan import language_of, read_source
 
 SYMBOL, PENDING, FILE = 0, 1, 2
@@ -167,6 +168,9 @@ _RUST = [
 _IMPORTS = {3: re.compile(r"^[ \t]*import[^\n]*", re.M), 4: re.compile(r"^[ \t]*import[^\n]*", re.M), 5: re.compile(r"^[ \t]*import[^\n]*", re.M), 6: re.compile(r"^[ \t]*use[ \t]+[^;]+;", re.M)}
 _VARIABLES = {3: re.compile(r"^(?:export[ \t]+)?(?:const|let|var)[ \t]+(\w+)[ \t]*=(?![^\n]*(?:=>|function))", re.M), 5: re.compile(r"^(?:const|var)[ \t]+(\w+)", re.M)}
 _VARIABLES[4] = _VARIABLES[3]
+_VARIABLES[6] = re.compile(r"^(?:pub(?:\([^)]*\))?[ \t]+)?(?:static(?:[ \t]+mut)?|const)[ \t]+(\w+)[ \t]*:", re.M)
+#: A declaration of C or C++ outside all braces and parentheses, which ``outermost`` has left empty.
+_VARIABLES[0] = _VARIABLES[1] = re.compile(r"(?:^|(?<=[;}]))\s*(?!(?:typedef|using|return|struct|class|enum|union|namespace|template|friend)\b[^;=]*;)(?:[A-Za-z_][\w:<>,]*[\s*&]+)+(\w+)[ \t]*(?:\[[^\]]*\][ \t]*)*(?:=[^;]*)?;")
 BASES = re.compile(r"(?:\bextends\b|\bimplements\b|(?<!:):(?!:))([^{]*)")
 
 
@@ -188,6 +192,21 @@ def brace_ends(code: str) -> tuple[dict[int, int], int]:
     return ends, odd + len(stack)
 
 
+def outermost(code: str) -> str:
+    """``code`` with everything inside braces or parentheses, and lines of the preprocessor, as spaces."""
+    code = re.sub(r"^[ \t]*#[^\n]*", lambda m: " " * len(m[0]), code, flags=re.M)
+    out, depth, at = [], 0, 0
+    for m in [*re.finditer(r"[{}()]", code), None]:
+        part = code[at : m.start()] if m else code[at:]
+        out.append(re.sub(r"[^\n]", " ", part) if depth else part)
+        if m:
+            depth -= m[0] in "})" and depth > 0
+            out.append(" " if depth else m[0])
+            depth += m[0] in "{("
+            at = m.end()
+    return "".join(out)
+
+
 def extract_braced(text: str, lang: int) -> Found:
     code = blanked(text)
     found, starts = Found(), [0, *[m.end() for m in re.finditer("\n", code)]]
@@ -239,7 +258,7 @@ def extract_braced(text: str, lang: int) -> Found:
             found.symbol(m[1], K.TYPEDEF, *at(m.start()), at(m.end())[0], m[0])
     for m in _IMPORTS[lang].finditer(text) if lang in _IMPORTS else ():
         found.symbol(m[0].strip()[:255], K.INCLUDE, *at(m.start()), at(m.end())[0], m[0].strip())
-    for m in _VARIABLES[lang].finditer(code) if lang in _VARIABLES else ():
+    for m in _VARIABLES[lang].finditer(outermost(code) if lang in (0, 1) else code) if lang in _VARIABLES else ():
         if not is_noise(m[1]):
             found.symbol(m[1], K.VARIABLE, *at(m.start(1)), at(m.end())[0], m[0])
     bodies = [d for d in functions if not inside([x for x in functions if x is not d], d[0])]
@@ -294,7 +313,8 @@ def extract_files(paths: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     c = F.col
     dealt = paths.select("path").repartition(max(1, paths.sparkSession.sparkContext.defaultParallelism), "path")
-    rows = dealt.mapInArrow(run, ROWS)
+    # written once: a file that changes meanwhile must not give tables that disagree, and none is parsed twice
+    rows = Scratch(paths.sparkSession, "extract").write(dealt.mapInArrow(run, ROWS), "rows")
     # the order of files, then of rows inside them
     seq = F.abs(F.xxhash64("file") % (1 << 40)) * (1 << 20) + F.col("place")
     symbols = rows.where(c("part") == SYMBOL).select(symbol_id(c("file"), c("name"), c("line")).alias("id"), "name", "file", "line", "col", "end_line", "kind", "signature", "scope", "lang", "is_definition", seq.alias("seq"))

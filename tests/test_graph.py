@@ -1,10 +1,12 @@
 import random
 import shutil
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestrand.operators import index, listing, project, resolve, retrieve, store
+from lodestrand.plans import cases
 from lodestrand.plans.engine import Engine, parse_id, parse_lines
 from lodestrand.plans.virtual import Graph, virtual_graph
 from lodestrand.sources.extract import extract_files, extract_text
@@ -137,6 +139,21 @@ def test_extraction(path, text, names, edges):
     assert found.errors == 0
 
 
+def test_module_variables():
+    c = "#include <a.h>\ntypedef int number_t;\nstatic int app_count = 3;\nconst char *app_names[] = { \"x\", \"y\" };\nstruct app_point { int inner_value; };\nint prototype(int arg_name);\nint app_main(void) {\n  int local_value = 1;\n  return local_value;\n}\nstd::vector<int> app_items;\nlong abcd;\n"
+    of = lambda text, path: {(s["name"], s["line"]) for s in extract_text(text, path)[0].symbols if s["kind"] == 6}
+    assert of(c, "/a/x.cpp") == {("app_count", 3), ("app_names", 4), ("app_items", 11)}
+    assert of("pub static mut COUNTER: u32 = 0;\nconst LIMIT_OF: usize = 3;\nfn run() { let local_one = 1; }\n", "/a/x.rs") == {("COUNTER", 1), ("LIMIT_OF", 2)}
+
+
+def test_presence_cases(spark, tree):
+    engine = Engine.index(spark, str(tree / "src"), str(tree / "store"))
+    found = cases.run(engine, [cases.Case("fix app_live_beta", ("live.c", "app_live_alpha")), cases.Case("fix app_live_beta", ("live.c", "absent_name", "more"))])
+    assert [o.missing for o in found] == [None, "absent_name"] and found[0].size > 100
+    text = cases.report(found)
+    assert "[PASS]" in text and "missing: absent_name" in text and "=== 1/2 passed ===" in text and len(cases.OWN) == 7
+
+
 def test_broken_sources_do_not_stop_extraction():
     assert extract_text("def (:", "/a/x.py")[0].errors == 1
     assert extract_text("int f( {{{ }", "/a/x.c")[0].errors > 0
@@ -223,7 +240,46 @@ def test_an_old_version_reads_as_no_graph(spark, tmp_path):
     files = spark.createDataFrame([], store.FILES)
     saved.save(Graph(g.symbols, g.edges, spark.createDataFrame([], store.PENDING), files))
     assert saved.load().symbols.count() == 1
-    meta = tmp_path / "current" / "meta.json"
+    meta = tmp_path / "current" / "meta-1.json"
     meta.write_text(meta.read_text().replace('"schema_version": "2"', '"schema_version": "1"'))
-    (tmp_path / "current" / ".meta.json.crc").unlink(missing_ok=True)
+    (tmp_path / "current" / ".meta-1.json.crc").unlink(missing_ok=True)
     assert saved.load() is None
+
+
+def test_a_writer_that_dies_leaves_the_current_generation(spark, tmp_path, monkeypatch):
+    saved = store.GraphStore(spark, str(tmp_path))
+    none = spark.createDataFrame([], store.PENDING), spark.createDataFrame([], store.FILES)
+    small, large = graph(spark, [symbol(1, "a", "/x.c")]), graph(spark, [symbol(1, "a", "/x.c"), symbol(2, "b", "/x.c")])
+    saved.save(Graph(small.symbols, small.edges, *none))
+
+    def dies(*_):
+        raise KeyboardInterrupt
+
+    for step in ("_publish", "_write"):
+        monkeypatch.setattr(store.GraphStore, step, dies)
+        with pytest.raises(KeyboardInterrupt):
+            saved.save(Graph(large.symbols, large.edges, *none))
+        monkeypatch.undo()
+        assert saved.generation() == 1 and saved.load().symbols.count() == 1
+    (tmp_path / "current" / "meta-2.json.new").write_text("half a poin")  # died before the rename
+    assert saved.generation() == 1 and saved.load().symbols.count() == 1
+    for n in (2, 3, 4):
+        assert saved.save(Graph(large.symbols, large.edges, *none)) == n and saved.load().symbols.count() == 2
+    assert saved._pointers() == [3, 4] and not (tmp_path / "generation-2").exists()
+
+
+def test_a_common_name_costs_no_product(spark):
+    rows = [symbol(i, "main", f"/m{i % 50}/f{i}.c") for i in range(1000)]
+    symbols = graph(spark, rows).symbols
+    sites = spark.range(100_000).selectExpr("concat('/m', id % 60, '/f', id % 2000, '.c') as caller_file", "'main' as caller_name", "'main' as callee_name", "1 as caller_line", "0 as kind", "id as seq")
+    got = {r.seq: (r.target_id, r.score) for r in resolve.resolved_targets(sites.where("seq < 4000"), symbols).collect()}
+    files = {r[2]: r[0] for r in rows}
+    first = {f.rsplit("/", 1)[0]: i for f, i in reversed(files.items())}
+    worth = got[50][1]  # neither its file nor its module has a symbol
+    for n, found in got.items():
+        file = f"/m{n % 60}/f{n % 2000}.c"
+        module = file.rsplit("/", 1)[0]
+        assert found == ((files[file], worth + 100) if file in files else (first[module], worth + 40) if module in first else (0, worth))
+    began = time.monotonic()
+    assert resolve.resolved_targets(sites, symbols).count() == 100_000
+    assert time.monotonic() - began < 30
