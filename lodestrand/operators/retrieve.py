@@ -17,6 +17,9 @@ from lodestrand.functions.paths import basename, dirname, is_vendor
 from lodestrand.operators.index import adjacency
 from lodestrand.operators.scratch import Scratch
 
+LIST_IDS = 1024
+PIECE_RANKS = 1 << 14
+
 
 def ranked_seeds(seeds: DataFrame) -> DataFrame:
     """rank, id, score by score and unsigned id.  Seeds are at most ``MOST_SEEDS`` rows, so one window holds them."""
@@ -77,12 +80,29 @@ def siblings(starts: DataFrame, symbols: DataFrame, skip: DataFrame | None = Non
 
 
 def include_chain(starts: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """rank, id: symbols in the files that each start includes, vendor files aside."""
+    """rank, id: symbols in the files that each start includes, vendor files aside.
+
+    The result may have as many rows as starts times symbols, so it is the last step that makes them, and none of them is
+    shuffled or stored: repeats go from ranks and files, and from files and ids, before these meet.  A file meets its ids
+    in lists of about ``LIST_IDS``, and its ranks in pieces of about ``PIECE_RANKS``, each with the file's lists beside it.
+    """
     known = symbols.where(F.col("kind") != K.UNKNOWN)
     included = known.where(~is_vendor(F.col("file"))).select(F.col("id").alias("to_id"), "file")
     links = edges.where(F.col("kind") == K.INCLUDES).select(F.col("from_id").alias("start_id"), "to_id")
     files = starts.select("rank", F.col("id").alias("start_id")).join(links, "start_id").join(included, "to_id").select("rank", "file").distinct()
-    return files.join(known.select("id", "file"), "file").select("rank", "id").distinct()
+    files = Scratch(symbols.sparkSession, "included").write(files, "files")
+    pieces = files.groupBy("file").agg(F.ceil(F.count(F.lit(1)) / PIECE_RANKS).alias("pieces"))
+    homes = known.groupBy("id").agg(F.min("file").alias("file"), F.max("file").alias("last"))
+    single = homes.where("file = last").select("id", "file")
+    sizes = single.groupBy("file").agg(F.ceil(F.count(F.lit(1)) / LIST_IDS).alias("lists"))
+    lists = single.join(pieces.join(sizes, "file"), "file").groupBy("file", "pieces", F.pmod(F.xxhash64("id"), "lists").alias("list")).agg(F.collect_list("id").alias("ids"))
+    lists = lists.select("file", "ids", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("piece"))
+    ranks = files.join(pieces, "file").select("rank", "file", F.pmod(F.xxhash64("rank"), "pieces").alias("piece"))
+    # merged by file, so that rows with the same ids follow each other and are stored in little room
+    found = ranks.join(lists.hint("merge"), ["file", "piece"]).select("rank", F.explode("ids").alias("id"))
+    # an id that stands in several files may be reached through each of them
+    several = known.select("id", "file").distinct().join(homes.where("file <> last").select("id"), "id", "left_semi")
+    return found.unionByName(files.join(several, "file").select("rank", "id").distinct())
 
 
 def file_entrypoints(files: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -283,3 +283,25 @@ def test_a_common_name_costs_no_product(spark):
     began = time.monotonic()
     assert resolve.resolved_targets(sites, symbols).count() == 100_000
     assert time.monotonic() - began < 30
+
+
+def test_an_include_chain_shuffles_none_of_its_rows(spark, monkeypatch):
+    # 300 starts include a file of 400 symbols and another of 3; symbol 5000 stands in both, and vendor files are no target
+    monkeypatch.setattr(retrieve, "LIST_IDS", 64)
+    monkeypatch.setattr(retrieve, "PIECE_RANKS", 50)
+    rows = [symbol(i, f"s{i}", "/a/start.c") for i in range(300)] + [symbol(1000 + i, f"t{i}", "/a/wide.h") for i in range(400)]
+    rows += [symbol(2000 + i, f"u{i}", "/a/small.h") for i in range(3)] + [symbol(5000, "w", "/a/wide.h"), symbol(5000, "w", "/a/small.h"), symbol(3000, "v", "/vendor/v.h"), symbol(2003, "n", "/a/small.h", kind=10)]
+    edges = [(i, to, 1, i) for i in range(300) for to in (1000, 1001, 2000, 2003, 3000)] + [(1, 2, 0, 9)]
+    g = graph(spark, rows, edges)
+    done = lambda: sum(x.shuffleWriteRecords() for x in _stages(spark))
+    before = done()
+    got = [tuple(r) for r in retrieve.include_chain(g.symbols.select("id", F.col("id").alias("rank")), g.symbols, g.edges).collect()]
+    reached = [*range(1000, 1400), 2000, 2001, 2002, 5000]
+    assert sorted(got) == [(i, j) for i in range(300) for j in reached]
+    assert done() - before < len(got) / 4
+
+
+def _stages(spark):
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    found = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return [found.apply(i) for i in range(found.size())]
