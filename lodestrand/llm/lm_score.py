@@ -55,7 +55,23 @@ EDGE = VALUES  # beyond either end of a document
 
 def word_key(word: str) -> int:
     """63 bits that stand for a word; its value is the rest by ``VALUES``."""
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 3) >> 1
+    try:
+        return xxhash.xxh64_intdigest(word, 3) >> 1  # of its UTF-8
+    except UnicodeEncodeError:  # half a surrogate pair
+        return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 3) >> 1
+
+
+class Codes(dict):
+    """The code of each word met; one lookup a word, and a new word is hashed as it is looked up."""
+
+    def __init__(self, places: dict[int, int]):
+        self.place, self.chars = places.get, 0
+
+    def __missing__(self, word: str) -> int:
+        key = word_key(word)
+        code = self[word] = self.place(key, -1 - key)
+        self.chars += len(word)
+        return code
 
 
 class Words:
@@ -65,20 +81,15 @@ class Words:
     """
 
     def __init__(self, frequent: np.ndarray | None = None):
-        self.known: dict[str, int] = {}
         self.places = {k: i for i, k in enumerate(frequent.tolist())} if frequent is not None else {}
         self.values = frequent % VALUES if frequent is not None else np.zeros(0, np.int64)
-        self.chars = 0
+        self.known = Codes(self.places)
 
     def codes(self, texts: list[list[str]]) -> list[np.ndarray]:
-        if len(self.known) > KNOWN_WORDS or self.chars > KNOWN_CHARS:
-            self.known, self.chars = {}, 0
-        known, place = self.known, self.places.get
-        for word in set().union(*texts).difference(known):
-            key = word_key(word)
-            known[word] = place(key, -1 - key)
-            self.chars += len(word)
-        return [np.fromiter(map(known.__getitem__, words), np.int64, len(words)) for words in texts]
+        if len(self.known) > KNOWN_WORDS or self.known.chars > KNOWN_CHARS:
+            self.known = Codes(self.places)
+        code = self.known.__getitem__
+        return [np.fromiter(map(code, words), np.int64, len(words)) for words in texts]
 
     def tokens(self, text: str | None) -> np.ndarray:
         return self.value_of(self.codes([split(text)])[0])
@@ -204,8 +215,10 @@ class Network:
         flat = e.reshape(n, 2 * CLASSES)
         dh = np.matmul(flat, p["layer"].T, out=self.kept("dh", n, WIDTH))
         dh *= 1 - h * h
-        groups, sums = self._sums(group.astype(np.uint16), e[:, 1], "members")
-        for name, at, g in (("layer", ..., h.T @ flat), ("class_bias", ..., e[:, 0].sum(axis=0)), ("member_bias", groups, sums), ("embed", *self._sums(rows.ravel(), dh, "windows", rows.shape[1]))):
+        of_group = np.zeros((n, CLASSES), np.float32)
+        of_group[k, group] = 1
+        summed = of_group.T @ flat  # by group, its classes and its members: a product is faster than sorting the rows
+        for name, at, g in (("layer", ..., h.T @ flat), ("class_bias", ..., summed[:, :CLASSES].sum(axis=0)), ("member_bias", ..., summed[:, CLASSES:]), ("embed", *self._sums(rows.ravel(), dh, "windows", rows.shape[1]))):
             if name == "embed":
                 # few rows of many: each is fetched and put back once
                 so_far, now, square = (self.kept(x, len(at), WIDTH) for x in ("so_far", "now", "square"))
