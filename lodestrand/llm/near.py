@@ -1,11 +1,14 @@
 """Near copies by the Jaccard similarity of their sets of word shingles.
 
-Candidates come from MinHash bands: two sets of similarity s share one of the ``BANDS`` keys with probability
+Candidates come from SimHash first: the fingerprints of the same shingles, linked at 2 or fewer differing bits through the
+covering masks of :mod:`simhash`.  No radius that can be enumerated reaches all pairs of similarity 0.8, so the rest
+comes from MinHash bands: two sets of similarity s share one of the ``BANDS`` keys with probability
 1 - (1 - s ** BAND_ROWS) ** BANDS, at s = 0.8 all but 8 in a million, and above it fewer still are missed.  Every pair
 that shares a key is decided exactly, on the whole sets, unless it is connected already:
 
 1. Equal sets are linked, and one of them stands for all.
-2. Each row is held against the first row of each of its buckets, ``BANDS`` rows at most.  Their links make components.
+2. Each row is held against the first row of its fingerprint, first rows against those of linked fingerprints, and each
+   row against the first row of each of its buckets, ``BANDS`` rows at most.  Their links make components.
 3. A bucket whose rows are not yet one component is cut into blocks of about ``BLOCK`` rows.  The largest component of a
    bucket has blocks of its own, which meet the blocks of the other rows but not each other; so a large group of
    copies costs rows in proportion to its size.  Each pair of blocks is decided in a task's unit of its own.
@@ -21,8 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrand.llm import simhash
 from lodestrand.llm.common import Scratch
 from lodestrand.llm.graph import components
+from lodestrand.llm.simhash import fingerprint
 from lodestrand.llm.xxh import xxh64_ranges
 
 WORDS = 5
@@ -103,13 +108,14 @@ def links(rows: DataFrame) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            same, keys = [], np.empty((b.num_rows, BANDS), np.int64)
+            same, keys, fps = [], np.empty((b.num_rows, BANDS), np.int64), np.empty(b.num_rows, np.uint64)
             for i, t in enumerate(b.column("text")):
                 s = shingles(t.as_py())
+                fps[i] = fingerprint(t.as_py(), WORDS)
                 same.append(xxhash.xxh128_digest(s.tobytes()))
                 keys[i] = band_keys(s)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("row_id"), pa.array(same, pa.binary()), lists], ["row_id", "same", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("row_id"), pa.array(same, pa.binary()), lists, pa.array(fps.view(np.int64))], ["row_id", "same", "keys", "fp"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -125,19 +131,26 @@ def links(rows: DataFrame) -> DataFrame:
         found = near_pairs(unit["row_id"].to_numpy(), [flat[i:j] for i, j in zip(stops, stops[1:])])
         return pa.table([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    signed = scratch.write(rows.mapInArrow(sign, "row_id bigint, same binary, keys array<bigint>"), "signed")
+    signed = scratch.write(rows.mapInArrow(sign, "row_id bigint, same binary, keys array<bigint>, fp bigint"), "signed")
     first = scratch.write(signed.groupBy("same").agg(F.min("row_id").alias("b"), F.max("row_id").alias("last")), "first")
     several = first.where("b <> last")
     equal = signed.select("row_id", "same").join(several, "same").where("row_id <> b").select(F.col("row_id").alias("a"), "b")
 
-    keyed = signed.join(first.select(F.col("b").alias("row_id")), "row_id", "left_semi").select("row_id", F.explode("keys").alias("key"))
+    ones = signed.join(first.select(F.col("b").alias("row_id")), "row_id", "left_semi")
+    prints = scratch.write(ones.groupBy("fp").agg(F.min("row_id").alias("pivot"), F.max("row_id").alias("last")), "prints")
+    alike = ones.select("row_id", "fp").join(prints.where("pivot <> last"), "fp").where("row_id <> pivot").select("row_id", "pivot")
+    leads = lambda fp, name: prints.select(F.col("fp").alias(fp), F.col("pivot").alias(name))
+    apart = simhash.links(prints.select("fp")).join(leads("a", "x"), "a").join(leads("b", "y"), "b")
+    close = scratch.write(alike.unionByName(apart.select(F.greatest("x", "y").alias("row_id"), F.least("x", "y").alias("pivot"))), "close")
+
+    keyed = ones.select("row_id", F.explode("keys").alias("key"))
     # min and count are combined before the shuffle, so a hot key costs one row a task
     shared = keyed.groupBy("key").agg(F.min("row_id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = scratch.write(keyed.join(shared, "key"), "members")
-    held = members.select("row_id").distinct()
+    pairs = members.where("row_id <> pivot").select("row_id", "pivot").unionByName(close).distinct()
+    held = members.select("row_id").unionByName(close.select(F.explode(F.array("row_id", "pivot")).alias("row_id"))).distinct()
     sets = scratch.write(rows.join(held, "row_id", "left_semi").select("row_id", "text").mapInArrow(cut, "row_id bigint, shingles array<bigint>"), "sets")
 
-    pairs = members.where("row_id <> pivot").select("row_id", "pivot").distinct()
     both = pairs.join(sets, "row_id").join(sets.select(F.col("row_id").alias("pivot"), F.col("shingles").alias("others")), "pivot")
     common = both.select("row_id", "pivot", (F.size("shingles") + F.size("others")).alias("sizes"), F.size(F.array_intersect("shingles", "others")).alias("common"))
     near = common.where((FIFTHS + 5) * F.col("common") >= FIFTHS * F.col("sizes"))  # 5 common >= 4 (sizes - common)

@@ -229,3 +229,30 @@ def test_near_dedup_equals_brute_force(spark, documents):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
     kept = {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "").collect()}
     assert kept == {min(g) for g in want.values()}
+
+
+def test_near_links_by_fingerprints_alone(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    from lodestrand.llm import near, simhash
+    from lodestrand.llm.common import Scratch
+    from lodestrand.llm.graph import components
+
+    # no two sets share a band here, so that all candidates are those of the fingerprints
+    bands = near.BANDS
+    monkeypatch.setattr(near, "band_keys", lambda s: np.random.default_rng(int(s[0])).integers(0, 1 << 62, bands) ^ int(s[-1] >> np.uint64(2)) ^ len(s))
+    rng, texts = random.Random(5), []
+    for _ in range(15):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        texts += [" ".join(words), " ".join(words + ["more"]), " ".join(words[:150] + ["x"] * 40)]
+    sets = [set(near.shingles(t).tolist()) for t in texts]
+    fps = [simhash.fingerprint(t, near.WORDS) for t in texts]
+    alike = lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    want = {(i, j) for i in range(len(texts)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2 and alike(i, j)}
+    assert len(want) >= 3
+    rows = spark.createDataFrame(list(enumerate(texts)), "row_id bigint, text string")
+    root = {r.node: r.root for r in components(near.links(rows), Scratch(spark, "t")).collect()}
+    got = {(i, j) for i in root for j in root if j < i and root[i] == root[j]}
+    assert want <= got and all(alike(i, j) for i, j in got)
