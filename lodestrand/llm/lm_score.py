@@ -20,18 +20,19 @@ biases start from the counts of all tokens of the corpus.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.llm.common import Scratch
+from lodestrand.llm.xxh import xxh64_ranges
 
 CLASSES = 64
 VALUES = CLASSES * CLASSES
@@ -41,9 +42,14 @@ WIDTH = 24
 PASSES = 2
 MASK_EVERY = 8
 BATCH = 2048
+#: Positions of a batch whose logits are worked on together, in a core's cache.
+PART = 1024
+#: Keys with at most so many rows in a batch are summed together.
+FEW = 8
 RATE = 0.15
 BLOCK = 4096
-KNOWN_WORDS, KNOWN_CHARS = 300_000, 6_000_000
+#: A task hands on its counts when it has so many words.
+KNOWN_WORDS = 500_000
 FREQUENT = 1 << 18
 #: Texts are laid end to end until they have so many tokens.
 GROUP = 1 << 16
@@ -61,46 +67,29 @@ def word_key(word: str) -> int:
         return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 3) >> 1
 
 
-class Codes(dict):
-    """The code of each word met; one lookup a word, and a new word is hashed as it is looked up."""
-
-    def __init__(self, places: dict[int, int]):
-        self.place, self.chars = places.get, 0
-
-    def __missing__(self, word: str) -> int:
-        key = word_key(word)
-        code = self[word] = self.place(key, -1 - key)
-        self.chars += len(word)
-        return code
-
-
 class Words:
-    """The code of each word, made when it is first met: the place of a frequent word, else -1 - its key.
-
-    What is remembered is bounded in words and in characters; the next texts start afresh beyond that.
-    """
-
-    def __init__(self, frequent: np.ndarray | None = None):
-        self.places = {k: i for i, k in enumerate(frequent.tolist())} if frequent is not None else {}
-        self.values = frequent % VALUES if frequent is not None else np.zeros(0, np.int64)
-        self.known = Codes(self.places)
-
-    def codes(self, texts: list[list[str]]) -> list[np.ndarray]:
-        if len(self.known) > KNOWN_WORDS or self.known.chars > KNOWN_CHARS:
-            self.known = Codes(self.places)
-        code = self.known.__getitem__
-        return [np.fromiter(map(code, words), np.int64, len(words)) for words in texts]
-
-    def tokens(self, text: str | None) -> np.ndarray:
-        return self.value_of(self.codes([split(text)])[0])
-
-    def value_of(self, codes: np.ndarray) -> np.ndarray:
-        rare = (-1 - codes) % VALUES
-        return (np.where(codes < 0, rare, self.values[np.maximum(codes, 0)]) if len(self.values) else rare).astype(np.uint16)
-
-
-def split(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+    """The words of texts: what lies between white space, in lower case."""
+
+    @staticmethod
+    def coded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The keys of the distinct words, the place among these of each word of the texts, laid end to end, and the
+        number of words by text.  Arrow splits and compares words, at the same white space as Python; only distinct ones are
+        hashed, all at once."""
+        lists = pc.utf8_split_whitespace(pa.array([(t or "").lower() for t in texts], pa.large_string()))
+        words = lists.flatten()
+        real = pc.not_equal(pc.binary_length(words), 0)  # at white space at either end of a text there is an empty one
+        sizes = np.diff(np.concatenate(([0], np.cumsum(real.to_numpy(zero_copy_only=False))))[lists.offsets.to_numpy()])
+        known = words.filter(real).dictionary_encode()
+        if not len(known):
+            return np.zeros(0, np.int64), np.zeros(0, np.int32), sizes
+        _, ends, data = known.dictionary.buffers()
+        ends = np.frombuffer(ends, np.int64)[: len(known.dictionary) + 1]
+        keys = xxh64_ranges(data.to_pybytes(), ends[:-1], np.diff(ends), 3) >> np.uint64(1)
+        return keys.astype(np.int64), known.indices.to_numpy(), sizes
+
+    @staticmethod
+    def tokens(text: str | None) -> np.ndarray:
+        return np.array([word_key(w) % VALUES for w in (text or "").lower().split()], np.uint16)
 
 
 class Laid:
@@ -120,11 +109,6 @@ class Laid:
         """Rows of the embedding table for each position and offset."""
         return np.stack([self.padded[at + o].astype(np.uint16) + np.uint16(k * (VALUES + 1)) for k, o in enumerate(OFFSETS)], axis=1)
 
-    def sums(self, x: np.ndarray) -> list[float]:
-        """The sum of ``x``, an entry for each token, by text."""
-        total = np.concatenate(([0.0], np.cumsum(x)))
-        return np.diff(total[np.concatenate(([0], self.ends))]).tolist()
-
 
 def grouped(texts: Iterable[np.ndarray]) -> Iterator[Laid]:
     held, size = [], 0
@@ -138,6 +122,16 @@ def grouped(texts: Iterable[np.ndarray]) -> Iterator[Laid]:
         yield Laid(held)
 
 
+def firsts(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    return np.concatenate(([0], np.flatnonzero(x[1:] != x[:-1]) + 1))
+
+
+def whole(x: np.ndarray) -> np.ndarray:
+    """The rows as items, which are put in place in half the time."""
+    return x.view(np.dtype((np.void, x.shape[1] * x.itemsize)))[:, 0]
+
+
 class Network:
     """Parameters by name, as float32 arrays.  Large results of a batch go to arrays that are kept for the next one: getting
     fresh memory for them took longer than the arithmetic."""
@@ -167,24 +161,31 @@ class Network:
         })
 
     def hidden(self, rows: np.ndarray) -> np.ndarray:
-        h, more = self.kept("h", len(rows), WIDTH), self.kept("more", len(rows), WIDTH)
-        np.take(self.p["embed"], rows[:, 0], axis=0, out=h, mode="clip")
-        for k in range(1, rows.shape[1]):
-            h += np.take(self.p["embed"], rows[:, k], axis=0, out=more, mode="clip")
-        return np.tanh(h, out=h)
+        """A column for each hidden number, and one of ones, which stands for the class bias."""
+        h, more, rows = self.kept("h", len(rows), WIDTH), self.kept("more", len(rows), WIDTH), rows.T.astype(np.intp)
+        np.take(self.p["embed"], rows[0], axis=0, out=h, mode="clip")
+        for at in rows[1:]:
+            h += np.take(self.p["embed"], at, axis=0, out=more, mode="clip")
+        out = self.kept("hidden", len(h), WIDTH + 1)
+        out[:, WIDTH] = 1
+        np.tanh(h, out=out[:, :WIDTH])
+        return out
+
+    def layer(self) -> np.ndarray:
+        """Of the columns of :meth:`hidden`, to the class and to the member."""
+        return np.vstack([self.p["layer"], np.concatenate([self.p["class_bias"], np.zeros(CLASSES, np.float32)])])
 
     def farthest(self) -> float:
         """No logit is farther from zero: the hidden numbers are between -1 and 1."""
         return max(float(np.abs(self.p[k]).max()) for k in ("class_bias", "member_bias")) + float(np.abs(self.p["layer"]).sum(axis=0).max())
 
-    def exponentials(self, h: np.ndarray, group: np.ndarray, farthest: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def exponentials(self, h: np.ndarray, group: np.ndarray, layer: np.ndarray, farthest: float) -> tuple[np.ndarray, np.ndarray]:
         """exp of the logits of all classes and of the members of ``group``, less a number a row, and their sums.  The
         halves are rows of one array: (positions, class or member, entry)."""
-        flat = np.matmul(h, self.p["layer"], out=self.kept("logits", len(h), 2 * CLASSES))
+        flat = np.matmul(h, layer, out=self.kept("logits", len(h), 2 * CLASSES))
         x = flat.reshape(len(h), 2, CLASSES)
-        x[:, 0] += self.p["class_bias"]
         x[:, 1] += np.take(self.p["member_bias"], group, axis=0, out=self.kept("bias", len(h), CLASSES), mode="clip")
-        if (self.farthest() if farthest is None else farthest) > 60:
+        if farthest > 60:
             x -= x.max(axis=2, keepdims=True)
         np.exp(x, out=x)
         return x, (flat.reshape(-1, CLASSES) @ ONES).reshape(-1, 2)
@@ -194,54 +195,69 @@ class Network:
         return self.scored(Laid([tokens]))
 
     def scored(self, laid: Laid) -> np.ndarray:
-        out, farthest = np.empty(len(laid.at)), self.farthest()
+        out, layer, farthest = np.empty(len(laid.at)), self.layer(), self.farthest()
         for i in range(0, len(out), BATCH):
             target = laid.tokens[i : i + BATCH].astype(np.int64)
             group, k = target // CLASSES, np.arange(len(target))
-            e, total = self.exponentials(self.hidden(laid.windows(laid.at[i : i + BATCH])), group, farthest)
+            e, total = self.exponentials(self.hidden(laid.windows(laid.at[i : i + BATCH])), group, layer, farthest)
             ratio = np.maximum(e[k, 0, group] / total[:, 0], 1e-30).astype(np.float64) * np.maximum(e[k, 1, target % CLASSES] / total[:, 1], 1e-30)
-            out[i : i + BATCH] = np.log(ratio)
-        return out
+            out[i : i + BATCH] = ratio
+        return np.log(out, out=out)
 
     def learn(self, rows: np.ndarray, target: np.ndarray, memory: dict[str, np.ndarray], rate: float = RATE) -> None:
         """One Adagrad step on a batch; ``memory`` has the squared gradients so far."""
-        p, n, k = self.p, len(target), np.arange(len(target))
-        group, member = target // CLASSES, target % CLASSES
-        h = self.hidden(rows)
-        e, total = self.exponentials(h, group)
-        e *= (1 / (n * total))[:, :, None]
-        e[k, 0, group] -= np.float32(1 / n)
-        e[k, 1, member] -= np.float32(1 / n)
-        flat = e.reshape(n, 2 * CLASSES)
-        dh = np.matmul(flat, p["layer"].T, out=self.kept("dh", n, WIDTH))
-        dh *= 1 - h * h
-        of_group = np.zeros((n, CLASSES), np.float32)
-        of_group[k, group] = 1
-        summed = of_group.T @ flat  # by group, its classes and its members: a product is faster than sorting the rows
-        for name, at, g in (("layer", ..., h.T @ flat), ("class_bias", ..., summed[:, :CLASSES].sum(axis=0)), ("member_bias", ..., summed[:, CLASSES:]), ("embed", *self._sums(rows.ravel(), dh, "windows", rows.shape[1]))):
-            if name == "embed":
-                # few rows of many: each is fetched and put back once
-                so_far, now, square = (self.kept(x, len(at), WIDTH) for x in ("so_far", "now", "square"))
-                np.take(memory[name], at, axis=0, out=so_far, mode="clip")
-                so_far += np.multiply(g, g, out=square)
-                memory[name][at] = so_far
-                so_far += 1e-8
-                g *= rate
-                np.take(p[name], at, axis=0, out=now, mode="clip")
-                now -= np.divide(g, np.sqrt(so_far, out=so_far), out=square)
-                p[name][at] = now
-            else:
-                so_far = memory[name][at] + g * g
-                memory[name][at] = so_far
-                p[name][at] -= rate * g / np.sqrt(so_far + 1e-8)
-
-    def _sums(self, keys: np.ndarray, values: np.ndarray, name: str, times: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        p, n, layer, farthest = self.p, len(target), self.layer(), self.farthest()
+        dh, of_layer, of_member = self.kept("dh", n, WIDTH), np.zeros_like(layer), np.zeros((CLASSES, CLASSES), np.float32)
+        of_group = self.kept("of_group", PART, CLASSES)
+        for i in range(0, n, PART):
+            part = target[i : i + PART]
+            k, group = np.arange(len(part)), part // CLASSES
+            h = self.hidden(rows[i : i + PART])
+            e, total = self.exponentials(h, group, layer, farthest)
+            e *= (1 / (n * total))[:, :, None]
+            flat, hit, d = e.reshape(len(part), 2 * CLASSES), of_group[: len(part)], dh[i : i + PART]
+            flat.ravel()[np.concatenate([2 * CLASSES * k + group, 2 * CLASSES * k + CLASSES + part % CLASSES])] -= np.float32(1 / n)
+            np.matmul(flat, p["layer"].T, out=d)
+            of_layer += h.T @ flat
+            hit[:] = 0
+            hit[k, group] = 1
+            of_member += hit.T @ flat[:, CLASSES:]  # by group: a product is faster than sorting the rows
+            slope = np.square(h[:, :WIDTH], out=self.kept("more", len(part), WIDTH))
+            d *= np.subtract(np.float32(1), slope, out=slope)
+        for name, g in (("layer", of_layer[:WIDTH]), ("class_bias", of_layer[WIDTH, :CLASSES]), ("member_bias", of_member)):
+            memory[name] += g * g
+            p[name] -= rate * g / np.sqrt(memory[name] + np.float32(1e-8))
+        at, g = self._sums(rows.ravel(), dh, rows.shape[1])
+        # few rows of many: each is fetched and put back once
+        so_far, now, square = (self.kept(x, len(at), WIDTH) for x in ("so_far", "now", "square"))
+        np.take(memory["embed"], at, axis=0, out=so_far, mode="clip")
+        so_far += np.square(g, out=square)
+        whole(memory["embed"])[at] = whole(so_far)
+        so_far += 1e-8
+        g *= rate
+        np.take(p["embed"], at, axis=0, out=now, mode="clip")
+        now -= np.divide(g, np.sqrt(so_far, out=so_far), out=square)
+        whole(p["embed"])[at] = whole(now)
+
+    def _sums(self, keys: np.ndarray, values: np.ndarray, times: int) -> tuple[np.ndarray, np.ndarray]:
         """The distinct keys, and the sum of the rows of each; row k of ``values`` belongs to ``times`` keys."""
         order = np.argsort(keys, kind="stable")  # 16-bit keys are sorted by radix
-        ordered = keys[order]
-        first = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
-        sorted_ = np.take(values, order // times if times > 1 else order, axis=0, out=self.kept(name, len(keys), values.shape[1]), mode="clip")
-        return ordered[first], np.add.reduceat(sorted_, first, axis=0)
+        ordered, row, width = keys[order], order // times, values.shape[1]
+        first = firsts(ordered)
+        size = np.diff(first, append=len(keys))
+        by_size = np.argsort((FEW + 1 - np.minimum(size, FEW + 1)).astype(np.uint8), kind="stable")
+        rank, at = size[by_size], first[by_size]
+        out = self.kept("sums", len(at), width)
+        np.take(values, row[at], axis=0, out=out, mode="clip")
+        # most keys have few rows, and reduceat is slow for those: a row of each of them at a time
+        many = int(np.count_nonzero(size > FEW))
+        for k in range(1, FEW):
+            more = row[at[many : np.count_nonzero(size > k)] + k]
+            out[many : many + len(more)] += np.take(values, more, axis=0, out=self.kept("more", len(more), width), mode="clip")
+        if many:
+            runs = np.take(values, row[np.repeat(size > FEW, size)], axis=0)
+            out[:many] = np.add.reduceat(runs, np.cumsum(rank[:many]) - rank[:many], axis=0)
+        return ordered[at].astype(np.intp), out
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
@@ -270,24 +286,30 @@ def parse(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(tokens) of each text that has any, and (key, n): how often each word occurs in some texts; one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, found = Words(), defaultdict(int)
+        found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            keys, n = map(np.concatenate, zip(*found))
+            each, at = np.unique(keys, return_inverse=True)
+            return each, np.bincount(at, n, len(each)).astype(np.int64)
 
-        def counts() -> pa.RecordBatch:
-            out = [pa.array([-1 - c for c in found], pa.int64()), pa.array(found.values(), pa.int64()), pa.nulls(len(found), pa.binary())]
-            found.clear()
-            return pa.RecordBatch.from_arrays(out, ["key", "n", "tokens"])
+        def counts(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.nulls(len(keys), pa.binary())], ["key", "n", "tokens"])
 
         for b in batches:
             for first in range(0, b.num_rows, SLICE):
-                codes = words.codes([split(t) for t in b.column("text").slice(first, SLICE).to_pylist()])
-                each, n = np.unique(np.concatenate(codes), return_counts=True)
-                for code, times in zip(each.tolist(), n.tolist()):
-                    found[code] += times
-                lists = [words.value_of(c).astype("<u2").tobytes() for c in codes if len(c)]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(lists), pa.int64()), pa.nulls(len(lists), pa.int64()), pa.array(lists, pa.binary())], ["key", "n", "tokens"])
-                if len(found) > KNOWN_WORDS:
-                    yield counts()
-        yield counts()
+                keys, place, sizes = Words.coded(b.column("text").slice(first, SLICE).to_pylist())
+                found.append((keys, np.bincount(place, minlength=len(keys))))
+                ends = np.cumsum(np.append(0, sizes[sizes > 0]) * 2).astype(np.int32)
+                tokens = (keys % VALUES).astype("<u2")[place]
+                lists = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(tokens)])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(lists), pa.int64()), pa.nulls(len(lists), pa.int64()), lists], ["key", "n", "tokens"])
+                if sum(len(keys) for keys, _ in found) > 2 * KNOWN_WORDS:
+                    found = [summed()]
+                    if len(found[0][0]) > KNOWN_WORDS:
+                        yield counts(*found.pop())
+                        found.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
+        yield counts(*summed())
 
     parsed = Scratch(texts.sparkSession, "parsed").write(texts.mapInArrow(run, "key bigint, n bigint, tokens binary"), "parsed")
     return parsed.where("tokens is not null").select("tokens"), parsed.where("key is not null").select("key", "n")
@@ -394,7 +416,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     """One row per input row: doc_id, n_tokens, log_probability (the sum), mean_log_probability.
 
     Null texts and those without words have no tokens: sum zero and mean null.  Ids may be null or repeat, and repeated
-    rows each have a row; texts are scored whole: a very long one costs some 40 bytes a word, its windows are made a
+    rows each have a row; texts are scored whole: a very long one costs some tens of bytes a word, its windows are made a
     batch at a time.  No rows give no rows; further columns are ignored.
     """
     model = model or train(docs, text_col)
@@ -403,21 +425,23 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network, unseen, keys, gains = sent.value
-        words = Words(keys)
         for b in batches:
-            # words that are not frequent count as unseen here; the join adds what they gain by being known
             for first in range(0, b.num_rows, SLICE):
                 part = b.slice(first, SLICE)
-                codes = words.codes([split(t) for t in part.column("text").to_pylist()])
-                sums = []
-                for laid in grouped(map(words.value_of, codes)):
-                    sums += laid.sums(network.scored(laid) + unseen[laid.tokens])
-                flat = np.concatenate([*codes, np.zeros(0, np.int64)])
-                stops = np.cumsum([0, *map(len, codes)])
-                known = np.concatenate(([0.0], np.cumsum(np.where(flat >= 0, gains[np.maximum(flat, 0)] if len(gains) else 0.0, 0.0))))
-                rare = np.concatenate(([0], np.cumsum(flat < 0)))
-                lists = pa.ListArray.from_arrays(pa.array(rare[stops], pa.int32()), pa.array(-1 - flat[flat < 0]))
-                out = [pa.array(np.diff(stops)), pa.array(np.array(sums) + np.diff(known[stops])), lists]
+                each, place, sizes = Words.coded(part.column("text").to_pylist())
+                stops = np.cumsum(np.append(0, sizes))
+                # words that are not frequent count as unseen here; the join adds what they gain by being known
+                value, gain, known = each % VALUES, unseen[each % VALUES], np.zeros(len(each), bool)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, each), len(keys) - 1)
+                    known = keys[at] == each
+                    gain = gain + np.where(known, gains[at], 0.0)
+                tokens = value.astype(np.uint16)[place]
+                scores = [network.scored(laid) for laid in grouped(tokens[i:j] for i, j in zip(stops.tolist(), stops[1:].tolist()))]
+                sums = np.diff(np.concatenate(([0.0], np.cumsum(np.concatenate([*scores, np.zeros(0)]) + gain[place])))[stops])
+                rare = ~known[place]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(rare)))[stops], pa.int32()), pa.array(each[place[rare]]))
+                out = [pa.array(sizes, pa.int64()), pa.array(sums), lists]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *out], ["doc_id", "n_tokens", "log_probability", "rare"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -441,6 +441,26 @@ def test_gradients_are_those_of_the_loss():
         net.learn(rows, target, huge, rate=1e6)
 
 
+def test_distinct_words_are_hashed_once():
+    texts = ["The the\x1cTHE a\u3000b", None, "", " \t ", "x" * 90 + "\x85\u0130 \u03a3\u03a3 a", "a\u2028b\xa0a "]
+    keys, place, sizes = lm_score.Words.coded(texts)
+    words = [(t or "").lower().split() for t in texts]
+    assert sizes.tolist() == [len(w) for w in words] and len(set(keys.tolist())) == len(keys) == len({w for x in words for w in x})
+    assert keys[place].tolist() == [lm_score.word_key(w) for x in words for w in x]
+    keys, place, sizes = lm_score.Words.coded([None, " "])
+    assert len(keys) == len(place) == 0 and sizes.tolist() == [0, 0]
+
+
+def test_sums_of_frequent_and_rare_rows():
+    rng = np.random.default_rng(3)
+    for most in (1, 2, 40, 4000):  # one key with all rows, keys with many and with few, single ones
+        rows, values = rng.integers(0, most, (300, 4)).astype(np.uint16), rng.standard_normal((300, lm_score.WIDTH)).astype(np.float32)
+        want = np.zeros((most, lm_score.WIDTH))
+        np.add.at(want, rows.ravel(), np.repeat(values, 4, axis=0))
+        at, got = lm_score.Network.initial(np.ones(lm_score.VALUES))._sums(rows.ravel(), values, 4)
+        assert sorted(at.tolist()) == np.unique(rows).tolist() and np.abs(got - want[at]).max() < 1e-3
+
+
 def test_lm_score_odd_rows(odd, none):
     got = lm_score.lm_score(odd).collect()
     assert len(got) == odd.count()
