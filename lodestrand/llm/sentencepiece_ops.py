@@ -4,7 +4,7 @@ Texts become units: spaces are written as the meta symbol, one is put in front,
 follows another character.  No piece spans such a place, so units are encoded alone.  The lattice is made by exploding
 the substrings of bounded length of each distinct unit and an equi-join with the piece table; the edges of a unit are
 then folded.  For BPE models, whose units are many, substrings are exploded only if a rolling hash says that they may be
-a piece; the join decides.
+a piece, and one that occurs often in a chunk is exploded once; the join decides.
 
 For a unigram model the fold is Viterbi's, with Spark's ``aggregate`` over the edges grouped by unit.  The best path of a
 BPE model is not the path of the largest sum, so there the fold merges: each step takes, of the edges that join two
@@ -47,8 +47,11 @@ WIDTHS = (2, 4, 6, 8, 10, 12, 16, 24, 40, 64)
 FOLDED = 1 << 18
 #: Bits of an edge's number: place in the chunk's units, then length, then id.
 LENGTH_BITS, ID_BITS = 6, 20
-#: What a row of a chunk is, in this order: a unit or one of its edges, all new units (also: forget the others), a text.
-EDGES, UNITS, AFRESH, TEXTS = range(4)
+#: What a row of a chunk is, in this order: a unit or one of its edges, where substrings occur, all new units (also: forget
+#: the others), a text.
+EDGES, MARKS, UNITS, AFRESH, TEXTS = ROLES = range(5)
+#: Bytes of a row of marks at most: far below what the collector of the JVM takes for huge.
+MARK_BYTES = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -184,6 +187,7 @@ class Sieve:
             at = self.slot(h)
             self.heads[at] = True
             self.pieces[at[[len(p) == k for p in texts]]] = True
+        self.place = np.zeros(1 << HASH_BITS, np.uint32)
 
     @staticmethod
     def rolled(h: np.ndarray, letter: np.ndarray) -> np.ndarray:
@@ -193,19 +197,29 @@ class Sieve:
     def slot(h: np.ndarray) -> np.ndarray:
         return ((h ^ (h >> np.uint64(31))) * MULTIPLIER) >> np.uint64(64 - HASH_BITS)
 
-    def spans(self, letters: np.ndarray, room: np.ndarray) -> np.ndarray:
-        """place * 64 + length, in order, of the substrings of two characters and more that may be pieces; ``room``:
-        characters from each place to its unit's end."""
-        at, h, found = np.arange(len(letters)), letters, []
+    def spans(self, letters: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """place * 64 + length, in order, of distinct substrings of two characters and more that may be pieces; and for each
+        length the places, in order, where there is one, above the place of the same substring among the distinct ones.
+        ``room``: characters from each place to its unit's end."""
+        at, h, found, marks = np.arange(len(letters)), letters, [], []
         for k in range(2, self.longest + 1):
             on = np.flatnonzero(room[at] >= k)
             at = at[on]
             h = self.rolled(h[on], letters[at + (k - 1)])
             slot = self.slot(h)
-            found.append((at[self.pieces[slot]] << LENGTH_BITS) + k)
+            on = np.flatnonzero(self.pieces[slot])
+            here, hit = at[on], slot[on]
+            self.place[hit] = here
+            first = self.place[hit]  # any place of those with this hash, if its characters are the same
+            same = letters[here] == letters[first]
+            for j in range(1, k):
+                same &= letters[here + j] == letters[first + j]
+            first = np.where(same, first, here)
+            marks.append(np.stack([here, first]).astype("<u4"))
+            found.append((here[here == first] << LENGTH_BITS) + k)
             on = np.flatnonzero(self.heads[slot])
             at, h = at[on], h[on]
-        return np.sort(np.concatenate(found))
+        return np.sort(np.concatenate(found)), marks
 
 
 class Merger:
@@ -220,20 +234,28 @@ class Merger:
             self.scores[i] = score
         self.codes, self.singles = map(np.array, zip(*sorted((ord(p), i) for p, i, _ in model.pieces if len(p) == 1)))
 
-    def fold(self, new: list[str], edges: np.ndarray) -> list[bytes]:
-        """The ids of each unit as little-endian 32-bit numbers; ``edges`` are those of ``new``, laid end to end, of two
-        characters and more: those of one follow from the characters."""
+    def fold(self, new: list[str], edges: np.ndarray, marks: list[np.ndarray]) -> list[bytes]:
+        """The ids of each unit as little-endian 32-bit numbers; ``edges`` are the distinct ones of ``new``, laid end to end,
+        of two characters and more, and ``marks`` all of them by length: those of one follow from the characters."""
         sizes = np.fromiter(map(len, new), np.int64, len(new))
         ends = np.cumsum(sizes)
         starts, out = ends - sizes, [b""] * len(new)
-        places = edges >> (LENGTH_BITS + ID_BITS)
+        places, lengths, ids = edges >> (LENGTH_BITS + ID_BITS), (edges >> ID_BITS) & ((1 << LENGTH_BITS) - 1), (edges & ((1 << ID_BITS) - 1)).astype(np.int32)
+        spread, known = [], np.full(int(sizes.sum()), -1, np.int32)
+        for k, (here, same) in enumerate(marks, 2):
+            on = lengths == k
+            known[places[on]] = ids[on]
+            got = known[same]
+            known[places[on]] = -1
+            spread.append((here[got >= 0], got[got >= 0]))
         first = 0
         while first < len(new):  # a bounded number of characters at a time, one unit at least
             last = max(first + 1, int(np.searchsorted(ends, starts[first] + FOLDED, side="right")))
-            a, b = np.searchsorted(places, [starts[first], ends[last - 1]])
             low = int(starts[first])
             table = np.full((int(ends[last - 1]) - low + 1, self.longest + 1), -1, np.int32)
-            table[places[a:b] - low, (edges[a:b] >> ID_BITS) & ((1 << LENGTH_BITS) - 1)] = edges[a:b] & ((1 << ID_BITS) - 1)
+            for k, (here, got) in enumerate(spread, 2):
+                a, b = np.searchsorted(here, np.array([low, ends[last - 1]], here.dtype))
+                table[here[a:b] - low, k] = got[a:b]
             letters = np.frombuffer("".join(new[first:last]).encode("utf-32-le"), "<u4").astype(np.int64)
             hit = np.minimum(np.searchsorted(self.codes, letters), len(self.codes) - 1)
             table[:-1, 1] = np.where(self.codes[hit] == letters, self.singles[hit], -1)
@@ -346,7 +368,7 @@ def _encode_by_merges(docs: DataFrame, model: Model, check: bool = False) -> Dat
     longest = model.longest
     if longest >= 1 << LENGTH_BITS or max(i for _, i, _ in model.pieces) >= 1 << ID_BITS:
         raise ValueError("the pieces of this model are too long or too many")
-    names = ["chunk", "role", "base", "unit", "spans", "doc_id", "text"]
+    names = ["chunk", "role", "base", "unit", "spans", "doc_id", "text", "marks"]
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:
         ids, texts, size = [], [], 0
@@ -372,7 +394,7 @@ def _encode_by_merges(docs: DataFrame, model: Model, check: bool = False) -> Dat
             base, unit, spans = columns.get("base", pa.nulls(n, pa.int64())), columns.get("unit", pa.nulls(n, pa.string())), columns.get("spans")
             spans = one.take(pa.array([0] * n, pa.int32())) if spans is None else spans
             ids = columns.get("ids", pa.nulls(n, columns["kind"]))
-            return pa.RecordBatch.from_arrays([*numbers, base, unit, spans, ids, columns.get("text", pa.nulls(n, pa.string()))], names)
+            return pa.RecordBatch.from_arrays([*numbers, base, unit, spans, ids, columns.get("text", pa.nulls(n, pa.string())), columns.get("marks", pa.nulls(n, pa.binary()))], names)
 
         for chunk, (ids, texts) in enumerate(chunks(batches)):
             forget = len(met) > KNOWN_UNITS or size > KNOWN_CHARS
@@ -385,7 +407,7 @@ def _encode_by_merges(docs: DataFrame, model: Model, check: bool = False) -> Dat
                 sizes = np.fromiter(map(len, new), np.int64, len(new)) + 1
                 ends = np.cumsum(sizes)
                 size += len(whole)
-                found = sieve.spans(np.frombuffer(whole.encode("utf-32-le"), "<u4").astype(np.uint64), np.repeat(ends, sizes) - np.arange(len(whole)))
+                found, marks = sieve.spans(np.frombuffer(whole.encode("utf-32-le"), "<u4").astype(np.uint64), np.repeat(ends, sizes) - np.arange(len(whole)))
                 base = ends - sizes
                 if sizes.max() > WINDOW:
                     base = np.concatenate([np.arange(e - n, e, WINDOW) for e, n in zip(ends.tolist(), sizes.tolist())])
@@ -393,28 +415,35 @@ def _encode_by_merges(docs: DataFrame, model: Model, check: bool = False) -> Dat
                 else:
                     stops = ends
                 stops = np.minimum(stops, base + WINDOW + longest - 1)
-                cuts = np.searchsorted(found >> LENGTH_BITS, np.append(base, len(whole)))
-                local = found - (np.repeat(base, np.diff(cuts)) - 1 << LENGTH_BITS)
-                spans = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(local, pa.int32()))
+                held = np.diff(np.searchsorted(found >> LENGTH_BITS, np.append(base, len(whole))))
+                on = np.flatnonzero(held)
+                base, stops, held = base[on], stops[on], held[on]
+                local = found - (np.repeat(base, held) - 1 << LENGTH_BITS)
+                spans = pa.ListArray.from_arrays(pa.array(np.cumsum(np.append(0, held)), pa.int32()), pa.array(local, pa.int32()))
                 windows = pa.array([whole[i:j] for i, j in zip(base.tolist(), stops.tolist())], pa.string())
                 yield rows(chunk, EDGES, len(base), base=pa.array(base), unit=windows, spans=spans, kind=ids.type)
+                coded = b"".join([np.array([m.shape[1] for m in marks], "<u4").tobytes(), *(m.tobytes() for m in marks)])
+                for i in range(0, len(coded), MARK_BYTES):
+                    yield rows(chunk, MARKS, 1, marks=pa.array([coded[i : i + MARK_BYTES]]), kind=ids.type)
                 yield rows(chunk, AFRESH if forget else UNITS, 1, text=pa.array([" ".join(new)]), kind=ids.type)  # no unit holds a space
             yield rows(chunk, TEXTS, len(texts), ids=ids, text=pa.array(texts, pa.string()), kind=ids.type)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger, table, met, edges, before = Merger(sent.value), decoder(sent.value), {}, [], (0, EDGES)
+        merger, table, met, edges, marks, before = Merger(sent.value), decoder(sent.value), {}, [], [], (0, EDGES)
         for b in batches:
-            state = b.column("chunk").to_numpy().astype(np.int64) * 4 + b.column("role").to_numpy()
+            state = b.column("chunk").to_numpy().astype(np.int64) * len(ROLES) + b.column("role").to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(state)) + 1).tolist(), len(state)]
             for i, j in zip(cuts, cuts[1:]):
                 if i == j:
                     continue
-                now = divmod(int(state[i]), 4)
+                now = divmod(int(state[i]), len(ROLES))
                 if now < before:
                     raise RuntimeError("rows of the lattice have lost their order")
                 before, part = now, b.slice(i, j - i)
                 if now[1] == EDGES:
                     edges.append(part.column("edge").to_numpy())
+                elif now[1] == MARKS:
+                    marks += part.column("marks").to_pylist()
                 elif now[1] == TEXTS:
                     texts = part.column("text").to_pylist()
                     coded = [b"".join(map(met.__getitem__, split_units(t))) for t in texts]
@@ -431,17 +460,20 @@ def _encode_by_merges(docs: DataFrame, model: Model, check: bool = False) -> Dat
                     if now[1] == AFRESH:
                         met = {}
                     new = part.column("text")[0].as_py().split(" ")
-                    met.update(zip(new, merger.fold([META + u for u in new], np.concatenate([*edges, np.zeros(0, np.int64)]))))
-                    edges = []
-
-    rows = docs.mapInArrow(cut, f"chunk int, role int, base bigint, unit string, spans array<int>, doc_id {kind}, text string")
-    each = rows.select("chunk", "role", "base", "unit", "doc_id", "text", F.explode("spans").alias("span"))
+                    flat = np.frombuffer(b"".join(marks), "<u4")
+                    stops = np.cumsum(np.append(longest - 1, 2 * flat[: longest - 1].astype(np.int64))).tolist()
+                    each = [flat[i:j].reshape(2, -1) for i, j in zip(stops, stops[1:])]
+                    met.update(zip(new, merger.fold([META + u for u in new], np.concatenate([*edges, np.zeros(0, np.int64)]), each)))
+                    edges, marks = [], []
+
+    rows = docs.mapInArrow(cut, f"chunk int, role int, base bigint, unit string, spans array<int>, doc_id {kind}, text string, marks binary")
+    each = rows.select("chunk", "role", "base", "unit", "doc_id", "text", "marks", F.explode("spans").alias("span"))
     s, k = F.shiftright("span", LENGTH_BITS), F.col("span").bitwiseAND((1 << LENGTH_BITS) - 1)
-    cut_out = each.select("chunk", "role", "base", "doc_id", "text", F.col("unit").isNull().alias("whole"), s.alias("s"), k.alias("k"), F.substring(F.col("unit"), s, k).alias("piece"))
+    cut_out = each.select("chunk", "role", "base", "doc_id", "text", "marks", F.col("unit").isNull().alias("whole"), s.alias("s"), k.alias("k"), F.substring(F.col("unit"), s, k).alias("piece"))
     found = cut_out.join(piece_table(docs, model), "piece", "left").where("id is not null or whole")
     place = F.shiftleft(F.col("base") + F.col("s") - 1, LENGTH_BITS + ID_BITS)
     edge = place + F.shiftleft(F.col("k").cast("bigint"), ID_BITS) + F.col("id")
-    return found.select("chunk", "role", edge.alias("edge"), "doc_id", "text").mapInArrow(fold, f"doc_id {kind}, ids array<int>, " + ("round_trip boolean" if check else "text string"))
+    return found.select("chunk", "role", edge.alias("edge"), "doc_id", "text", "marks").mapInArrow(fold, f"doc_id {kind}, ids array<int>, " + ("round_trip boolean" if check else "text string"))
 
 
 # both ------------------------------------------------------------------------------------------------------------------

@@ -213,6 +213,29 @@ def test_units_that_a_task_forgets_are_encoded_anew(spark, documents, monkeypatc
     assert {r.doc_id: list(r.ids) for r in sentencepiece_ops.encode(docs).collect()} == whole
 
 
+@pytest.mark.parametrize("bits", [5, 22])  # of 5 bits all are in use: substrings of one slot that differ
+def test_a_substring_of_a_chunk_is_exploded_once(bits, monkeypatch):
+    monkeypatch.setattr(sentencepiece_ops, "HASH_BITS", bits)
+    model = sentencepiece_ops.Model.load()
+    whole = ("\u2581the" + "\u2581then" + "\u2581banana\u00e9") * 40
+    ends = np.cumsum([4, 5, 8] * 40)
+    room = np.repeat(ends, [4, 5, 8] * 40) - np.arange(len(whole))
+    found, marks = sentencepiece_ops.Sieve(model).spans(np.frombuffer(whole.encode("utf-32-le"), "<u4").astype(np.uint64), room)
+    texts = [whole[i : i + k] for i, k in zip((found >> 6).tolist(), (found & 63).tolist())]
+    for k, (here, same) in enumerate(marks, 2):
+        pieces = {p for p, _, _ in model.pieces if len(p) == k}
+        assert {i for i in range(len(whole)) if k <= room[i] and whole[i : i + k] in pieces} <= set(here.tolist())
+        assert all(whole[i : i + k] == whole[j : j + k] and j << 6 | k in found for i, j in zip(here.tolist(), same.tolist()))
+    if bits == 22:
+        assert len(texts) == len(set(texts)) < sum(m.shape[1] for m in marks) / 30
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    table = {p: i for p, i, _ in model.pieces}
+    edges = np.array([(int(f) << 20) + table[t] for f, t in zip(found, texts) if t in table])
+    units = ["\u2581the", "\u2581then", "\u2581banana\u00e9"] * 40
+    ids = [np.frombuffer(x, "<i4").tolist() for x in sentencepiece_ops.Merger(model).fold(units, edges, marks)]
+    assert ids == [sp.encode(u[1:]) for u in units]
+
+
 def test_decoding_of_odd_ids(spark):
     df = spark.createDataFrame([([9] * 3,), ([10**6, -1, None],), ([],), (None,)], "ids array<int>")
     got = [r.text for r in sentencepiece_ops.decode(df).collect()]
